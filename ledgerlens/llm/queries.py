@@ -6,15 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from . import sql
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .token_files import read_shards, write_shards
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate(docs, _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return hits.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -23,9 +43,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(_read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op6_exact_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": sql.MIXING, "op6_exact_dedup": sql.EXACT_DEDUP}
+    return {"op1_decontamination": sql.DECONTAMINATION, "op3_mixing": sql.MIXING, "op6_exact_dedup": sql.EXACT_DEDUP}

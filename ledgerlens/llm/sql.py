@@ -32,3 +32,23 @@ SELECT doc_id, size, source_size, target,
        CAST((whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM c JOIN s3 ON c.source IS NOT DISTINCT FROM s3.source
 """
+
+_WORDS = "regexp_extract_all(" + LOWER.format("{}") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION = f"""
+WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+dw AS (
+  SELECT doc_id, s, l, array_to_string(w[s : s + l - 1], ' ') AS win
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM iw))),
+h AS (SELECT doc_id, s, l, item_id FROM dw JOIN iw USING (l, win)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM h) GROUP BY doc_id),
+x AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
