@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .common import fold
+from .compression import fit_language, fit_toxicity, identify_language, score_toxicity
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .rules import fit_quality, score_quality
 from .token_files import read_shards, write_shards
 
 
@@ -39,16 +42,37 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _read(spark, sf_dir, "labels"))
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs)
+    out = identify_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "reliable")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _read(spark, sf_dir, "labels"))
+    out = score_quality(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op6_exact_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op4_toxicity, op6_exact_dedup, op7_language, op8_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

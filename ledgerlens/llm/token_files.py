@@ -24,20 +24,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import int64, steps, table
+from .common import SPACE, Words, int64, steps, table
 from .elias_fano import EliasFano
 
 MAGIC = b"EFIDS\x00\x00\x01"
 _HEAD = struct.Struct("<QQQqB")
 #: A shard closes at so many ids; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Words whose ids a worker remembers; when full it starts anew.
-CACHE_WORDS = 400_000
+#: Bytes of text that are encoded at a time: the more, the fewer distinct words.
+ENCODE_BYTES = 16 << 20
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins over it, so a text's ids
-    are its words' ids one after the other; each word is encoded once and remembered."""
+    are its words' ids one after the other: each distinct word of a step is encoded once, in runs of
+    words with the one-token word BAR between them, and ids are gathered from there."""
+
+    BAR, RUN = "|", 2000
 
     def __init__(self, path: str):
         import os
@@ -47,32 +50,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.seen: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.bar = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        own = np.asarray(pc.match_substring(words, self.BAR).to_numpy(zero_copy_only=False), bool)
+        if len(self.bar) != 1:
+            own[:] = True
+        rest = words.filter(pa.array(~own)).to_pylist()
+        parts, lens = [], np.zeros(len(words), np.int64)
+        for k in range(0, len(rest), self.RUN):
+            text = f" {self.BAR} ".join(rest[k : k + self.RUN] + [""])
+            parts.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        bars = np.flatnonzero(ids == self.bar[0])
+        lens[~own] = np.diff(bars, prepend=-1) - 1
+        ids = np.delete(ids, bars)
+        if own.any():  # words with the bar in them: alone, and put in between
+            alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words.filter(pa.array(own)).to_pylist(), add_special_tokens=False)]
+            at = (np.cumsum(lens) - lens)[own]
+            n = np.fromiter(map(len, alone), np.int64, len(alone))
+            ids = np.insert(ids, np.repeat(at, n), np.concatenate(alone))
+            lens[own] = n
+        return ids, lens
 
     def batch(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and the number of ids of each text."""
-        words = pc.ascii_split_whitespace(col)
-        bounds = np.asarray(words.offsets).astype(np.int64)
-        coded = words.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        bounds = bounds - bounds[0]
-        names = coded.dictionary.to_pylist()
-        if len(self.seen) > CACHE_WORDS:
-            self.seen, self.ids = {}, []
-        fresh = [w for w in names if w not in self.seen]
-        for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.seen[w] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
-        own = [self.ids[self.seen[w]] for w in names]
-        lens = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
+        coded, bounds = pieces(col)
+        flat, lens = self.words(coded.dictionary)
         at = np.cumsum(lens) - lens
-        index = np.asarray(coded.indices).astype(np.int64)
+        index = np.asarray(coded.indices)
         n = lens[index]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.arange(ends[-1]) + np.repeat(at[index] - ends[:-1], n)]
-        stops = ends[bounds[1:]]
-        return np.insert(ids, stops, end), np.diff(ends[bounds]) + 1
+        take = np.arange(ends[-1])
+        take += np.repeat(at[index] - ends[:-1], n)
+        return np.insert(flat[take], ends[bounds[1:]], end), np.diff(ends[bounds]) + 1
+
+
+_B = np.arange(256)
+_LETTER = ((_B | 32) >= 0x61) & ((_B | 32) <= 0x7A) & (_B < 0x80)
+_DIGIT = (_B >= 0x30) & (_B <= 0x39)
+_MARK = (_B > 0x20) & (_B < 0x7F) & ~_LETTER & ~_DIGIT & (_B != 0x27)
+#: 1 ASCII letter, 2 ASCII mark but the apostrophe, 3 ASCII digit, 0 all else.
+_KIND = (_LETTER * 1 + _MARK * 2 + _DIGIT * 3).astype(np.uint8)
+
+
+def pieces(col: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' words, cut further where the tokenizer always cuts (between ASCII letters, marks and
+    digits, and at every digit) and in lower case, as a dictionary array; and where each text begins.
+    Where a text may name a special token, words stay as they are."""
+    w = Words(col, SPACE, True)
+    if b"<|" in w.data.tobytes():
+        w = Words(col, SPACE, False)
+        starts, ends = w.starts, w.ends
+    else:
+        kind = _KIND[w.data]
+        cut = np.zeros(len(kind) + 1, bool)
+        a, b = kind[:-1], kind[1:]
+        cut[1:-1] = (a != 0) & (b != 0) & ((a != b) | (a == 3)) & w._word[:-1] & w._word[1:]
+        cut[w.starts] = False  # also where one text ends and the next begins at once
+        inner = np.flatnonzero(cut)
+        starts, ends = np.sort(np.concatenate([w.starts, inner])), np.sort(np.concatenate([w.ends, inner]))
+    lens = (ends - starts).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    joined = pa.StringArray.from_buffers(len(lens), pa.py_buffer(offsets), pa.py_buffer(w.data[w._word]))
+    return joined.dictionary_encode(), np.searchsorted(starts, w.off)
 
 
 def image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
@@ -126,7 +168,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "d
             names, counts, ids, held, seq = [], [], [], 0, seq + 1
             return out
 
-        for batch, col in steps(batches):
+        for batch, col in steps(batches, ENCODE_BYTES):
             got, n = coder.batch(col, end)
             names += batch.column(0).to_pylist()
             counts.append(n)
