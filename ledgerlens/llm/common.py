@@ -159,3 +159,22 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 def int64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+class SpanHash:
+    """128-bit hashes of runs of words, from prefix sums of two polynomials in the words' hashes."""
+
+    RATIOS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, h: np.ndarray):
+        self.parts = []
+        for k, r in enumerate(self.RATIOS):
+            inverse = pow(r, -1, 1 << 64)
+            up, down = (np.cumprod(np.concatenate([[1], np.full(len(h), x)]).astype(np.uint64), dtype=np.uint64) for x in (np.uint64(r), np.uint64(inverse)))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(k)) * up[:-1], dtype=np.uint64)])
+            self.parts.append((sums, down))
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = (hi - lo).astype(np.uint64)
+        a, b = (mix64((s[hi] - s[lo]) * down[lo] + n) for s, down in self.parts)
+        return a, b

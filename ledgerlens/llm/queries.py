@@ -15,6 +15,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .rules import fit_quality, score_quality
+from .substring_dedup import remove_repeats
 from .token_files import read_shards, write_shards
 
 
@@ -49,6 +50,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="max")
 
@@ -72,8 +78,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op4_toxicity, op6_exact_dedup, op7_language, op8_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_language, op8_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.DECONTAMINATION, "op3_mixing": sql.MIXING, "op6_exact_dedup": sql.EXACT_DEDUP}
+    return {"op1_decontamination": sql.DECONTAMINATION, "op5_substring_dedup": sql.SUBSTRING_DEDUP, "op3_mixing": sql.MIXING, "op6_exact_dedup": sql.EXACT_DEDUP}
