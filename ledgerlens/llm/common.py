@@ -170,7 +170,7 @@ class SpanHash:
         self.parts = []
         for k, r in enumerate(self.RATIOS):
             inverse = pow(r, -1, 1 << 64)
-            up, down = (np.cumprod(np.concatenate([[1], np.full(len(h), x)]).astype(np.uint64), dtype=np.uint64) for x in (np.uint64(r), np.uint64(inverse)))
+            up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), x, np.uint64)]), dtype=np.uint64) for x in (r, inverse))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(k)) * up[:-1], dtype=np.uint64)])
             self.parts.append((sums, down))
 
