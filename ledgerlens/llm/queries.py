@@ -14,6 +14,7 @@ from .compression import fit_language, fit_toxicity, identify_language, score_to
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .ngram_join import jaccard_components
 from .rules import fit_quality, score_quality
 from .substring_dedup import remove_repeats
 from .token_files import read_shards, write_shards
@@ -73,13 +74,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_language, op8_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_language, op8_quality, op9_ngram_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.DECONTAMINATION, "op5_substring_dedup": sql.SUBSTRING_DEDUP, "op3_mixing": sql.MIXING, "op6_exact_dedup": sql.EXACT_DEDUP}
+    return {"op1_decontamination": sql.DECONTAMINATION, "op9_ngram_join": sql.NGRAM_JOIN, "op5_substring_dedup": sql.SUBSTRING_DEDUP, "op3_mixing": sql.MIXING, "op6_exact_dedup": sql.EXACT_DEDUP}
