@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step holds; arrays of 8 bytes a byte stay near 32 MB.
-STEP_BYTES = 4 << 20
+#: Bytes of text that one vectorised step holds; the arrays of a step stay under 100 MB.
+STEP_BYTES = 1 << 20
 
 _ALL = np.arange(256)
 #: Bytes between words: ASCII white space.

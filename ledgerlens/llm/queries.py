@@ -13,6 +13,7 @@ from .common import fold
 from .compression import fit_language, fit_toxicity, identify_language, score_toxicity
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .lm import score_texts
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .rules import fit_quality, score_quality
@@ -40,6 +41,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_texts(_read(spark, sf_dir, "documents"))
+    return out.withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -83,7 +89,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_language, op8_quality, op9_ngram_join, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op3_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_language, op8_quality, op9_ngram_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
