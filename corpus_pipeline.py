@@ -1,4 +1,76 @@
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to token files.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
+DataFrame that is written as Parquet and read again as the next one's ``docs``. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm.common import table
+from ledgerlens.llm.compression import fit_toxicity, score_toxicity
+from ledgerlens.llm.decontaminate import decontaminate
+from ledgerlens.llm.mixing import mix_sources
+from ledgerlens.llm.ngram_join import jaccard_components
+from ledgerlens.llm.queries import tokenizer_path
+from ledgerlens.llm.token_files import read_shards, write_shards
+
+#: A document at or above this toxicity score goes.
+TOXIC = 0.7
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the compression classifier rejects."""
+    model = fit_toxicity(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).filter(F.col("score") < TOXIC).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of texts that share 0.8 or more of their five-word shingles the document
+    of the smallest id, once. Rows without an id cannot be told apart and stay."""
+    keep = jaccard_components(docs, shingle=5, num=4, den=5).filter("doc_id = component_id").select("doc_id")
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a ten-word window of a benchmark item."""
+    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hits.filter(F.size("items") == 0).select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as its source's target asks, at most three times, and leaves out those not drawn.
+
+    A document without words has nothing to mix and stays once, and so does a row without an id.
+    """
+    drawn = mix_sources(docs).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    mixed = docs.join(drawn.filter("copies > 0"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    return mixed.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token shards and returns their index, read back: doc_id, start, n_tokens, ids_crc32."""
+    return read_shards(write_shards(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing_sources", source_mix),
+    ("token_output", token_output),
+]
+
+#: The classifier and the tokenizer have no SQL form; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
