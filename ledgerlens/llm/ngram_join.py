@@ -57,19 +57,27 @@ def set_keys(doc: np.ndarray, value: np.ndarray, n_docs: int, seed: int) -> tupl
     return n, k1, k2, bits
 
 
-def sketch(texts: DataFrame, k: int) -> np.ndarray:
-    """How many texts have shingles of each slot: a fixed number of counters over all texts."""
+def described(texts: DataFrame, k: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """One pass over all texts: a row per text (doc_id, n, k1, k2, bits), and a sketch of how many
+    texts have shingles of each slot, a fixed number of counters over all texts."""
     size = 1 << SLOT_BITS
     step = size // PIECES
+    names = ["doc_id", "n", "k1", "k2", "bits", "piece", "counts"]
 
-    def count(batches):
+    def rows(doc_id, n, k1, k2, bits, piece, counts):
+        m = len(doc_id) or len(piece)
+        pad = lambda x, t: x if len(x) else pa.nulls(m, t)
+        return pa.RecordBatch.from_arrays([pad(doc_id, pa.int64()), pad(n, pa.int32()), pad(k1, pa.int64()), pad(k2, pa.int64()), pad(bits, pa.binary()), pad(piece, pa.int32()), pad(counts, pa.binary())], names)
+
+    def describe(batches):
         sums = np.zeros(size, np.int64)
-        for _, col in steps(batches):
-            _, value = shingle_sets(Words(col, SPACE, True), k)
+        for batch, col in steps(batches):
+            doc, value = shingle_sets(Words(col, SPACE, True), k)
             sums += np.bincount((value >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=size)
+            n, k1, k2, bits = set_keys(doc, value, len(col), seed)
+            yield rows(batch.column(0), pa.array(n.astype(np.int32)), int64(k1), int64(k2), pa.array([r.tobytes() for r in bits], pa.binary()), [], [])
         c = zstandard.ZstdCompressor(level=1)
-        rows = [c.compress(sums[i * step : (i + 1) * step].astype("<u4" if sums.max(initial=0) < 1 << 32 else "<u8").astype("<u8").tobytes()) for i in range(PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(rows, pa.binary())], ["piece", "counts"])
+        yield rows([], [], [], [], [], pa.array(range(PIECES), pa.int32()), pa.array([c.compress(sums[i * step : (i + 1) * step].astype("<u8").tobytes()) for i in range(PIECES)], pa.binary()))
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -81,12 +89,12 @@ def sketch(texts: DataFrame, k: int) -> np.ndarray:
         c = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.compress(np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes()) for x in total.values()], pa.binary())], ["piece", "counts"])
 
-    spec = "piece int, counts binary"
+    made = table(texts.mapInArrow(describe, "doc_id long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "sets")
     out = np.zeros(size, np.uint32)
     d = zstandard.ZstdDecompressor()
-    for r in texts.select("text").mapInArrow(count, spec).repartition("piece").mapInArrow(add, spec).collect():  # PIECES rows
+    for r in made.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(add, "piece int, counts binary").collect():  # PIECES rows
         out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(d.decompress(bytes(r.counts)), "<u4")
-    return out
+    return made.filter("piece IS NULL").drop("piece", "counts"), out
 
 
 def prefix_keys(value: np.ndarray, freq: np.ndarray, num: int, den: int, often: int) -> np.ndarray:
@@ -215,12 +223,12 @@ def candidate_edges(node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np
 
 
 def candidates(members: DataFrame, labels: DataFrame | None, refused: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
-    """Distinct pairs (a, b) to test next. ``members``: key, node, n, bits. Pairs in one class already, or refused before, are left out."""
+    """Pairs (key, a, b) to test next. ``members``: key, node, n, bits. Pairs in one class already are
+    left out, and so are those that ``refused`` (key, a, b) names for the key."""
     rows = members.select("key", "node", "n", "bits")
     rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").select("key", "node", "n", "bits", F.coalesce("label", "node").alias("label"))
     if refused is not None:  # as rows of size 0: node refuses label
-        mine = members.select("key", "node").join(refused.select(F.col("a").alias("node"), "b"), "node")
-        rows = rows.unionByName(mine.select("key", "node", F.lit(0).alias("n"), F.lit(b"").alias("bits"), F.col("b").alias("label")))
+        rows = rows.unionByName(refused.select("key", F.col("a").alias("node"), F.lit(0).alias("n"), F.lit(b"").alias("bits"), F.col("b").alias("label")))
 
     def pairs(batches):
         for t in runs(batches):
@@ -237,12 +245,12 @@ def candidates(members: DataFrame, labels: DataFrame | None, refused: DataFrame
                 no = {(int(x), int(y)) for x, y in zip(node[lo:hi][no], label[lo:hi][no], strict=True)}
                 raw = b"".join(bits[lo + i].as_py() for i in real.tolist())
                 vec = np.frombuffer(raw, "<u8").reshape(len(real), -1)
-                out += candidate_edges(node[lo:hi][real], size[real].astype(np.int64), vec, label[lo:hi][real], no, num, den, every)
+                got = candidate_edges(node[lo:hi][real], size[real].astype(np.int64), vec, label[lo:hi][real], no, num, den, every)
+                out += [(int(key[lo]), x, y) for x, y in got]
             if out:
-                out = sorted(set(out))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["key", "a", "b"])
 
-    return rows.select("key", "node", "n", "bits", "label").repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
+    return rows.select("key", "node", "n", "bits", "label").repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "key long, a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -302,38 +310,38 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 4, den: int
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def described(batches):
-        for batch, col in steps(batches):
-            doc, value = shingle_sets(Words(col, SPACE, True), shingle)
-            n, k1, k2, bits = set_keys(doc, value, len(col), seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), int64(k1), int64(k2), pa.array([r.tobytes() for r in bits], pa.binary())], ["doc_id", "n", "k1", "k2", "bits"])
-
-    sets = table(texts.mapInArrow(described, "doc_id long, n int, k1 long, k2 long, bits binary"), "sets")
+    sets, counts = described(texts, shingle, seed)
     nodes = table(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.min("bits").alias("bits")), "nodes")
     if not nodes.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
         return jaccard_components(docs, shingle, num, den, id_col, text_col, seed + 1)  # two sets with one 64-bit hash
     texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    posted = postings(texts, shingle, num, den, seed, sketch(texts, shingle))
+    posted = postings(texts, shingle, num, den, seed, counts)
     members = posted.withColumnRenamed("node", "k1").join(nodes.select("k1", "node", "n", "bits"), "k1").select("key", "node", "n", "bits")
     members = table(members, "members")
-    labels = refused = links = held = None
+    labels = refused = links = held = tested = None
     for turn in range(FOREST_ROUNDS + 1):
-        pairs = candidates(members, labels, refused, num, den, turn == FOREST_ROUNDS)
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
+        found = table(candidates(members, labels, refused, num, den, turn == FOREST_ROUNDS), "candidates")
+        pairs = found.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         if held is None:  # every set with a candidate is in the first forests
-            ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             held = table(texts.join(ids, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "node-texts")
-        tested = table(verified(pairs, held, shingle, num, den), "tested")
-        good, bad = tested.filter("ok").select("a", "b"), tested.filter("NOT ok").select("a", "b")
+        new = table(verified(pairs, held, shingle, num, den), "tested")
+        tested = new if tested is None else tested.unionByName(new)
+        good = new.filter("ok").select("a", "b")
         links = good if links is None else links.unionByName(good)
-        refused = bad if refused is None else refused.unionByName(bad)
         labels = components(links)
-        if bad.isEmpty():
+        # a key whose forest holds has nothing left to test; the others go on without the refused pairs
+        no = table(found.join(tested.filter("NOT ok").select("a", "b"), ["a", "b"]).select("key", "a", "b"), "refused")
+        refused = no if refused is None else refused.unionByName(no)
+        keys = no.select("key").distinct()
+        if keys.isEmpty():
             break
+        if turn < FOREST_ROUNDS:
+            members = table(members.join(keys, "key", "left_semi"), "members")
+            refused = refused.join(keys, "key", "left_semi")
     out = sets.select("doc_id", "n", "k1", "k2").join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
