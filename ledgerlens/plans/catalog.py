@@ -1,15 +1,620 @@
-"""The registry of queries over the driver's tables."""
+"""The registry of queries over the driver's tables, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import behavioral as beh
+from ..operators import embeddings as emb
+from ..operators import explain, graph, iterate, metrics, patterns, propagation, scoring, sequences, simulate, structural, training, validate
+from ..sources import io
+from . import twins
+from .views import accounts, ev, ledger, p2p, read
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
 
-def oracle_sql() -> dict:
-    return {}
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six places, so that both engines' sums agree."""
+    return df.select(*(F.round(F.col(c).cast("double"), 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def edge_table(spark, d):
+    return graph.edges(p2p(spark, d))
+
+
+def vertex_table(spark, d):
+    return graph.vertices(accounts(spark, d), edge_table(spark, d))
+
+
+def relational_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features that need no iteration, one row a vertex."""
+    e, v, acc = edge_table(spark, d), vertex_table(spark, d), accounts(spark, d)
+    deg = structural.degrees(e, v)
+    parts = [deg, beh.behavioral_features(p2p(spark, d)), patterns.funnel(deg), patterns.neighbour_risk(e, v), patterns.device_cluster(acc)]
+    return reduce(lambda a, b: a.join(b, "account_id", "left"), parts).na.fill(0)
+
+
+def score_table(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.static_scores(r6(relational_features(spark, d)))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return score_table(spark, d)
+
+
+# ---- sources and validation
+
+
+@query
+def s1_parquet_scan(spark, d):
+    return read(spark, d, "orders").filter("o_totalprice > 200000").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query
+def s3_clean_batch(spark, d):
+    return io.clean_batch(ledger(spark, d)).select("transaction_id", "amount", "timestamp")
+
+
+@query
+def s6_point_read(spark, d):
+    return score_table(spark, d).filter("account_id = 7")
+
+
+@query
+def s8_upsert_scores(spark, d):
+    s = score_table(spark, d).select("account_id", "risk_score")
+    return io.merge_scores(s, s.filter("account_id % 3 = 0").withColumn("risk_score", F.lit(0.0)))
+
+
+@query
+def s10_high_risk(spark, d):
+    return io.high_risk(score_table(spark, d), 30.0, 100).select("account_id", "risk_score")
+
+
+@query
+def s11_find_alerts(spark, d):
+    a = scoring.alerts(score_table(spark, d), scoring.Scoring(alert_threshold=30.0, high_risk_threshold=50.0), "2025-01-01")
+    return io.find_alerts(a, False, 50).select("account_id", "severity", "resolved")
+
+
+@query
+def s12_cache_entries(spark, d):
+    return io.cache_entries(score_table(spark, d), "risk_score", 3600)
+
+
+@query
+def s15_graph_upload(spark, d):
+    path = f"{iterate.shared_dir(spark)}/graph-{spark.sparkContext.applicationId}"
+    io.save_graph(vertex_table(spark, d), edge_table(spark, d), path)
+    return io.load_graph(spark, path)[1]
+
+
+@query
+def s16_k_hop(spark, d):
+    return iterate.ego_network(edge_table(spark, d), 7, 2)[0].select(F.col("id").alias("account_id"), F.col("dist").cast("long").alias("dist"))
+
+
+@query
+def v1_transaction_checks(spark, d):
+    return validate.transaction_checks(p2p(spark, d))
+
+
+@query
+def v2_account_checks(spark, d):
+    return validate.account_checks(accounts(spark, d))
+
+
+@query
+def v4_lognormality(spark, d):
+    return r6(validate.amount_lognormality(p2p(spark, d)))
+
+
+@query
+def v5_degree_summary(spark, d):
+    return r6(validate.degree_summary(p2p(spark, d)))
+
+
+@query
+def v6_temporal_coverage(spark, d):
+    return r6(validate.temporal_coverage(p2p(spark, d)))
+
+
+@query
+def v7_fraud_ratio(spark, d):
+    return validate.fraud_ratio(accounts(spark, d))
+
+
+@query
+def v8_account_coverage(spark, d):
+    return validate.account_coverage(p2p(spark, d), accounts(spark, d))
+
+
+# ---- graph and behaviour
+
+
+@query
+def g1_edges(spark, d):
+    return r6(edge_table(spark, d))
+
+
+@query
+def g1_vertices(spark, d):
+    return vertex_table(spark, d)
+
+
+@query
+def g2_merge_edges(spark, d):
+    t = p2p(spark, d)
+    return r6(graph.merge_edges(graph.edges(t.filter("transaction_id % 3 = 0")), graph.edges(t.filter("transaction_id % 3 <> 0"))).select("src", "dst", "weight", "frequency", "min_amount", "max_amount", "first_txn", "last_txn", "avg_amount", "avg_inter_txn_gap"))
+
+
+@query
+def g3_rolling_windows(spark, d):
+    return r6(graph.rolling_windows(p2p(spark, d)).select("window_key", "src", "dst", "weight", "frequency"))
+
+
+@query
+def g4_primary_graph(spark, d):
+    return r6(graph.primary_graph(graph.rolling_windows(p2p(spark, d))).select("src", "dst", "weight", "frequency"))
+
+
+@query
+def b1_incoming(spark, d):
+    return r6(beh.incoming(p2p(spark, d)))
+
+
+@query
+def b2_outgoing(spark, d):
+    return r6(beh.outgoing(p2p(spark, d)))
+
+
+@query
+def b3_receive_to_send_delay(spark, d):
+    return r6(beh.receive_to_send_delay(p2p(spark, d)))
+
+
+@query
+def b4_b5_activity_gaps(spark, d):
+    return r6(beh.activity_gaps(ev(spark, d)))
+
+
+@query
+def b7_repeat_ratio(spark, d):
+    return r6(beh.repeat_ratio(p2p(spark, d)))
+
+
+@query
+def b8_behavioral(spark, d):
+    return r6(beh.behavioral_features(p2p(spark, d)))
+
+
+@query
+def c1_degrees(spark, d):
+    return r6(structural.degrees(edge_table(spark, d), vertex_table(spark, d)))
+
+
+@query
+def c4_betweenness(spark, d):
+    return structural.betweenness(edge_table(spark, d), vertex_table(spark, d), pivots=16)
+
+
+@query
+def c5_pagerank(spark, d):
+    return r6(structural.pagerank(edge_table(spark, d), vertex_table(spark, d), iterations=2, tolerance=None).withColumn("pagerank", F.col("pagerank") * 100))
+
+
+@query
+def c6_clustering(spark, d):
+    return structural.clustering(edge_table(spark, d), vertex_table(spark, d))
+
+
+@query
+def c7_core_numbers(spark, d):
+    return structural.core_numbers(edge_table(spark, d), vertex_table(spark, d))
+
+
+@query
+def c8_scc_sizes(spark, d):
+    return structural.scc_sizes(edge_table(spark, d), vertex_table(spark, d))
+
+
+@query
+def c9_communities(spark, d):
+    return structural.communities(edge_table(spark, d), vertex_table(spark, d), 4)
+
+
+@query
+def c10_community_density(spark, d):
+    e, v = edge_table(spark, d), vertex_table(spark, d)
+    return structural.community_density(e, v.select("account_id", (F.col("account_id") % 20).alias("community_id")))
+
+
+# ---- patterns and features
+
+
+@query
+def d1_circularity(spark, d):
+    return r6(patterns.circularity(edge_table(spark, d), vertex_table(spark, d), 3))
+
+
+@query
+def d2_funnel(spark, d):
+    return patterns.funnel(structural.degrees(edge_table(spark, d), vertex_table(spark, d)))
+
+
+@query
+def d3_layering_depth(spark, d):
+    return patterns.layering_depth(edge_table(spark, d), vertex_table(spark, d), 3)
+
+
+@query
+def d4_neighbour_risk(spark, d):
+    return patterns.neighbour_risk(edge_table(spark, d), vertex_table(spark, d))
+
+
+@query
+def d5_device_cluster(spark, d):
+    return patterns.device_cluster(accounts(spark, d))
+
+
+@query
+def d6_suspicious_chains(spark, d):
+    e = graph.edges(ledger(spark, d))
+    v = graph.vertices(None, e)
+    return patterns.suspicious_chains(e, v, structural.degrees(e, v), 2)
+
+
+@query
+def f1_features(spark, d):
+    return r6(relational_features(spark, d))
+
+
+@query
+def p1_seeds(spark, d):
+    return propagation.auto_seeds(vertex_table(spark, d))
+
+
+@query
+def p2_transition(spark, d):
+    return r6(propagation.transition(edge_table(spark, d)))
+
+
+@query
+def p5_propagate(spark, d):
+    return propagation.propagate(edge_table(spark, d), vertex_table(spark, d), iterations=2, max_hops=2, tolerance=None)
+
+
+@query
+def e1_spectral(spark, d):
+    return emb.spectral_embedding(edge_table(spark, d), vertex_table(spark, d), 4, 4)
+
+
+@query
+def e2_walks(spark, d):
+    return emb.walks(edge_table(spark, d), vertex_table(spark, d), 1, 4)
+
+
+@query
+def e3_cooccurrence(spark, d):
+    return emb.cooccurrence(emb.walks(edge_table(spark, d), vertex_table(spark, d), 1, 4), 2)
+
+
+@query
+def e4_graph_embedding(spark, d):
+    return emb.embedding_columns(emb.graph_embedding(edge_table(spark, d), vertex_table(spark, d), 8, 1, 4), "gnn_emb", 8)
+
+
+@query
+def q1_sequence_rows(spark, d):
+    return r6(sequences.sequence_rows(ev(spark, d), 50))
+
+
+@query
+def q2_sequence_stats(spark, d):
+    return r6(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), 50), 50))
+
+
+@query
+def q5_sequence_anomaly(spark, d):
+    s = iterate.stage(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), 50), 50))
+    return sequences.SequenceEncoder(8).fit(s).anomaly(s)
+
+
+# ---- scores
+
+
+@query
+def k1_component_scores(spark, d):
+    return scoring.component_scores(r6(relational_features(spark, d)))
+
+
+@query
+def k3_contributions(spark, d):
+    return scoring.contributions(scoring.component_scores(r6(relational_features(spark, d))))
+
+
+@query
+def k4_static_scores(spark, d):
+    return score_table(spark, d)
+
+
+@query
+def k5_signal_scores(spark, d):
+    p = vertex_table(spark, d).select("account_id", F.col("is_fraud").cast("double").alias("p"))
+    return scoring.signal_scores(r6(relational_features(spark, d)), p).select("account_id", "sig_behavioral", "sig_structural", "sig_propagation", "risk_score", "risk_level")
+
+
+@query
+def l1_alerts(spark, d):
+    return scoring.alerts(score_table(spark, d), scoring.Scoring(alert_threshold=30.0, high_risk_threshold=50.0), "2025-01-01").drop("created_at")
+
+
+@query
+def l3_prioritize(spark, d):
+    return scoring.prioritize(scoring.alerts(score_table(spark, d), scoring.Scoring(alert_threshold=20.0), "2025-01-01"), 25).select("account_id", "risk_score", "alert_type")
+
+
+def _labelled(spark, d) -> DataFrame:
+    s = ((F.col("doc_id") * 37 + F.col("quality") * 400) % 1000) / 1000.0
+    return read(spark, d, "labels").select(F.col("doc_id").alias("account_id"), F.col("quality").alias("label"), s.alias("score"))
+
+
+def _meta(spark, d):
+    f = iterate.stage(relational_features(spark, d))
+    s = iterate.stage(scoring.component_scores(f))
+    y = accounts(spark, d).select("account_id", F.col("is_fraud").cast("int").alias("label"))
+    return s, y
+
+
+@query
+def m1_meta_model(spark, d):
+    s, y = _meta(spark, d)
+    m = scoring.MetaModel(trees=5)
+    m.fit(s, y)
+    return m.predict(s).select("account_id", "probability")
+
+
+@query
+def m4_calibrate(spark, d):
+    rows = _labelled(spark, d)
+    return scoring.Calibrator().fit(rows).calibrate(rows).select("account_id", "score")
+
+
+@query
+def m5_to_risk_score(spark, d):
+    return r6(scoring.to_risk_score(_labelled(spark, d), "score").select("account_id", "risk_score"))
+
+
+@query
+def m6_reliability(spark, d):
+    return metrics.reliability(_labelled(spark, d), "score")
+
+
+@query
+def x1_ranking_metrics(spark, d):
+    return metrics.ranking_metrics(_labelled(spark, d))
+
+
+@query
+def x2_at_k(spark, d):
+    return metrics.at_k(_labelled(spark, d)).withColumn("k", F.col("k").cast("long"))
+
+
+@query
+def x3_evaluation_report(spark, d):
+    one = metrics.ranking_metrics(_labelled(spark, d)).select("pr_auc")
+    return metrics.evaluation_report(one.select(F.lit("a").alias("model"), F.lit("val").alias("split"), "pr_auc").unionByName(one.select(F.lit("b").alias("model"), F.lit("val").alias("split"), (F.col("pr_auc") / 2).alias("pr_auc"))))
+
+
+@query
+def t1_temporal_split(spark, d):
+    return training.temporal_split(p2p(spark, d), accounts(spark, d))
+
+
+@query
+def t2_supervised(spark, d):
+    f = iterate.stage(relational_features(spark, d).join(accounts(spark, d).select("account_id", "is_fraud"), "account_id"))
+    t = training.SupervisedTrainer(scale=0.02)
+    t.train(f.filter("account_id % 5 <> 0"), f.filter("account_id % 5 = 0"))
+    return t.predict(f).select("account_id", "probability")
+
+
+@query
+def t7_graph_classifier(spark, d):
+    x = iterate.stage(emb.spectral_embedding(edge_table(spark, d), vertex_table(spark, d), 4, 4))
+    c = training.GraphClassifier(trees=3, depth=3)
+    c.train(x, accounts(spark, d).select("account_id", F.col("is_fraud").cast("int").alias("label")))
+    return c.predict(x)
+
+
+def _points(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+
+
+@query
+def n1_isolation_forest(spark, d):
+    return training.isolation_forest(_points(spark, d), trees=20)
+
+
+@query
+def n2_local_outlier_factor(spark, d):
+    return r6(training.local_outlier_factor(_points(spark, d), 10))
+
+
+@query
+def n3_density_deviation(spark, d):
+    return training.density_deviation(_points(spark, d), 1.0, 5)
+
+
+@query
+def n4_combined_anomaly(spark, d):
+    p = iterate.stage(_points(spark, d))
+    return training.combined_anomaly(training.isolation_forest(p, 10), training.local_outlier_factor(p, 10), training.density_deviation(p, 1.0, 5))
+
+
+# ---- drift
+
+
+def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    cols = ["incoming_volume", "incoming_txn_count", "burst_index", "dormancy_score"]
+    f = r6(beh.behavioral_features(p2p(spark, d))).select("account_id", *cols)
+    return f.filter("account_id % 2 = 0"), f.filter("account_id % 2 = 1")
+
+
+@query
+def w1_drift_baseline(spark, d):
+    return metrics.drift_baseline(_halves(spark, d)[0])
+
+
+@query
+def w2_ecdf_distance(spark, d):
+    a, b = _halves(spark, d)
+    return metrics.ecdf_distance(metrics.long_form(a), metrics.long_form(b))
+
+
+@query
+def w2_feature_drift(spark, d):
+    return metrics.feature_drift(*_halves(spark, d))
+
+
+@query
+def w3_psi(spark, d):
+    a, b = _halves(spark, d)
+    return metrics.psi(metrics.long_form(a), metrics.long_form(b))
+
+
+@query
+def w4_drift_summary(spark, d):
+    return metrics.drift_summary(metrics.feature_drift(*_halves(spark, d)))
+
+
+@query
+def w5_prediction_profile(spark, d):
+    return metrics.prediction_profile(_labelled(spark, d))
+
+
+@query
+def w5_prediction_drift(spark, d):
+    s = _labelled(spark, d)
+    return metrics.prediction_drift(s.filter("account_id % 2 = 0"), s.filter("account_id % 2 = 1"))
+
+
+@query
+def w6_graph_metrics(spark, d):
+    return metrics.graph_metrics(edge_table(spark, d), vertex_table(spark, d))
+
+
+@query
+def w7_graph_drift(spark, d):
+    t = p2p(spark, d)
+    g = [graph.edges(t.filter(f"transaction_id % 2 = {k}")) for k in (0, 1)]
+    return metrics.graph_drift(*(metrics.graph_metrics(e, graph.vertices(None, e)).drop("degree_std", "avg_clustering") for e in g))
+
+
+# ---- explanations, serving, charts
+
+
+@query
+def h1_top_features(spark, d):
+    return explain.top_features(r6(relational_features(spark, d)).filter("account_id % 10 = 0"), 5).select("account_id", F.col("rank").cast("long").alias("rank"), "feature", "value")
+
+
+@query
+def h2_batch_decompose(spark, d):
+    f = r6(relational_features(spark, d))
+    return explain.batch_decompose(f, scoring.static_scores(f), 20, 5).select("account_id", "risk_score", F.col("rank").cast("long").alias("rank"), "feature", "value")
+
+
+@query
+def h4_account_activity(spark, d):
+    return explain.account_activity(p2p(spark, d))
+
+
+@query
+def y1_ground_truth(spark, d):
+    return explain.ground_truth(accounts(spark, d), p2p(spark, d))
+
+
+@query
+def i1_score_of(spark, d):
+    return explain.score_of(score_table(spark, d), 11)
+
+
+@query
+def i2_scores_of(spark, d):
+    return explain.scores_of(score_table(spark, d), [1, 2, 3, 67])
+
+
+@query
+def i3_top_scores(spark, d):
+    return explain.top_scores(score_table(spark, d), 20, 10.0)
+
+
+@query
+def i5_list_alerts(spark, d):
+    return explain.list_alerts(score_table(spark, d), 20, 20.0).withColumn("alert_id", F.col("alert_id").cast("long"))
+
+
+@query
+def i6_alert_stats(spark, d):
+    return explain.alert_stats(score_table(spark, d))
+
+
+@query
+def j1_risk_histogram(spark, d):
+    return explain.risk_histogram(score_table(spark, d))
+
+
+@query
+def j2_pca_scatter(spark, d):
+    return explain.pca_scatter(iterate.stage(relational_features(spark, d)))
+
+
+@query
+def j3_component_stack(spark, d):
+    return explain.component_stack(score_table(spark, d))
+
+
+@query
+def j4_ego_edges(spark, d):
+    return r6(iterate.ego_network(edge_table(spark, d), 7, 1)[1].select("src", "dst", "weight"))
+
+
+@query
+def j5_fraud_network(spark, d):
+    return explain.fraud_network(edge_table(spark, d), vertex_table(spark, d))
+
+
+@query
+def j8_pr_curve(spark, d):
+    return metrics.pr_curve(_labelled(spark, d))
+
+
+@query
+def j9_timeline(spark, d):
+    return explain.timeline(p2p(spark, d).filter("sender_id % 20 = 0")).filter("account_id % 20 = 0")
+
+
+@query
+def z13_simulate(spark, d):
+    cfg = simulate.Simulation(total_accounts=500, simulation_days=90, total_transactions=5000)
+    return simulate.simulate(spark, cfg)[1]
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return twins.oracle_sql()
