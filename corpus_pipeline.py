@@ -7,10 +7,13 @@ return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import discard, recording, shared_dir
 from ledgerlens.llm.compression import fit_toxicity, score_toxicity
 from ledgerlens.llm.decontaminate import decontaminate
 from ledgerlens.llm.mixing import mix_sources
@@ -22,12 +25,30 @@ from ledgerlens.llm.token_files import read_shards, write_shards
 TOXIC = 0.7
 
 
+#: Stage tables of the latest stage. Its output is written before the next stage starts, which deletes them.
+_held: list[str] = []
+
+
+def _tidy(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _held)
+        with recording() as paths:
+            out = stage(spark, docs, sf_dir)
+        _held.extend(paths)
+        return out
+
+    return run_stage
+
+
+@_tidy
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the compression classifier rejects."""
     model = fit_toxicity(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).filter(F.col("score") < TOXIC).select(docs.columns)
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of texts that share 0.8 or more of their five-word shingles the document
     of the smallest id, once. Rows without an id cannot be told apart and stay."""
@@ -36,12 +57,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
+@_tidy
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a ten-word window of a benchmark item."""
     hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hits.filter(F.size("items") == 0).select(docs.columns)
 
 
+@_tidy
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as its source's target asks, at most three times, and leaves out those not drawn.
 
@@ -52,6 +75,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.unionByName(docs.filter("doc_id IS NULL"))
 
 
+@_tidy
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token shards and returns their index, read back: doc_id, start, n_tokens, ids_crc32."""
     return read_shards(write_shards(docs, tokenizer_path()))
@@ -70,7 +94,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each output is a Parquet table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

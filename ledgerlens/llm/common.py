@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -45,14 +46,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+#: Lists that take the paths of stage tables as they are written; see recording().
+_recorders: list[list[str]] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for r in _recorders:
+        r.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recording():
+    """The paths of the stage tables written inside, to be given to discard() once nothing reads them."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [r for r in _recorders if r is not paths]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stage tables, through the file system that holds them."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    paths.clear()
+
+
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -8,14 +8,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, int64, mix64, ngram_hash, steps, table
+from .common import SPACE, Words, discard, int64, mix64, ngram_hash, recording, steps, table
 
 #: Counters of the frequency sketch (16 MB when broadcast) and the pieces it travels in.
 SLOT_BITS, PIECES = 22, 64
 #: Words of 64 bits in a set's parity bitmap.
 MAP_WORDS = 8
-#: Rounds that test spanning forests of the candidates before all that is left is tested at once.
-FOREST_ROUNDS = 3
+#: Sets of a group that one task holds; two blocks of a larger group meet in a task.
+BLOCK_NODES = 4096
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,91 +187,105 @@ def postings(texts: DataFrame, k: int, num: int, den: int, seed: int, counts: np
     return texts.select("text").mapInArrow(listed, spec).repartition("key").sortWithinPartitions("key").mapInArrow(shared, spec)
 
 
-def candidate_edges(node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, refused: set, num: int, den: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs of one key's sets in different classes that may reach the threshold: sizes in ratio, and
-    parity bitmaps that differ in no more bits than the sets may (each differing token flips one bit).
+def fits(n: np.ndarray, bits: np.ndarray, u: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether set u may reach the threshold with each other: sizes in ratio, and parity bitmaps that
+    differ in no more bits than the sets may (each differing token flips one bit)."""
+    total = n[u] + n[others]
+    room = total - 2 * (-(-num * total // (num + den)))
+    ok = den * np.minimum(n[u], n[others]) >= num * np.maximum(n[u], n[others])
+    ok[ok] = np.bitwise_count(bits[u] ^ bits[others[ok]]).sum(1) <= room[ok]
+    return ok
 
-    Unless ``every``, a spanning forest of those pairs: each set is held against the sets not yet
-    reached, so a group of near copies takes one pass over it, not one for each of its members.
-    """
+
+def forest(n: np.ndarray, test) -> list[tuple[int, int]]:
+    """A spanning forest of the graph whose edges ``test(u, others)`` tells: each vertex is held against
+    those not yet reached, so a group of near copies takes one pass over it, not one for each member."""
     out: list[tuple[int, int]] = []
-    left = np.lexsort((node, n))
+    left = np.argsort(n, kind="stable")
     while len(left):
-        same = label[left] == label[left[0]]
-        queue, left = left[same].tolist(), left[~same]
+        queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             u = queue.pop()
-            total = n[u] + n[left]
-            room = total - 2 * (-(-num * total // (num + den)))
-            fits = den * np.minimum(n[u], n[left]) >= num * np.maximum(n[u], n[left])
-            fits &= np.bitwise_count(bits[u] ^ bits[left]).sum(1) <= room
-            hits = left[fits]
-            if len(hits) and refused:
-                hits = np.array([v for v in hits.tolist() if (min(node[u], node[v]), max(node[u], node[v])) not in refused], np.int64)
-            if not len(hits):
-                continue
-            if every:
-                out += [(int(min(node[u], node[v])), int(max(node[u], node[v]))) for v in hits.tolist()]
-                continue
-            _, one = np.unique(label[hits], return_index=True)
-            for v in hits[one].tolist():
-                out.append((int(min(node[u], node[v])), int(max(node[u], node[v]))))
-            reached = np.isin(label[left], label[hits])
-            queue += left[reached].tolist()
-            left = left[~reached]
+            hit = test(u, left)
+            for v in left[hit].tolist():
+                out.append((u, v))
+                queue.append(v)
+            left = left[~hit]
     return out
 
 
-def candidates(members: DataFrame, labels: DataFrame | None, refused: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (key, a, b) to test next. ``members``: key, node, n, bits. Pairs in one class already are
-    left out, and so are those that ``refused`` (key, a, b) names for the key."""
-    rows = members.select("key", "node", "n", "bits")
-    rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").select("key", "node", "n", "bits", F.coalesce("label", "node").alias("label"))
-    if refused is not None:  # as rows of size 0: node refuses label
-        rows = rows.unionByName(refused.select("key", F.col("a").alias("node"), F.lit(0).alias("n"), F.lit(b"").alias("bits"), F.col("b").alias("label")))
+def candidates(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that span, key by key, the sets that may reach the threshold. ``members``: key, node, n, bits."""
 
     def pairs(batches):
         for t in runs(batches):
-            key, node, n, label = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
-            bits = t.column(3).combine_chunks()
+            key, node, n = (t.column(i).to_numpy() for i in range(3))
+            n = n.astype(np.int64)
+            bits = np.frombuffer(b"".join(x.as_py() for x in t.column(3)), "<u8").reshape(len(key), -1)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            out: list = []
+            out: set = set()
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                size = n[lo:hi]
-                real = np.flatnonzero(size > 0)
-                if len(real) < 2 or len(np.unique(label[lo:hi][real])) < 2:
-                    continue
-                no = np.flatnonzero(size == 0)
-                no = {(int(x), int(y)) for x, y in zip(node[lo:hi][no], label[lo:hi][no], strict=True)}
-                raw = b"".join(bits[lo + i].as_py() for i in real.tolist())
-                vec = np.frombuffer(raw, "<u8").reshape(len(real), -1)
-                got = candidate_edges(node[lo:hi][real], size[real].astype(np.int64), vec, label[lo:hi][real], no, num, den, every)
-                out += [(int(key[lo]), x, y) for x, y in got]
+                m, b, name = n[lo:hi], bits[lo:hi], node[lo:hi]
+                for u, v in forest(m, lambda u, o: fits(m, b, u, o, num, den)):  # noqa: B023
+                    x, y = int(name[u]), int(name[v])
+                    out.add((min(x, y), max(x, y)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in sorted(out)], pa.int64()) for i in range(2)], ["a", "b"])
+
+    rows = members.select("key", "node", "n", "bits").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(pairs, "a long, b long").distinct()
 
-    return rows.select("key", "node", "n", "bits", "label").repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "key long, a long, b long")
 
+def verified_links(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span every group's sets of similarity num / den or more, tested on the whole sets.
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs with ``ok``: whether the whole sets reach the threshold. ``texts``: node and text."""
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    ``groups``: node and label. All sets that may be linked share a label. A group of up to
+    BLOCK_NODES sets is one task's; a larger one is cut into blocks and each two blocks meet in a
+    task of their own, so a task's memory is bounded whatever the group's size.
+    """
+    size = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("g"))
+    rows = groups.join(size, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    other = F.explode(F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("g") - 1), F.col("own"))))
+    rows = rows.withColumn("other", other).select("node", F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    rows = texts.withColumnRenamed("doc_id", "node").join(rows, "node").select("task", "node", "text")
 
     def test(batches):
-        for batch, col in steps(batches):
-            x, a = shingle_sets(Words(col, SPACE, True), k)
-            y, b = shingle_sets(Words(batch.column(batch.schema.get_field_index("other")), SPACE, True), k)
-            m = len(col)
-            na, nb = np.bincount(x, minlength=m), np.bincount(y, minlength=m)
-            pair, value = np.concatenate([x, y]), np.concatenate([a, b])
-            order = np.lexsort((value, pair))
-            pair, value = pair[order], value[order]
-            both = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
-            common = np.bincount(pair[1:][both], minlength=m)
-            ok = den * common >= num * (na + nb - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "ok"])
+        for t in runs(batches):
+            task = t.column(0).to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+            out: set = set()
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                part = t.slice(lo, hi - lo).combine_chunks().to_batches()
+                sets, name, bits, n = [], [], [], []
+                for batch, col in steps(part):
+                    doc, value = shingle_sets(Words(col, SPACE, True), k)
+                    size, _, _, bit = set_keys(doc, value, len(col), 0)
+                    sets.append(value)
+                    name.append(batch.column(1).to_numpy())
+                    bits.append(bit)
+                    n.append(size)
+                sets, name, bits, n = map(np.concatenate, (sets, name, bits, n))
+                first = np.cumsum(n) - n
+
+                def linked(u, others):
+                    ok = fits(n, bits, u, others, num, den)  # noqa: B023
+                    cand = others[ok]
+                    if len(cand):
+                        m = n[cand]  # noqa: B023
+                        ends = np.cumsum(m)
+                        value = sets[np.arange(ends[-1]) + np.repeat(first[cand] - ends + m, m)]  # noqa: B023
+                        mine = sets[first[u] : first[u] + n[u]]  # noqa: B023
+                        found = mine[np.minimum(np.searchsorted(mine, value), len(mine) - 1)] == value
+                        common = np.add.reduceat(found.astype(np.int64), ends - m)
+                        ok[ok] = den * common >= num * (n[u] + m - common)  # noqa: B023
+                    return ok
+
+                for u, v in forest(n, linked):
+                    out.add((int(min(name[u], name[v])), int(max(name[u], name[v]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in sorted(out)], pa.int64()) for i in range(2)], ["a", "b"])
 
-    return rows.select("a", "b", "text", "other").mapInArrow(test, "a long, b long, ok boolean")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(test, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,15 +295,19 @@ def components(links: DataFrame) -> DataFrame:
     least neighbour. Both are a min per node and a join; a node with very many links is one group
     for the partial aggregate and a skewed join, which AQE splits.
     """
-    e = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
+    spark = links.sparkSession
+    with recording() as old:
+        e = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = table(large, "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = table(small.distinct(), "cc")
+        with recording() as new:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+            large = table(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+            e = table(small.distinct(), "cc")
+        discard(spark, old + new[:1])
+        old = new[1:]
         if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():  # all edges lead to roots
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
@@ -298,10 +316,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 4, den: int
     """Per document: id, n_shingles and component_id, the least id reachable by links of similarity num / den or more.
 
     Equal sets collapse first, so exact copies are one node wherever they are. Nodes meet under
-    prefix keys; of each key's candidates only a spanning forest is tested on the whole sets; links
-    found merge classes, refused pairs are remembered, and the next round spans what is still apart.
-    After FOREST_ROUNDS rounds every remaining candidate between classes is tested, so the components
-    are those of all links, though pairs within a class are not all listed.
+    prefix keys; a spanning forest of each key's candidates (sizes and bitmaps allow the pair) joins
+    nodes into groups, which hold every linked pair. Each group's whole sets are then tested, again
+    as a forest: a set is held only against sets not yet reached, so linked groups are not squared.
+    The components are those of all links, though pairs within a component are not all listed.
 
     Defined cases: null or empty texts have no set, are linked with nothing and are their own
     component; rows with a null id are returned with a null component; rows of one id are one
@@ -316,32 +334,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 4, den: int
         return jaccard_components(docs, shingle, num, den, id_col, text_col, seed + 1)  # two sets with one 64-bit hash
     texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     posted = postings(texts, shingle, num, den, seed, counts)
-    members = posted.withColumnRenamed("node", "k1").join(nodes.select("k1", "node", "n", "bits"), "k1").select("key", "node", "n", "bits")
-    members = table(members, "members")
-    labels = refused = links = held = tested = None
-    for turn in range(FOREST_ROUNDS + 1):
-        found = table(candidates(members, labels, refused, num, den, turn == FOREST_ROUNDS), "candidates")
-        pairs = found.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = table(pairs, "pairs")
-        if held is None:  # every set with a candidate is in the first forests
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            held = table(texts.join(ids, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "node-texts")
-        new = table(verified(pairs, held, shingle, num, den), "tested")
-        tested = new if tested is None else tested.unionByName(new)
-        good = new.filter("ok").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-        # a key whose forest holds has nothing left to test; the others go on without the refused pairs
-        no = table(found.join(tested.filter("NOT ok").select("a", "b"), ["a", "b"]).select("key", "a", "b"), "refused")
-        refused = no if refused is None else refused.unionByName(no)
-        keys = no.select("key").distinct()
-        if keys.isEmpty():
-            break
-        if turn < FOREST_ROUNDS:
-            members = table(members.join(keys, "key", "left_semi"), "members")
-            refused = refused.join(keys, "key", "left_semi")
+    members = posted.withColumnRenamed("node", "k1").join(nodes.select("k1", "node", "n", "bits"), "k1")
+    with recording() as scratch:
+        pairs = table(candidates(members, num, den), "pairs")
+        labels = None
+        if not pairs.isEmpty():
+            links = table(verified_links(texts, components(pairs), shingle, num, den), "links")
+            labels = None if links.isEmpty() else table(components(links), "components")
+    if labels is not None:
+        scratch.remove(scratch[-1])
+    discard(texts.sparkSession, scratch)
     out = sets.select("doc_id", "n", "k1", "k2").join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
