@@ -97,7 +97,7 @@ def psi(a: DataFrame, b: DataFrame, bins: int = 20) -> DataFrame:
     bin_ = F.when(w < 1e-10, 0).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / F.nullif(w, F.lit(0.0)) * bins), F.lit(bins - 1)))
     cells = both.join(F.broadcast(span), "feature").groupBy("feature", bin_.alias("bin")).agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"), F.max(w).alias("w"))
     n = cells.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.max("w").alias("w"))
-    grid = n.select("feature", "na", "nb", "w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    grid = n.select("feature", "na", "nb", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     rows = grid.join(cells.select("feature", F.col("bin").cast("long").alias("bin"), "a", "b"), ["feature", "bin"], "left")
     p, q = (zero("a") + 1.0) / (F.col("na") + bins), (zero("b") + 1.0) / (F.col("nb") + bins)
     return rows.groupBy("feature").agg(F.when(F.max("w") < 1e-10, 0.0).otherwise(F.round(F.sum((q - p) * F.ln(q / p)), 6)).alias("psi"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,7 +13,8 @@ from ..operators import behavioral as beh
 from ..operators import embeddings as emb
 from ..operators import explain, graph, iterate, metrics, patterns, propagation, scoring, sequences, simulate, structural, training, validate
 from ..sources import io
-from . import twins
+from ..streaming import ingest
+from . import pipeline, twins
 from .views import accounts, ev, ledger, p2p, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -419,7 +421,7 @@ def x3_evaluation_report(spark, d):
 
 @query
 def t1_temporal_split(spark, d):
-    return training.temporal_split(p2p(spark, d), accounts(spark, d))
+    return training.temporal_split(p2p(spark, d), accounts(spark, d), fill_empty=False)
 
 
 @query
@@ -606,6 +608,35 @@ def j9_timeline(spark, d):
     return explain.timeline(p2p(spark, d).filter("sender_id % 20 = 0")).filter("account_id % 20 = 0")
 
 
+@query
+def stream_clean(spark, d):
+    """The ledger as a stream of files, cleaned with dedup within the watermark; equals the batch result."""
+    base = f"{iterate.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = p2p(spark, d).select(F.col("transaction_id").cast("string").alias("transaction_id"), F.col("sender_id").cast("string").alias("sender_id"), F.col("receiver_id").cast("string").alias("receiver_id"), "amount", "timestamp", "transaction_type")
+    rows.unionByName(rows.filter("amount > 100000")).write.parquet(f"{base}/in")
+    out = ingest.clean_stream(ingest.read_stream(spark, f"{base}/in"), "36500 days")
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("transaction_id").cast("long").alias("transaction_id"), "amount")
+
+
+@query
+def stream_edges(spark, d):
+    """Edges merged from two micro-batches equal the edges of the whole."""
+    base = f"{iterate.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = p2p(spark, d).select(F.col("transaction_id").cast("string").alias("transaction_id"), F.col("sender_id").cast("string").alias("sender_id"), F.col("receiver_id").cast("string").alias("receiver_id"), "amount", "timestamp", "transaction_type")
+    store = io.FileStore(spark, f"{base}/store")
+    for part in range(2):
+        rows.filter(f"CAST(transaction_id AS bigint) % 2 = {part}").write.mode("append").parquet(f"{base}/in")
+        ingest.running_edges(ingest.read_stream(spark, f"{base}/in"), store, f"{base}/state").awaitTermination()
+    return store.read("edges").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.round("weight", 6).alias("weight"), "frequency")
+
+
+@query
+def evaluate(spark, d):
+    """The whole scoring flow with small models."""
+    return pipeline.evaluate(accounts(spark, d), p2p(spark, d), pipeline.SMALL)["scores"]
+
+
 @query
 def z13_simulate(spark, d):
     cfg = simulate.Simulation(total_accounts=500, simulation_days=90, total_transactions=5000)
