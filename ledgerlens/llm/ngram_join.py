@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Words, discard, int64, mix64, ngram_hash, recording, steps, table
 
-#: Counters of the frequency sketch (16 MB when broadcast) and the pieces it travels in.
-SLOT_BITS, PIECES = 22, 64
-#: Words of 64 bits in a set's parity bitmap.
-MAP_WORDS = 8
+#: Counters of the frequency sketch (a byte each when broadcast: 16 MB) and the pieces it travels in.
+SLOT_BITS, PIECES = 24, 64
+#: Words of 64 bits in a set's parity bitmap, and in the larger one that a group's long sets get.
+MAP_WORDS, WIDE_WORDS = 16, 256
 #: Sets of a group that one task holds; two blocks of a larger group meet in a task.
 BLOCK_NODES = 4096
 
@@ -39,27 +39,26 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
-def set_keys(doc: np.ndarray, value: np.ndarray, n_docs: int, seed: int) -> tuple[np.ndarray, ...]:
+def set_keys(doc: np.ndarray, value: np.ndarray, n_docs: int, seed: int, words: int = MAP_WORDS) -> tuple[np.ndarray, ...]:
     """Size, 128-bit hash and parity bitmap of each text's set."""
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     n = np.diff(first)
     full = n > 0
     k1, k2 = np.zeros(n_docs, np.uint64), np.zeros(n_docs, np.uint64)
-    bits = np.zeros((n_docs, MAP_WORDS), np.uint64)
+    bits = np.zeros((n_docs, words), np.uint64)
     if full.any():
         head = first[:-1][full]
         for out, salt in ((k1, 2 * seed + 1), (k2, 2 * seed + 2)):
             out[full] = np.add.reduceat(mix64(value + np.uint64(salt)), head)
         one = np.uint64(1) << (value & np.uint64(63))
-        part = (value >> np.uint64(6)) % np.uint64(MAP_WORDS)
-        for j in range(MAP_WORDS):
-            bits[full, j] = np.bitwise_xor.reduceat(np.where(part == j, one, np.uint64(0)), head)
+        part = ((value >> np.uint64(6)) % np.uint64(words)).astype(np.int64)
+        np.bitwise_xor.at(bits.reshape(-1), doc * words + part, one)
     return n, k1, k2, bits
 
 
 def described(texts: DataFrame, k: int, seed: int) -> tuple[DataFrame, np.ndarray]:
     """One pass over all texts: a row per text (doc_id, n, k1, k2, bits), and a sketch of how many
-    texts have shingles of each slot, a fixed number of counters over all texts."""
+    texts have shingles of each slot, a fixed number of counters over all texts that stop at 255."""
     size = 1 << SLOT_BITS
     step = size // PIECES
     names = ["doc_id", "n", "k1", "k2", "bits", "piece", "counts"]
@@ -70,30 +69,30 @@ def described(texts: DataFrame, k: int, seed: int) -> tuple[DataFrame, np.ndarra
         return pa.RecordBatch.from_arrays([pad(doc_id, pa.int64()), pad(n, pa.int32()), pad(k1, pa.int64()), pad(k2, pa.int64()), pad(bits, pa.binary()), pad(piece, pa.int32()), pad(counts, pa.binary())], names)
 
     def describe(batches):
-        sums = np.zeros(size, np.int64)
+        sums = np.zeros(size, np.uint32)
         for batch, col in steps(batches):
             doc, value = shingle_sets(Words(col, SPACE, True), k)
-            sums += np.bincount((value >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=size)
+            np.add.at(sums, (value >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
             n, k1, k2, bits = set_keys(doc, value, len(col), seed)
             yield rows(batch.column(0), pa.array(n.astype(np.int32)), int64(k1), int64(k2), pa.array([r.tobytes() for r in bits], pa.binary()), [], [])
         c = zstandard.ZstdCompressor(level=1)
-        yield rows([], [], [], [], [], pa.array(range(PIECES), pa.int32()), pa.array([c.compress(sums[i * step : (i + 1) * step].astype("<u8").tobytes()) for i in range(PIECES)], pa.binary()))
+        yield rows([], [], [], [], [], pa.array(range(PIECES), pa.int32()), pa.array([c.compress(np.minimum(sums[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes()) for i in range(PIECES)], pa.binary()))
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(d.decompress(raw), "<u8")
-                total[piece] = total[piece] + got if piece in total else got
+                got = np.frombuffer(d.decompress(raw), np.uint8).astype(np.uint16)
+                total[piece] = np.minimum(total[piece] + got, 255) if piece in total else got
         c = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.compress(np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes()) for x in total.values()], pa.binary())], ["piece", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.compress(x.astype(np.uint8).tobytes()) for x in total.values()], pa.binary())], ["piece", "counts"])
 
     made = table(texts.mapInArrow(describe, "doc_id long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "sets")
-    out = np.zeros(size, np.uint32)
+    out = np.zeros(size, np.uint8)
     d = zstandard.ZstdDecompressor()
     for r in made.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(add, "piece int, counts binary").collect():  # PIECES rows
-        out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(d.decompress(bytes(r.counts)), "<u4")
+        out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(d.decompress(bytes(r.counts)), np.uint8)
     return made.filter("piece IS NULL").drop("piece", "counts"), out
 
 
@@ -145,7 +144,7 @@ def runs(batches):
 def postings(texts: DataFrame, k: int, num: int, den: int, seed: int, counts: np.ndarray) -> DataFrame:
     """key and node (the set's 64-bit hash) of every set that another set could be linked to."""
     load = float(counts.mean())
-    often = int(max(256, 8 * load))
+    often = int(min(255, max(64, 8 * load)))  # where all slots are full every token is frequent: pairs of them still find all
     least = -(-num // (den - num))  # smaller sets link to equal sets only
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
@@ -187,30 +186,35 @@ def postings(texts: DataFrame, k: int, num: int, den: int, seed: int, counts: np
     return texts.select("text").mapInArrow(listed, spec).repartition("key").sortWithinPartitions("key").mapInArrow(shared, spec)
 
 
-def fits(n: np.ndarray, bits: np.ndarray, u: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether set u may reach the threshold with each other: sizes in ratio, and parity bitmaps that
-    differ in no more bits than the sets may (each differing token flips one bit)."""
+def few_bits(n: np.ndarray, bits: np.ndarray, u: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether set u may reach the threshold with each other: their parity bitmaps differ in no more bits
+    than the sets may (each differing token flips one bit)."""
     total = n[u] + n[others]
     room = total - 2 * (-(-num * total // (num + den)))
-    ok = den * np.minimum(n[u], n[others]) >= num * np.maximum(n[u], n[others])
-    ok[ok] = np.bitwise_count(bits[u] ^ bits[others[ok]]).sum(1) <= room[ok]
-    return ok
+    return np.bitwise_count(bits[u] ^ bits[others]).sum(1) <= room
 
 
-def forest(n: np.ndarray, test) -> list[tuple[int, int]]:
-    """A spanning forest of the graph whose edges ``test(u, others)`` tells: each vertex is held against
-    those not yet reached, so a group of near copies takes one pass over it, not one for each member."""
+def forest(n: np.ndarray, num: int, den: int, test) -> list[tuple[int, int]]:
+    """A spanning forest of the graph whose edges ``test(u, others)`` tells among sets whose sizes are in
+    ratio: each vertex is held against those not yet reached, so a group of near copies takes one pass
+    over it, not one for each member."""
     out: list[tuple[int, int]] = []
     left = np.argsort(n, kind="stable")
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             u = queue.pop()
-            hit = test(u, left)
-            for v in left[hit].tolist():
-                out.append((u, v))
-                queue.append(v)
-            left = left[~hit]
+            sizes = n[left]
+            lo, hi = np.searchsorted(sizes, -(-num * n[u] // den), "left"), np.searchsorted(sizes, den * n[u] // num, "right")
+            near = left[lo:hi]
+            if not len(near):
+                continue
+            hit = test(u, near)
+            if hit.any():
+                reached = near[hit].tolist()
+                out += [(u, v) for v in reached]
+                queue += reached
+                left = np.concatenate([left[:lo], near[~hit], left[hi:]])
     return out
 
 
@@ -226,7 +230,7 @@ def candidates(members: DataFrame, num: int, den: int) -> DataFrame:
             out: set = set()
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 m, b, name = n[lo:hi], bits[lo:hi], node[lo:hi]
-                for u, v in forest(m, lambda u, o: fits(m, b, u, o, num, den)):  # noqa: B023
+                for u, v in forest(m, num, den, lambda u, o: few_bits(m, b, u, o, num, den)):  # noqa: B023
                     x, y = int(name[u]), int(name[v])
                     out.add((min(x, y), max(x, y)))
             if out:
@@ -256,19 +260,21 @@ def verified_links(texts: DataFrame, groups: DataFrame, k: int, num: int, den: i
             out: set = set()
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 part = t.slice(lo, hi - lo).combine_chunks().to_batches()
-                sets, name, bits, n = [], [], [], []
+                sets, name, bits, wide, n = [], [], [], [], []
                 for batch, col in steps(part):
                     doc, value = shingle_sets(Words(col, SPACE, True), k)
                     size, _, _, bit = set_keys(doc, value, len(col), 0)
                     sets.append(value)
                     name.append(batch.column(1).to_numpy())
                     bits.append(bit)
+                    wide.append(set_keys(doc, value, len(col), 0, WIDE_WORDS)[3])
                     n.append(size)
-                sets, name, bits, n = map(np.concatenate, (sets, name, bits, n))
+                sets, name, bits, wide, n = map(np.concatenate, (sets, name, bits, wide, n))
                 first = np.cumsum(n) - n
 
                 def linked(u, others):
-                    ok = fits(n, bits, u, others, num, den)  # noqa: B023
+                    ok = few_bits(n, bits, u, others, num, den)  # noqa: B023
+                    ok[ok] = few_bits(n, wide, u, others[ok], num, den)  # noqa: B023
                     cand = others[ok]
                     if len(cand):
                         m = n[cand]  # noqa: B023
@@ -280,7 +286,7 @@ def verified_links(texts: DataFrame, groups: DataFrame, k: int, num: int, den: i
                         ok[ok] = den * common >= num * (n[u] + m - common)  # noqa: B023
                     return ok
 
-                for u, v in forest(n, linked):
+                for u, v in forest(n, num, den, linked):
                     out.add((int(min(name[u], name[v])), int(max(name[u], name[v]))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in sorted(out)], pa.int64()) for i in range(2)], ["a", "b"])
