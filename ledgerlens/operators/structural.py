@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import zero
@@ -72,21 +72,23 @@ def clustering(edge: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def core_numbers(edge: DataFrame, ids: DataFrame) -> DataFrame:
-    """Largest k whose k-core holds the vertex, by peeling; loops are left out."""
+    """Largest k whose k-core holds the vertex; loops are left out.
+
+    Every vertex starts at its degree and takes the h-index of its neighbours' values until none
+    moves, which is the core number. Values are counted per vertex before they are ordered, so a
+    vertex with very many neighbours is a few rows.
+    """
     near = stage(both_ways(undirected(edge)), "core")
-    found = ids.sparkSession.createDataFrame([], ids.select("account_id").schema.add("k_core_number", "long"))
-    k = 0
-    while not near.isEmpty():
-        degree = near.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-        low = degree.agg(F.min("d")).first()[0]
-        k = max(k, low)
-        gone = stage(degree.filter(F.col("d") <= k).select("u"), "core-gone")
-        found = found.unionByName(gone.select(F.col("u").alias("account_id"), F.lit(k).cast("long").alias("k_core_number")))
-        near = stage(near.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"), "core")
-        # vertices whose neighbours have all gone leave the table; they belong to this core
-        last = degree.select("u").join(gone, "u", "left_anti").join(near.select("u").distinct(), "u", "left_anti")
-        found = stage(found.unionByName(last.select(F.col("u").alias("account_id"), F.lit(k).cast("long").alias("k_core_number"))), "core-found")
-    return ids.select("account_id").join(found, "account_id", "left").select("account_id", zero("k_core_number").cast("long").alias("k_core_number"))
+    value = stage(near.groupBy("u").agg(F.count(F.lit(1)).alias("k")), "core")
+    high = Window.partitionBy("u").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    while True:
+        seen = near.join(value.withColumnRenamed("u", "v"), "v").groupBy("u", "k").agg(F.count(F.lit(1)).alias("n"))
+        h = seen.select("u", F.least("k", F.sum("n").over(high)).alias("h")).groupBy("u").agg(F.max("h").alias("h"))
+        new = stage(value.join(h, "u").select("u", F.least("k", "h").alias("k"), (F.col("h") < F.col("k")).alias("moved")), "core")
+        value = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            break
+    return ids.select("account_id").join(value, F.col("account_id") == F.col("u"), "left").select("account_id", zero("k").cast("long").alias("k_core_number"))
 
 
 def scc_sizes(edge: DataFrame, ids: DataFrame) -> DataFrame:
