@@ -49,14 +49,14 @@ def path_attribution(model, columns: list[str], values: list[float]) -> dict[str
     out = dict.fromkeys(columns, 0.0)
 
     def mean(node):
-        kids = node.subtreeDepth() > 0
-        if not kids:
-            return node.prediction(), node.impurityStats().count()
+        """Mean prediction below a node and the number of rows it was learnt from."""
+        if node.subtreeDepth() == 0:
+            return node.prediction(), max(1, node.impurityStats().count())
         (a, m), (b, n) = mean(node.leftChild()), mean(node.rightChild())
         return (a * m + b * n) / (m + n), m + n
 
-    for tree, w in zip(model._java_obj.trees() if hasattr(model, "_java_obj") else model._call_java("trees"), model.treeWeights, strict=True):
-        node = tree.rootNode()
+    for tree, w in zip(model.trees, model.treeWeights, strict=True):
+        node = tree._call_java("rootNode")
         while node.subtreeDepth() > 0:
             split = node.split()
             j = split.featureIndex()

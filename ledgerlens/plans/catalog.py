@@ -145,6 +145,26 @@ def v8_account_coverage(spark, d):
     return validate.account_coverage(p2p(spark, d), accounts(spark, d))
 
 
+@query
+def v9_validate_all(spark, d):
+    out = validate.validate_all(p2p(spark, d), accounts(spark, d))
+    return spark.createDataFrame([(k, bool(v["passed"])) for k, v in out.items() if k != "passed"], "check string, passed boolean")
+
+
+@query
+def s2_csv_scan(spark, d):
+    base = f"{iterate.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    t = p2p(spark, d).select("transaction_id", "sender_id", "receiver_id", "amount", "timestamp", "transaction_type")
+    t.write.option("header", True).csv(f"{base}/t")
+    accounts(spark, d).select("account_id", "creation_date", "account_type", "kyc_level", "geographic_region").write.option("header", True).csv(f"{base}/a")
+    return io.load_csv(spark, f"{base}/t", f"{base}/a")[0].select(F.col("transaction_id").cast("long").alias("transaction_id"), "amount", "transaction_type")
+
+
+@query
+def s13_feature_entries(spark, d):
+    return io.cache_entries(r6(beh.behavioral_features(p2p(spark, d))), "features", 1800)
+
+
 # ---- graph and behaviour
 
 
@@ -336,6 +356,12 @@ def q5_sequence_anomaly(spark, d):
     return sequences.SequenceEncoder(8).fit(s).anomaly(s)
 
 
+@query
+def q4_sequence_codes(spark, d):
+    s = iterate.stage(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), 50), 50))
+    return sequences.SequenceEncoder(4).fit(s).encode(s)
+
+
 # ---- scores
 
 
@@ -541,6 +567,25 @@ def h2_batch_decompose(spark, d):
     return explain.batch_decompose(f, scoring.static_scores(f), 20, 5).select("account_id", "risk_score", F.col("rank").cast("long").alias("rank"), "feature", "value")
 
 
+@query
+def h3_path_attribution(spark, d):
+    """Contributions of the signals to the meta-model's raw score of one account."""
+    s, y = _meta(spark, d)
+    m = scoring.MetaModel(trees=3, depth=3)
+    m.fit(s, y)
+    row = s.filter("account_id = 7").first()
+    got = explain.path_attribution(m.model, m.columns, [float(row[c]) for c in m.columns])
+    return spark.createDataFrame(sorted(got.items()), "signal string, contribution double")
+
+
+@query
+def m3_importance(spark, d):
+    s, y = _meta(spark, d)
+    m = scoring.MetaModel(trees=3)
+    m.fit(s, y)
+    return spark.createDataFrame(m.importance(), "signal string, importance double")
+
+
 @query
 def h4_account_activity(spark, d):
     return explain.account_activity(p2p(spark, d))
@@ -640,6 +685,16 @@ def evaluate(spark, d):
     return pipeline.evaluate(accounts(spark, d), p2p(spark, d), pipeline.SMALL)["scores"]
 
 
+@query
+def z1_accounts(spark, d):
+    return simulate.accounts(spark, simulate.Simulation(total_accounts=1000)).drop("n")
+
+
+@query
+def z6_inject(spark, d):
+    return simulate.inject(spark, simulate.Simulation(total_accounts=1000, simulation_days=90))[0]
+
+
 @query
 def z13_simulate(spark, d):
     cfg = simulate.Simulation(total_accounts=500, simulation_days=90, total_transactions=5000)

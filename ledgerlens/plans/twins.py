@@ -176,6 +176,7 @@ def oracle_sql() -> dict[str, str]:
     sides = f"SELECT account_id, {r(['incoming_volume', 'avg_incoming_amount'])}, max_incoming_amount, incoming_txn_count, incoming_counterparty_diversity FROM ({INC})"
     return {
         "s1_parquet_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
+        "s2_csv_scan": f"{WITH} SELECT transaction_id, amount, transaction_type FROM p2p",
         "s3_clean_batch": f"{WITH_LEDGER} SELECT transaction_id, amount, \"timestamp\" FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY \"timestamp\", sender_id, receiver_id, amount) AS r FROM ledger WHERE amount > 0 AND sender_id <> receiver_id) WHERE r = 1",
         "s6_point_read": f"{SCORES} SELECT * FROM scores WHERE account_id = 7",
         "s8_upsert_scores": f"{SCORES} SELECT account_id, CASE WHEN account_id % 3 = 0 THEN 0.0 ELSE risk_score END AS risk_score FROM scores",
