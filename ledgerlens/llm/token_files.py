@@ -31,14 +31,16 @@ MAGIC = b"EFIDS\x00\x00\x01"
 _HEAD = struct.Struct("<QQQqB")
 #: A shard closes at so many ids; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
+#: Words whose ids a worker remembers; beyond, it starts anew.
+CACHE_WORDS = 500_000
 #: Bytes of text that are encoded at a time: the more, the fewer distinct words.
 ENCODE_BYTES = 16 << 20
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins over it, so a text's ids
-    are its words' ids one after the other: each distinct word of a step is encoded once, in runs of
-    words with the one-token word BAR between them, and ids are gathered from there."""
+    are its words' ids one after the other: each distinct word is encoded once, in runs of words
+    with the one-token word BAR between them, remembered, and ids are gathered from there."""
 
     BAR, RUN = "|", 2000
 
@@ -51,13 +53,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.bar = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
+        self.forget()
 
-    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, one after the other, and how many each has."""
-        own = np.asarray(pc.match_substring(words, self.BAR).to_numpy(zero_copy_only=False), bool)
-        if len(self.bar) != 1:
-            own[:] = True
-        rest = words.filter(pa.array(~own)).to_pylist()
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.lens = np.zeros(0, np.uint16 if self.width == 2 else np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        own = np.array([self.BAR in w for w in words], bool) if len(self.bar) == 1 else np.ones(len(words), bool)
+        rest = [w for w, o in zip(words, own.tolist(), strict=True) if not o]
         parts, lens = [], np.zeros(len(words), np.int64)
         for k in range(0, len(rest), self.RUN):
             text = f" {self.BAR} ".join(rest[k : k + self.RUN] + [""])
@@ -67,13 +72,28 @@ class Encoder:
         lens[~own] = np.diff(bars, prepend=-1) - 1
         ids = np.delete(ids, bars)
         if own.any():  # words with the bar in them: alone, and put in between
-            alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words.filter(pa.array(own)).to_pylist(), add_special_tokens=False)]
+            alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w for w, o in zip(words, own.tolist(), strict=True) if o], add_special_tokens=False)]
             at = (np.cumsum(lens) - lens)[own]
             n = np.fromiter(map(len, alone), np.int64, len(alone))
             ids = np.insert(ids, np.repeat(at, n), np.concatenate(alone))
             lens[own] = n
         return ids, lens
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of distinct words, through what is remembered."""
+        names = words.to_pylist()
+        if len(self.place) > CACHE_WORDS:
+            self.forget()
+        fresh = [w for w in names if w not in self.place]
+        if fresh:
+            ids, lens = self.encode(fresh)
+            self.place.update(zip(fresh, range(len(self.lens), len(self.lens) + len(fresh)), strict=True))
+            self.ids, self.lens = np.concatenate([self.ids, ids.astype(self.ids.dtype)]), np.concatenate([self.lens, lens])
+        slot = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        lens, at = self.lens[slot], (np.cumsum(self.lens) - self.lens)[slot]
+        take = np.arange(lens.sum()) + np.repeat(at - np.cumsum(lens) + lens, lens)
+        return self.ids[take].astype(np.uint32), lens
+
     def batch(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and the number of ids of each text."""
         coded, bounds = pieces(col)
@@ -87,6 +107,16 @@ class Encoder:
         return np.insert(flat[take], ends[bounds[1:]], end), np.diff(ends[bounds]) + 1
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder of that file, which later tasks use again."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 _B = np.arange(256)
 _LETTER = ((_B | 32) >= 0x61) & ((_B | 32) <= 0x7A) & (_B < 0x80)
 _DIGIT = (_B >= 0x30) & (_B <= 0x39)
@@ -158,7 +188,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "d
     """
 
     def write(batches):
-        coder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         names, counts, ids, held = [], [], [], 0
 
         def shut():
