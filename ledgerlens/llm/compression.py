@@ -164,7 +164,8 @@ class ToxicityModel:
         common = [w for w, _ in db.most_common(4000) if " " not in w]
         base = b" ".join(w.encode() for w in reversed(common))[-self.base_bytes :]
         self.toxic = Sizes(contrast_dictionary(a, b, da, db, base, self.dict_bytes, 6.0), self.min_match)
-        self.plain = Sizes(contrast_dictionary(b, a, db, da, base, self.dict_bytes, 6.0), self.min_match)
+        # ordinary text's dictionary is its frequent words alone: what marks other qualities of text would only add noise
+        self.plain = Sizes(b" " + base, self.min_match)
         held_a, held_b = cut(toxic, True) or toxic, cut(plain, True) or plain
         d = [self.differences(x) for x in (held_a, held_b)]
         # The threshold: the difference that the fewest texts of either class lie on the wrong side of.
