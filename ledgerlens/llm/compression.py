@@ -112,7 +112,7 @@ def contrast_dictionary(own: list[str], other: list[str], own_df: Counter, other
         if k >= max(3, share * len(own)) and p > q:
             mean = (k + other_df[w] + 1) / (n + m)
             s = (p - q) / math.sqrt(mean * (1 - min(mean, 0.999)) * (1 / n + 1 / m))
-            if s >= z and p > 8 * q:
+            if s >= z and p > 30 * q:
                 scored.append((s, w))
     scored.sort(reverse=True)
     told = {w for _, w in scored}
@@ -130,7 +130,7 @@ def contrast_dictionary(own: list[str], other: list[str], own_df: Counter, other
     return b"".join(reversed(parts)) + b" " + base
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.5) -> np.ndarray:
     """Newton steps; the last coefficient is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
     b = np.zeros(x.shape[1])
@@ -157,13 +157,14 @@ class ToxicityModel:
         if not toxic or not plain:
             self.prior = 0.0 if plain or not toxic else 1.0
             return self
-        # Every fifth text sets the threshold and the curve, the others make the dictionaries.
-        cut = lambda x, held: [t for i, t in enumerate(x) if (i % 5 == 4) == held]
+        # Every fifth text (of few texts every fourth) sets the threshold and the curve, the others make the dictionaries.
+        nth = 5 if min(len(toxic), len(plain)) >= 500 else 4
+        cut = lambda x, held: [t for i, t in enumerate(x) if (i % nth == nth - 1) == held]
         a, b = cut(toxic, False) or toxic, cut(plain, False) or plain
         da, db = word_counts(a), word_counts(b)
         common = [w for w, _ in db.most_common(4000) if " " not in w]
         base = b" ".join(w.encode() for w in reversed(common))[-self.base_bytes :]
-        self.toxic = Sizes(contrast_dictionary(a, b, da, db, base, self.dict_bytes, 6.0), self.min_match)
+        self.toxic = Sizes(contrast_dictionary(a, b, da, db, base, self.dict_bytes, 4.5), self.min_match)
         # ordinary text's dictionary is its frequent words alone: what marks other qualities of text would only add noise
         self.plain = Sizes(b" " + base, self.min_match)
         held_a, held_b = cut(toxic, True) or toxic, cut(plain, True) or plain
