@@ -134,10 +134,8 @@ def held_accuracy(spark, sf_dir, name, column):
     return out.agg(F.avg((F.col("predicted") == F.col(column)).cast("double"))).first()[0]
 
 
-def test_held_out_accuracy():
-    from pyspark.sql import SparkSession
-
-    spark, sf = SparkSession.active(), "/root/testdata/sf0.01"
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
     assert held_accuracy(spark, sf, "op4_toxicity", "toxic") > 0.9
     assert held_accuracy(spark, sf, "op8_quality", "quality") > 0.9
     lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("truth"))
