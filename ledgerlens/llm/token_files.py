@@ -32,9 +32,9 @@ _HEAD = struct.Struct("<QQQqB")
 #: A shard closes at so many ids; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 #: Words whose ids a worker remembers; beyond, it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at a time: the more, the fewer distinct words.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 6 << 20
 
 
 class Encoder:
