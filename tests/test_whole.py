@@ -1,10 +1,13 @@
 """The registered queries do the whole job: all accounts, all dimensions, production bounds."""
 
+import datetime as dt
+from collections import Counter, defaultdict
+
 from oracle import same
 
 from ledgerlens.operators import explain
 from ledgerlens.plans import catalog
-from ledgerlens.plans.views import accounts
+from ledgerlens.plans.views import accounts, p2p
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
@@ -25,3 +28,15 @@ def test_top_features_of_every_account(spark, sf_dir):
     assert {tuple(r) for r in got.filter(catalog.F.col("account_id").isin(some)).collect()} == want
     # the twin has every tenth account
     same(spark, lambda s, d: QUERIES["h1_top_features"](s, d).filter("account_id % 10 = 0"), ORACLE["h1_top_features"], sf_dir)
+
+
+def test_timeline_of_every_account(spark, sf_dir):
+    n = Counter()
+    for r in p2p(spark, sf_dir).select("sender_id", "receiver_id", catalog.F.to_date("timestamp").alias("day")).collect():
+        n[r.sender_id, r.day] += 1
+        n[r.receiver_id, r.day] += 1
+    days = defaultdict(list)
+    for a, day in n:
+        days[a].append(day)
+    want = {(a, min(x) + dt.timedelta(k)): 0 for a, x in days.items() for k in range((max(x) - min(x)).days + 1)} | dict(n)
+    assert {(r.account_id, r.day): r.n for r in QUERIES["j9_timeline"](spark, sf_dir).collect()} == want
