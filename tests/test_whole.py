@@ -3,11 +3,12 @@
 import datetime as dt
 from collections import Counter, defaultdict
 
+import numpy as np
 from oracle import same
 
 from ledgerlens.operators import explain
 from ledgerlens.plans import catalog
-from ledgerlens.plans.views import accounts, p2p
+from ledgerlens.plans.views import accounts, p2p, read
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
@@ -40,3 +41,35 @@ def test_timeline_of_every_account(spark, sf_dir):
         days[a].append(day)
     want = {(a, min(x) + dt.timedelta(k)): 0 for a, x in days.items() for k in range((max(x) - min(x)).days + 1)} | dict(n)
     assert {(r.account_id, r.day): r.n for r in QUERIES["j9_timeline"](spark, sf_dir).collect()} == want
+
+
+def test_anomalies_beyond_the_eighth_dimension(spark, tmp_path):
+    """Two groups and one vector apart, all alike in the first eight dimensions."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(41):
+        x = np.zeros(64)
+        x[20 if i < 20 else 40 if i < 40 else 60] = 1.0
+        x[8:] += 0.01 * rng.standard_normal(56)
+        rows.append((i, x.tolist()))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    n1, n2, n3, n4 = (QUERIES[n](spark, str(tmp_path)).collect() for n in ("n1_isolation_forest", "n2_local_outlier_factor", "n3_density_deviation", "n4_combined_anomaly"))
+    assert len({r.score for r in n1}) > 1
+    assert max(n2, key=lambda r: r.lof).id == 40
+    assert {r.id: r.cluster for r in n3} == {i: 0 if i < 20 else 20 if i < 40 else None for i in range(41)}
+    assert n4[0].id == 40
+
+
+def test_local_outlier_factor_by_brute_force(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    assert x.shape[1] == 64
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1, kind="stable")[:, :10]
+    dist = np.take_along_axis(d, near, 1)
+    lrd = 1 / (np.maximum(dist, dist[:, -1][near]).mean(1) + 1e-10)
+    want = lrd[near].mean(1) / lrd
+    got = {r.id: r.lof for r in QUERIES["n2_local_outlier_factor"](spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    assert max(abs(got[r.vec_id] - w) for r, w in zip(rows, want, strict=True)) < 2e-6
