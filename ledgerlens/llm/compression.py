@@ -8,37 +8,49 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Words, fold, steps
 
 #: Bytes of sampled text that training holds on the driver.
 SAMPLE_BYTES = 48 << 20
+#: The least part of them that each class has, however many there are.
+LEAST_BYTES = 64 << 10
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", max_bytes: int = SAMPLE_BYTES) -> dict:
-    """label -> texts: at most ``per_class`` whole texts a label in the order of a hash of the id, ``max_bytes`` in all.
+    """label -> texts: at most ``per_class`` whole texts a label in the order of a hash of the id.
 
-    ``labels``: id and label, already restricted to the learning fold. The ids are picked first (a
-    top-k a label), so only their texts are read from the documents.
+    Each label has an equal part of ``max_bytes`` of its own, at least ``LEAST_BYTES``, spent in that order by the
+    texts' lengths; a text beyond what is left of it is skipped. A label of which all texts are longer
+    than its part has the start of the first. ``labels``: id and label, already restricted to the
+    learning fold. Ids and lengths are picked first, so only the sample's texts reach the driver.
     """
-    classes = [r.label for r in labels.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(256).collect()]
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    picked = [labels.filter((F.col("label") == c) & F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(*order).limit(per_class) for c in classes]
-    out: dict = {c: [] for c in classes}
-    if not classes:
+    order = [F.xxhash64("_id"), F.col("_id")]
+    known = labels.filter(F.col("label").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "label").dropDuplicates(["_id", "label"])
+    ids = known.withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("_rank") <= per_class)
+    texts = docs.filter("text IS NOT NULL").select(F.col(id_col).alias("_id"), "text")
+    sized = texts.join(F.broadcast(ids), "_id").groupBy("label", "_rank", "_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    out: dict = {r.label: [] for r in sized}
+    if not out:
         return out
-    ids = picked[0]
-    for p in picked[1:]:
-        ids = ids.unionByName(p)
-    ids = ids.select(F.col(id_col).alias("_id"), "label")  # at most 256 * per_class rows
-    held = 0
-    for r in docs.filter("text IS NOT NULL").select(F.col(id_col).alias("_id"), "text").join(F.broadcast(ids), "_id").toLocalIterator():
-        held += len(r.text)
-        if held > max_bytes:
-            break
-        out[r.label].append((r._id, r.text))
+    part = max(max_bytes // len(out), LEAST_BYTES)
+    left, first = dict.fromkeys(out, part), {}
+    chosen = []
+    for r in sorted(sized, key=lambda r: r["_rank"]):
+        first.setdefault(r.label, r)
+        if r.n <= left[r.label]:
+            left[r.label] -= r.n
+            chosen.append(r)
+    chosen += [first[c] for c in out.keys() - {r.label for r in chosen}]
+    picked = docs.sparkSession.createDataFrame([(r["_id"], r.label, r["_rank"]) for r in chosen], ids.schema)
+    held = dict.fromkeys(out, 0)
+    cut = F.when(F.octet_length("text") <= part, F.col("text")).otherwise(F.substring("text", 1, part // 4))  # a character has at most four bytes
+    for r in texts.join(F.broadcast(picked), "_id").select("label", "_rank", cut.alias("text")).toLocalIterator():
+        if not out[r.label] or held[r.label] + len(r.text) <= part:  # beyond it only where rows of one id add up
+            held[r.label] += len(r.text)
+            out[r.label].append((r["_rank"], r.text))
     return {c: [t for _, t in sorted(v)] for c, v in out.items()}
 
 
@@ -275,8 +287,7 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, per_class: int = 400, mod: int = 4, held: int = 2, id_col: str = "doc_id") -> LanguageModel:
-    """Learns from at most ``per_class`` texts of each of the 256 most frequent non-null languages,
-    of ids whose crc32 modulo ``mod`` is not ``held``."""
+    """Learns from at most ``per_class`` texts of each non-null language, of ids whose crc32 modulo ``mod`` is not ``held``."""
     learn = docs.filter((fold(F.col(id_col), mod) != held) & F.col("text").isNotNull()).select(id_col, F.col("lang").alias("label"))
     return LanguageModel().fit(labelled_sample(docs, learn, per_class, id_col))
 
