@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -252,6 +253,24 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 # ---- language
 
 
+def spans(texts: list[bytes], size: int, least: int = 64) -> bytes:
+    """``size`` bytes of the texts at most: short texts whole, of each other one span of equal length, ``least`` or
+    more, from an offset given by the text's hash, so that openings count no more than the rest."""
+    texts = [t for t in texts if t][: max(1, size // (least + 1))]
+    share, left = 0, size - len(texts)
+    for k, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - k)
+        if n > share:
+            break
+        left -= n
+        share = n
+    out = []
+    for t in texts:
+        at = zlib.crc32(t) % (len(t) - share + 1) if len(t) > share else 0
+        out.append(t[at : at + share].decode(errors="ignore").encode())
+    return b"\n".join(out)
+
+
 class LanguageModel:
     """A raw-content dictionary of each language; the smallest compressed size wins."""
 
@@ -264,9 +283,7 @@ class LanguageModel:
         self.langs = sorted(texts)
         self.sizes = []
         for lang in self.langs:
-            share = max(64, self.dict_bytes // len(texts[lang]))
-            content = b"\n".join(t.lower().encode()[:share].decode(errors="ignore").encode() for t in texts[lang])[-self.dict_bytes :]
-            self.sizes.append(Sizes(content, 3))
+            self.sizes.append(Sizes(spans([t.lower().encode() for t in texts[lang]], self.dict_bytes), 3))
         return self
 
     def predict(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,10 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.compression import labelled_sample
+from ledgerlens.llm.compression import LanguageModel, labelled_sample, spans
 
 
 def sample(spark, rows, per_class=100, max_bytes=400_000):
@@ -33,3 +36,25 @@ def test_a_class_of_oversized_texts_is_not_lost(spark):
 def test_every_label_is_learned(spark, n):
     got, _ = sample(spark, [(f"l{i}", f"text {i}") for i in range(n)])
     assert got == {f"l{i}": [f"text {i}"] for i in range(n)}
+
+
+def test_language_is_learned_from_whole_texts():
+    """Documents of both languages open with one header of 400 bytes."""
+    rng = random.Random(1)
+    words = {k: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(300)] for k, letters in (("a", "bcdfgaeiou"), ("b", "lmnprtaeiu"))}
+    header = " ".join(f"notice{i:03}" for i in range(40))
+    body = lambda k: " ".join(rng.choice(words[k]) for _ in range(1000))
+    m = LanguageModel().fit({k: [f"{header} {body(k)}" for _ in range(400)] for k in "ab"})
+    want = [k for k in "ab" for _ in range(20)]
+    best, _, margin = m.predict(pa.array([f"{header} {body(k)}" for k in want]))
+    assert [m.langs[i] for i in best] == want
+    assert margin.min() >= m.min_margin
+
+
+def test_spans():
+    texts = [b"short", b"", b"x" * 1000, "\u00e9".encode() * 1000]
+    got = spans(texts, 600)
+    assert 590 <= len(got) <= 600 and got.startswith(b"short\n")
+    assert got.decode().count("x") > 200 and got.decode().count("\u00e9") > 100
+    assert spans([b"ab", b"cd"], 600) == b"ab\ncd" and spans([], 600) == b""
+    assert len(spans([b"y" * 500] * 50, 600)) <= 600
