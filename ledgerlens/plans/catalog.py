@@ -20,6 +20,9 @@ from .views import accounts, ev, ledger, p2p, read
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
+#: The flow's production sizes, which the single queries use too.
+BOUNDS = pipeline.Sizes()
+
 
 def query(f: Query) -> Query:
     _QUERIES[f.__name__] = f
@@ -270,7 +273,7 @@ def c10_community_density(spark, d):
 
 @query
 def d1_circularity(spark, d):
-    return r6(patterns.circularity(edge_table(spark, d), vertex_table(spark, d), 3))
+    return r6(patterns.circularity(edge_table(spark, d), vertex_table(spark, d), BOUNDS.cycle_bound))
 
 
 @query
@@ -280,7 +283,7 @@ def d2_funnel(spark, d):
 
 @query
 def d3_layering_depth(spark, d):
-    return patterns.layering_depth(edge_table(spark, d), vertex_table(spark, d), 3)
+    return patterns.layering_depth(edge_table(spark, d), vertex_table(spark, d), BOUNDS.layering_cutoff)
 
 
 @query
@@ -685,8 +688,8 @@ def stream_edges(spark, d):
 
 @query
 def evaluate(spark, d):
-    """The whole scoring flow with small models."""
-    return pipeline.evaluate(accounts(spark, d), p2p(spark, d), pipeline.SMALL)["scores"]
+    """The whole scoring flow at production sizes."""
+    return pipeline.evaluate(accounts(spark, d), p2p(spark, d), BOUNDS)["scores"]
 
 
 @query

@@ -7,7 +7,7 @@ import numpy as np
 from oracle import same
 
 from ledgerlens.operators import explain
-from ledgerlens.plans import catalog
+from ledgerlens.plans import catalog, pipeline
 from ledgerlens.plans.views import accounts, p2p, read
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
@@ -73,3 +73,29 @@ def test_local_outlier_factor_by_brute_force(spark, sf_dir):
     got = {r.id: r.lof for r in QUERIES["n2_local_outlier_factor"](spark, sf_dir).collect()}
     assert len(got) == len(rows)
     assert max(abs(got[r.vec_id] - w) for r, w in zip(rows, want, strict=True)) < 2e-6
+
+
+def graph_of(spark, monkeypatch, arcs):
+    e = spark.createDataFrame([(a, b, 1.0, 1) for a, b in arcs], "src long, dst long, weight double, frequency long")
+    v = spark.createDataFrame([(i,) for i in sorted({x for arc in arcs for x in arc})], "account_id long")
+    monkeypatch.setattr(catalog, "edge_table", lambda s, d: e)
+    monkeypatch.setattr(catalog, "vertex_table", lambda s, d: v)
+
+
+def test_rings_of_four_and_five_are_circular(spark, monkeypatch):
+    rings = [range(0, 4), range(10, 15)]
+    graph_of(spark, monkeypatch, [(r[i], r[(i + 1) % len(r)]) for r in rings for i in range(len(r))])
+    got = {r.account_id: r.circularity_score for r in QUERIES["d1_circularity"](spark, "").collect()}
+    assert got == {i: 1.0 for r in rings for i in r}
+
+
+def test_layering_of_three_edges(spark, monkeypatch):
+    graph_of(spark, monkeypatch, [(0, 1), (1, 2), (2, 3), (0, 3), (3, 0)])
+    assert {r.account_id: r.layering_depth for r in QUERIES["d3_layering_depth"](spark, "").collect()}[0] == 3
+
+
+def test_evaluate_runs_at_production_sizes(spark, sf_dir, monkeypatch):
+    used = []
+    monkeypatch.setattr(pipeline, "evaluate", lambda acc, txns, sizes: used.append(sizes) or {"scores": acc})
+    QUERIES["evaluate"](spark, sf_dir)
+    assert used == [pipeline.Sizes()]
