@@ -164,5 +164,5 @@ def betweenness(edge: DataFrame, ids: DataFrame, pivots: int = 500, max_depth: i
 def structural_features(edge: DataFrame, ids: DataFrame) -> DataFrame:
     """All 13 features of every vertex."""
     edge, ids = stage(edge, "edges"), stage(ids.select("account_id").distinct(), "ids")
-    parts = [degrees(edge, ids), betweenness(edge, ids, pivots=64), pagerank(edge, ids, iterations=30), clustering(edge, ids), core_numbers(edge, ids), scc_sizes(edge, ids), community_density(edge, communities(edge, ids))]
+    parts = [degrees(edge, ids), betweenness(edge, ids), pagerank(edge, ids, iterations=30), clustering(edge, ids), core_numbers(edge, ids), scc_sizes(edge, ids), community_density(edge, communities(edge, ids))]
     return reduce(lambda a, b: a.join(b, "account_id", "left"), parts)

@@ -234,7 +234,7 @@ def c1_degrees(spark, d):
 
 @query
 def c4_betweenness(spark, d):
-    return structural.betweenness(edge_table(spark, d), vertex_table(spark, d), pivots=16)
+    return structural.betweenness(edge_table(spark, d), vertex_table(spark, d))
 
 
 @query

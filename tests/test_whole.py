@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from oracle import same
 
-from ledgerlens.operators import explain
+from ledgerlens.operators import explain, structural
 from ledgerlens.plans import catalog, pipeline
 from ledgerlens.plans.views import accounts, p2p, read
 
@@ -99,3 +99,26 @@ def test_evaluate_runs_at_production_sizes(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(pipeline, "evaluate", lambda acc, txns, sizes: used.append(sizes) or {"scores": acc})
     QUERIES["evaluate"](spark, sf_dir)
     assert used == [pipeline.Sizes()]
+
+
+def test_betweenness_is_exact_on_small_graphs(spark, monkeypatch):
+    """A binary tree of 100 vertices: all of a vertex's ancestors reach all of its descendants through it."""
+    n = 100
+    graph_of(spark, monkeypatch, [((i - 1) // 2, i) for i in range(1, n)])
+    above, below = [0] * n, [0] * n
+    for i in range(1, n):
+        above[i] = above[(i - 1) // 2] + 1
+        up = i
+        while up:
+            up = (up - 1) // 2
+            below[up] += 1
+    want = {i: round(above[i] * below[i] / ((n - 1) * (n - 2)), 8) for i in range(n)}
+    assert {r.account_id: r.betweenness for r in QUERIES["c4_betweenness"](spark, "").collect()} == want
+    direct = structural.betweenness
+    monkeypatch.setattr(structural, "betweenness", lambda *a, **b: (_ for _ in ()).throw(StopAsyncIteration(direct(*a, **b))))
+    try:
+        structural.structural_features(catalog.edge_table(spark, ""), catalog.vertex_table(spark, ""))
+    except StopAsyncIteration as e:
+        assert {r.account_id: r.betweenness for r in e.args[0].collect()} == want
+    else:
+        raise AssertionError("betweenness was not asked for")
