@@ -14,17 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import discard, recording, shared_dir
-from ledgerlens.llm.compression import fit_toxicity, score_toxicity
+from ledgerlens.llm.compression import TOXIC, fit_toxicity, score_toxicity
 from ledgerlens.llm.decontaminate import decontaminate
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.ngram_join import jaccard_components
 from ledgerlens.llm.queries import tokenizer_path
 from ledgerlens.llm.token_files import read_shards, write_shards
 
-#: A document at or above this toxicity score goes: a little above the classifier's own cut, to keep clean documents.
-TOXIC = 0.8
-
-
 #: Stage tables of the latest stage. Its output is written before the next stage starts, which deletes them.
 _held: list[str] = []
 

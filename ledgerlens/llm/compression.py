@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Words, fold, steps
 
+#: A text of this toxicity score or more is toxic.
+TOXIC = 0.7
 #: Bytes of sampled text that training holds on the driver.
 SAMPLE_BYTES = 48 << 20
 #: The least part of them that each class has, however many there are.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import fold
-from .compression import fit_language, fit_toxicity, identify_language, score_toxicity
+from .compression import TOXIC, fit_language, fit_toxicity, identify_language, score_toxicity
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .lm import score_texts
@@ -54,7 +54,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, _read(spark, sf_dir, "labels"))
     out = score_toxicity(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,12 @@ def test_spans():
     assert got.decode().count("x") > 200 and got.decode().count("\u00e9") > 100
     assert spans([b"ab", b"cd"], 600) == b"ab\ncd" and spans([], 600) == b""
     assert len(spans([b"y" * 500] * 50, 600)) <= 600
+
+
+def test_pipeline_drops_what_the_classifier_calls_toxic(spark, sf_dir, monkeypatch):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "a", 0.69), (2, "b", 0.7), (3, "c", 0.79), (4, "d", 0.8)], "doc_id long, text string, given double")
+    monkeypatch.setattr(P, "fit_toxicity", lambda *a: None)
+    monkeypatch.setattr(P, "score_toxicity", lambda d, m: d.withColumn("score", F.col("given")))
+    assert [r.doc_id for r in P.toxicity(spark, docs, sf_dir).collect()] == [1]
