@@ -36,6 +36,25 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def long_id(df: DataFrame, name: str) -> Column:
+    """The id column as long; ids that are not whole numbers are refused."""
+    kind = df.select(name).dtypes[0][1]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{name} is of type {kind}; ids must be whole numbers")
+    return F.col(name).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for x in names:
+        while x.lower() in taken:
+            x = "_" + x
+        out.append(x)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Only a local master may go without one."""
     conf = spark.sparkContext.getConf()

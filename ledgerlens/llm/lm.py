@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, fold, int64, mix64, steps, table
+from .common import SPACE, Words, fold, int64, long_id, mix64, steps, table
 from .ngram_join import runs
 
 BLOCK_TOKENS = 1 << 19
@@ -115,7 +115,7 @@ def blocks(docs: DataFrame, mod: int, held: int, tuned: int, id_col: str, text_c
             if open_[em]:
                 yield shut(em)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), fold(F.col(id_col), mod).cast("int").alias("rem"))
+    rows = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).alias("text"), fold(F.col(id_col), mod).cast("int").alias("rem"))
     return table(rows.mapInArrow(build, spec), "lm-blocks")
 
 
@@ -226,7 +226,7 @@ def score_texts(docs: DataFrame, mod: int = 7, held: int = 2, tuned: int = 3, id
     probability in eighths of a factor of two) and covers every token. Scores use all learnt counts.
     base_score is the add-one unigram score. Logarithms are to base 10; each text ends in an end token.
 
-    Defined cases: null texts are empty and have the end token alone; null ids belong to remainder 0;
+    Defined cases: ids are whole numbers (else TypeError); null texts are empty and have the end token alone; null ids belong to remainder 0;
     repeated rows are scored alike and each counts; other columns are ignored; texts of any length
     are one sequence; an empty table gives an empty result.
     """

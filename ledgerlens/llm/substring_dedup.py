@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SpanHash, Words, int64, mix64, ngram_hash, sliding_min, steps, table
+from .common import SPACE, SpanHash, Words, int64, long_id, mix64, ngram_hash, sliding_min, steps, table
 
 #: Most windows of one super-k-mer: text that repeats one word does not make endless ones.
 RUN = 256
@@ -78,7 +78,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
        bucket, where sorting the windows finds the first document of each, words compared bytewise.
     4. Places join their content's windows and keep those whose first document is smaller.
     """
-    texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spec = "doc_id long, at int, n int, mini long, k1 long, k2 long"
 
     def listed(batches):
@@ -158,12 +158,12 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
 def remove_repeats(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_words, n_removed, spans (word ranges removed) and kept (remaining words, one space between).
 
-    Defined cases: null texts have no words; texts shorter than a window lose nothing; rows with a
+    Defined cases: ids are whole numbers (else TypeError); null texts have no words; texts shorter than a window lose nothing; rows with a
     null id neither lose words nor take them from others; rows of one id count as one document, so
     they take nothing from each other; other columns are ignored; an empty table stays empty.
     """
     spans = repeated_spans(docs, window, mini, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
 
     def cut(batches):
         for batch, col in steps(batches, column="text"):

@@ -193,19 +193,55 @@ def test_jaccard_against_brute_force(spark, k, num, den):
     assert got == components_by_force(rows, k, num, den)
 
 
-def test_large_groups_meet_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("apart", [False, True])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, apart):
+    """One group in many blocks: with all sets linked, and with two halves that share half their words."""
     import ledgerlens.llm.ngram_join as J
 
-    monkeypatch.setattr(J, "BLOCK_NODES", 4)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 200)
     rng = random.Random(5)
-    base = [f"w{j}" for j in range(60)]
+    base = [[f"w{j}" if j < 30 or not apart else f"{side}{j}" for j in range(60)] for side in "ab"]
     rows = []
     for i in range(25):
-        t = list(base)
+        t = list(base[i % 2])
         t[rng.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(t)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), 3, 9, 10).collect()}
     assert got == components_by_force(rows, 3, 9, 10)
+    nodes = [(i, 0, 58) for i, _ in rows]
+    groups = spark.createDataFrame(nodes, "node long, label long, n long")  # all candidates of each other
+    links = {(r.a, r.b) for r in J.verified_links(frame(spark, rows).select("doc_id", "text"), groups, 3, 9, 10).collect()}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(58)} for i, t in rows}
+    assert all(10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]) for a, b in links)
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == {i: r for i, (_, r) in components_by_force(rows, 3, 9, 10).items()}
+
+
+def test_long_sets_are_joined_by_parts(spark):
+    """Sizes on both sides of the cuts into parts, and similarities on both sides of the threshold."""
+    rng = random.Random(11)
+    rows = []
+    for size in (900, 1024, 1100, 2000, 2060, 2300, 4090, 4200):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(size + 2)]
+        for share in (0.0, 0.02, 0.03, 0.035, 0.04, 0.1):
+            t = [f"u{rng.randrange(10**6)}" if rng.random() < share else x for x in base]
+            rows.append((len(rows), " ".join(t)))
+        rows.append((len(rows), " ".join(base[: int(size * 0.82)])))
+        rows.append((len(rows), " ".join(base[: int(size * 0.78)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), 3, 4, 5).collect()}
+    want = components_by_force(rows, 3, 4, 5)
+    assert got == want
+    assert len({r for _, r in want.values()}) < len(rows) - 20
+
+
+def test_ids_must_be_whole_numbers(spark):
+    d = frame(spark, [(1, "a")]).withColumn("doc_id", F.lit("x"))
+    for f in (jaccard_components, remove_repeats, score_texts):
+        with pytest.raises(TypeError, match="whole numbers"):
+            f(d)
 
 
 def test_decontaminate_blocks(spark):
