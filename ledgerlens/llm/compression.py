@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, fold, steps
+from .common import SPACE, Words, fold, mix64, steps
 
 #: A text of this toxicity score or more is toxic.
 TOXIC = 0.7
@@ -100,49 +100,94 @@ def word_windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.maximum(a - 1, w.off[doc]), np.minimum(b + 1, w.off[doc + 1]), doc
 
 
-def word_counts(texts: list[str]) -> Counter:
-    """In how many different surroundings (word before, word after) each word, and each word start of
-    4 to 6 letters, occurs: copies of a text count once."""
-    seen: set = set()
-    for t in texts:
-        words = t.lower().split()
-        seen.update(zip(["", *words], words, [*words[1:], ""]))
-    out: Counter = Counter()
-    for _, w, _ in seen:
-        out[w] += 1
-        for k in (4, 5, 6):
-            if len(w) > k:
-                out[w[:k]] += 1
+def running_text(texts: list[str]) -> np.ndarray:
+    """The texts' bytes in lower case, one after the other, a line feed between."""
+    return np.frombuffer(b"\n" * 8 + b"\n".join(t.lower().encode() for t in texts) + b"\n" * 24, np.uint8)
+
+
+def mers(x: np.ndarray, d: int) -> np.ndarray:
+    """The d bytes (8 at most) from each position on, as a number."""
+    out = np.zeros(len(x) - d + 1, np.uint64)
+    for k in range(d):
+        out = (out << np.uint64(8)) | x[k : k + len(out)]
     return out
 
 
-def contrast_dictionary(own: list[str], other: list[str], own_df: Counter, other_df: Counter, base: bytes, size: int, z: float, share: float = 0.01) -> bytes:
-    """Raw content trained on one class: the words that it has significantly more often than the other
-    class, then the common base. With the base last its matches lie equally far back under both
-    dictionaries, so sizes differ only where a class's own words match."""
-    n, m = max(1, sum(own_df.values())), max(1, sum(other_df.values()))
-    scored = []
-    for w, k in own_df.items():
-        p, q = k / n, other_df[w] / m
-        if k >= max(3, share * len(own)) and p > q:
-            mean = (k + other_df[w] + 1) / (n + m)
-            s = (p - q) / math.sqrt(mean * (1 - min(mean, 0.999)) * (1 / n + 1 / m))
-            if s >= z and p > 30 * q:
-                scored.append((s, w))
-    scored.sort(reverse=True)
-    told = {w for _, w in scored}
-    longer = {w[:j] for w in told for j in range(4, len(w)) if own_df[w] > 0.9 * own_df[w[:j]]}
-    parts, left = [], size
-    for _, w in scored:
-        # a start that almost always goes on alike stands for nothing of its own; a rarer ending of a telling start neither
-        if w in longer or any(w[:j] in told and own_df[w[:j]] > 1.5 * own_df[w] for j in (4, 5, 6)):
+def mer_counts(x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct d-byte strings and in how many different surroundings of 16 bytes each occurs: copies count once."""
+    eight = mers(x, 8)
+    around = mix64(eight[:-8]) + np.uint64(3) * eight[8:]
+    _, first = np.unique(mix64(around), return_index=True)
+    return np.unique(mers(x, d)[first + 5], return_counts=True)
+
+
+def telling_mers(own: np.ndarray, other: np.ndarray, d: int, least: float, z: float = 4.5, ratio: float = 30) -> tuple[np.ndarray, np.ndarray]:
+    """The d-byte strings that one class's running text has significantly, and ``ratio`` times, more
+    often than the other's, sorted, and by how much."""
+    (key, n), (other_key, other_n) = mer_counts(own, d), mer_counts(other, d)
+    at = np.minimum(np.searchsorted(other_key, key), len(other_key) - 1)
+    m = np.where(other_key[at] == key, other_n[at], 0)
+    p, q = n / n.sum(), m / other_n.sum()
+    mean = (n + m + 1) / (n.sum() + other_n.sum())
+    score = (p - q) / np.sqrt(mean * (1 - np.minimum(mean, 0.999)) * (1 / n.sum() + 1 / other_n.sum()))
+    ok = (score >= z) & (p > ratio * q) & (n >= least)
+    return key[ok], (p - q)[ok]
+
+
+def trained_part(x: np.ndarray, keys: np.ndarray, weight: np.ndarray, d: int, size: int, longest: int = 16, floor: float = 0.01) -> bytes:
+    """Raw content from running text by greedy cover, as zstandard's own trainer does it, with weights
+    that tell the class from the other one: the segments of most weight a byte, each weighted
+    string counted once, trimmed to weighted strings at both ends. Segments start where a word does
+    and occur three times at least; the best come last, nearest to the text."""
+    if not len(keys):
+        return b""
+    value = mers(x, d)
+    place = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
+    at = np.flatnonzero(keys[place] == value)
+    which = place[at]
+    start = SPACE[x[at]]
+    cover: dict[bytes, np.ndarray] = {}
+    for length in range(d, longest + 1):
+        end = np.searchsorted(at, at + length - d, "right")
+        ok = np.flatnonzero(start & (at[end - 1] == at + length - d))
+        segments = np.ascontiguousarray(x[at[ok][:, None] + np.arange(length)]).view(f"V{length}").reshape(-1)
+        segments, first, n = np.unique(segments, return_index=True, return_counts=True)
+        for seg, i in zip(segments[n >= 3], ok[first[n >= 3]].tolist(), strict=True):
+            cover[seg.tobytes()] = np.unique(which[i : end[i]])
+    left = weight.copy()
+    gain = lambda seg: left[cover[seg]].sum() / len(seg)
+    heap = [(-gain(seg), seg) for seg in cover]
+    heapq.heapify(heap)
+    chosen: list[bytes] = []
+    top = None
+    while heap:
+        _, seg = heapq.heappop(heap)
+        now = gain(seg)
+        if heap and now < -heap[0][0]:
+            if now > 0:
+                heapq.heappush(heap, (-now, seg))
             continue
-        b = b" " + w.encode()
-        left -= len(b)
-        if left < 0:
+        top = top or now
+        size -= len(seg)
+        if now <= floor * top or size < 0:
             break
-        parts.append(b)
-    return b"".join(reversed(parts)) + b" " + base
+        chosen.append(seg)
+        left[cover[seg]] = 0
+    return b"".join(reversed(chosen))
+
+
+def common_part(texts: list[str], size: int, window: int = 12) -> bytes:
+    """Raw content trained by zstandard on windows of running text; of little text its end."""
+    w = Words(pa.array(texts, pa.string()), SPACE, True)
+    a, b, _ = word_windows(w, window)
+    raw = w.data.tobytes()
+    samples = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    if len(raw) > 16 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
+        except zstandard.ZstdError:  # too little variety to train on
+            pass
+    return raw[-size:]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.5) -> np.ndarray:
@@ -161,10 +206,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0
 
 
 class ToxicityModel:
-    """Two dictionaries, a window threshold, and a logistic curve over a text's window differences."""
+    """Two dictionaries, a window threshold, and a logistic curve over a text's window differences.
+
+    Each class's dictionary is what its own running text has and the other's has not, then a common
+    part from ordinary running text, which lies equally far back under both: what toxic and
+    ordinary texts share then costs the same under both, and windows differ by what tells the classes apart.
+    """
 
-    def __init__(self, window: int = 6, dict_bytes: int = 8 << 10, base_bytes: int = 8 << 10, min_match: int = 5):
-        self.window, self.dict_bytes, self.base_bytes, self.min_match = window, dict_bytes, base_bytes, min_match
+    def __init__(self, window: int = 6, own_bytes: int = 4 << 10, common_bytes: int = 8 << 10, min_match: int = 5, mer: int = 5):
+        self.window, self.own_bytes, self.common_bytes, self.min_match, self.mer = window, own_bytes, common_bytes, min_match, mer
         self.prior = 0.0
         self.toxic = self.plain = None
 
@@ -175,13 +225,13 @@ class ToxicityModel:
         # Every fifth text (of few texts every fourth) sets the threshold and the curve, the others make the dictionaries.
         nth = 5 if min(len(toxic), len(plain)) >= 500 else 4
         cut = lambda x, held: [t for i, t in enumerate(x) if (i % nth == nth - 1) == held]
-        a, b = cut(toxic, False) or toxic, cut(plain, False) or plain
-        da, db = word_counts(a), word_counts(b)
-        common = [w for w, _ in db.most_common(4000) if " " not in w]
-        base = b" ".join(w.encode() for w in reversed(common))[-self.base_bytes :]
-        self.toxic = Sizes(contrast_dictionary(a, b, da, db, base, self.dict_bytes, 4.5), self.min_match)
-        # ordinary text's dictionary is its frequent words alone: what marks other qualities of text would only add noise
-        self.plain = Sizes(b" " + base, self.min_match)
+        sides = [cut(x, False) or x for x in (toxic, plain)]
+        text = [running_text(x) for x in sides]
+        common = common_part(sides[1], self.common_bytes)
+        self.toxic, self.plain = (
+            Sizes(trained_part(own, *telling_mers(own, other, self.mer, max(3, 0.01 * n)), self.mer, self.own_bytes) + b"\n" + common, self.min_match)
+            for own, other, n in ((*text, len(sides[0])), (*text[::-1], len(sides[1])))
+        )
         held_a, held_b = cut(toxic, True) or toxic, cut(plain, True) or plain
         d = [self.differences(x) for x in (held_a, held_b)]
         # The threshold: the difference that the fewest texts of either class lie on the wrong side of.
@@ -225,31 +275,34 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, mod: int = 3, held: int = 1, id_col: str = "doc_id") -> ToxicityModel:
-    """Learns from at most ``per_class`` labelled texts a class, of ids whose crc32 modulo ``mod`` is not ``held``.
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, per_class: int = 3000, mod: int = 3, held: int = 1, id_col: str = "doc_id", max_bytes: int = 8 << 20
+) -> ToxicityModel:
+    """Learns from at most ``per_class`` labelled texts a class, half of ``max_bytes`` each, of ids whose
+    crc32 modulo ``mod`` is not ``held``.
 
     Texts that a document and its copies share are sampled like any others; rows without label,
-    id or text are not used. With one class or none the model gives that class's constant (0 without any).
+    id or text are not used; of labels of one id that disagree the largest counts. With one class or none the model gives that class's constant (0 without any).
     """
-    learn = labels.filter(fold(F.col(id_col), mod) != held).select(id_col, F.col("toxic").cast("int").alias("label"))
-    sample = labelled_sample(docs, learn, per_class, id_col)
+    learn = labels.filter(fold(F.col(id_col), mod) != held).groupBy(id_col).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    sample = labelled_sample(docs, learn, per_class, id_col, max_bytes)
     return ToxicityModel().fit(sample.get(1, []), sample.get(0, []))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Adds ``score`` (0 to 1) to the input rows; all windows of the whole text count.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
+    """Adds ``out`` (0 to 1) to the input rows; all windows of the whole text count.
 
     Defined cases: null and empty texts have no windows and get the curve's value for none; an input
-    column named score is replaced; repeated rows score alike; an empty table stays empty.
+    column of the name ``out`` is replaced; repeated rows score alike; an empty table stays empty.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(out)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries, under 100 KB
 
     def score(batches):
         for batch, col in steps(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(col), pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(col), pa.float64())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(score, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(score, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 # ---- language

@@ -125,8 +125,9 @@ def count_shingles(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
     return out
 
 
-def match_block(docs: DataFrame, block: Block) -> DataFrame:
-    """Adds the block's hits to the columns spans and items."""
+def match_block(docs: DataFrame, block: Block, out: tuple[str, str, str]) -> DataFrame:
+    """Adds the block's hits to the columns of spans and items."""
+    _, span_col, item_col = out
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def match(batches):
@@ -134,8 +135,8 @@ def match_block(docs: DataFrame, block: Block) -> DataFrame:
         for batch, col in steps(batches):
             w = Words(col, PUNCT, True)
             h = w.hashes()
-            spans = [set(map(tuple, x)) for x in batch.column(batch.schema.get_field_index("spans")).to_pylist()]
-            items = [set(x) for x in batch.column(batch.schema.get_field_index("items")).to_pylist()]
+            spans = [set(map(tuple, x)) for x in batch.column(batch.schema.get_field_index(span_col)).to_pylist()]
+            items = [set(x) for x in batch.column(batch.schema.get_field_index(item_col)).to_pylist()]
             for g, (keys, at, windows, offsets) in b.post.items():
                 values, places = shingles(w, h, g)
                 p, k = found(keys, values)
@@ -157,12 +158,13 @@ def match_block(docs: DataFrame, block: Block) -> DataFrame:
                         lo = int(w.first[d])
                         spans[d].add((s - lo, e - lo))
                         items[d].update(b.items[b.item_at[x] : b.item_at[x + 1]])
-            rest = [batch.column(i) for i, f in enumerate(batch.schema.names) if f not in ("n_words", "spans", "items")]
-            names = [f for f in batch.schema.names if f not in ("n_words", "spans", "items")]
-            out = [[list(x) for x in merged(s)] for s in spans]
-            yield pa.RecordBatch.from_arrays([*rest, int64(np.diff(w.first)), pa.array(out, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
+            rest = [batch.column(i) for i, f in enumerate(batch.schema.names) if f not in out]
+            names = [f for f in batch.schema.names if f not in out]
+            ranges = pa.array([[list(x) for x in merged(s)] for s in spans], pa.list_(pa.list_(pa.int64())))
+            found_in = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*rest, int64(np.diff(w.first)), ranges, found_in], [*names, *out])
 
-    schema = docs.select(*[c for c in docs.columns if c not in ("n_words", "spans", "items")], "n_words", "spans", "items").schema
+    schema = docs.select(*[c for c in docs.columns if c not in out], *out).schema
     return docs.mapInArrow(match, schema)
 
 
@@ -176,8 +178,9 @@ def merged(spans: set) -> list:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Input rows (text under the name ``text``) plus n_words, spans (merged word ranges [lo, hi)) and items.
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_rows: int = BLOCK_ROWS, out: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
+    """Input rows (text under the name ``text``) plus n_words, spans (merged word ranges [lo, hi)) and items,
+    under the names ``out``.
 
     A window of an item is contained in a document exactly where its words follow one another. Of
     each window only its rarest shingle over the documents is looked up (containment of the whole
@@ -190,21 +193,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
 
     Defined cases: null or empty texts have no words; items without words have no windows; a null
     item id reads as the empty string; repeated items or documents are each judged alike; input
-    columns named n_words, spans or items are replaced; any text length works; an empty benchmark
+    columns of the names ``out`` are replaced; any text length works; an empty benchmark
     or document table gives no hits or no rows.
     """
-    docs = docs.drop("n_words", "spans", "items")
+    out = tuple(out)
+    docs = docs.drop(*out)
     if text_col != "text":
         docs = docs.drop("text").withColumnRenamed(text_col, "text")
     windows = table(item_windows(items, window, item_col, item_text), "item-windows")
     blocks = max(1, -(-windows.count() // block_rows))
     deal = F.pmod(F.xxhash64("words", "item"), F.lit(blocks))
     empty = F.array().cast("array<array<bigint>>")
-    rows = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": empty, "items": F.array().cast("array<string>")})
+    rows = docs.withColumns(dict(zip(out, (F.lit(0).cast("long"), empty, F.array().cast("array<string>")), strict=True)))
     for k in range(blocks):
         block = Block(windows.filter(deal == k).collect(), shingle)
         block.rank(count_shingles(docs, block))
-        rows = match_block(rows, block)
+        rows = match_block(rows, block, out)
         if k + 1 < blocks:
             rows = table(rows, "decontaminate")
     return rows

@@ -17,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, fold, int64, long_id, mix64, steps, table
+from .common import SPACE, Words, fold, int64, long_id, mix64, n_parts, steps, table
 from .ngram_join import runs
 
 BLOCK_TOKENS = 1 << 19
-#: Keys that one range of the key space holds, about.
-RANGE_KEYS = 1 << 19
+#: Tokens whose keys one range of the key space holds at most, about.
+RANGE_TOKENS = 1 << 22
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Steps of a factor of two in which the held-out histogram keeps probabilities.
 FINE = 8
@@ -197,21 +197,25 @@ def bucket(context: np.ndarray) -> np.ndarray:
 
 def learn_weights(cells: np.ndarray, floor: float, rounds: int = 60) -> np.ndarray:
     """Expectation-maximisation of the three weights of each bucket. ``cells``: bucket, pair and word
-    probability steps, count; step -1 is probability 0."""
-    out = np.tile([0.0, 0.7, 0.3], (66, 1))
+    probability steps, count; step -1 is probability 0.
+
+    Each weight has a prior of one token, so none vanishes and an unseen word keeps a share of the
+    uniform part. Bucket 0 holds the contexts never learnt: they have no pair estimate, so its weight is 0.
+    """
+    prior = np.ones((66, 3))
+    prior[0, 0] = 0
     if not len(cells):
-        return out
+        return prior / prior.sum(1, keepdims=True)
     b, n = cells[:, 0], cells[:, 3].astype(float)
     p = np.column_stack([np.where(cells[:, k] < 0, 0.0, np.exp2(-cells[:, k] / FINE)) for k in (1, 2)] + [np.full(len(n), floor)])
-    out[:] = [0.4, 0.4, 0.2]
+    out = prior / prior.sum(1, keepdims=True)
     for _ in range(rounds):
         mix = out[b] * p
         share = mix / mix.sum(1, keepdims=True) * n[:, None]
         got = np.stack([np.bincount(b, share[:, k], len(out)) for k in range(3)], 1)
         # a bucket with few held-out tokens leans on all of them
-        whole = got.sum(0)
-        whole = whole / whole.sum()
-        got += whole
+        whole = got.sum(0) / got.sum()
+        got += (1 + whole) * prior
         out = got / got.sum(1, keepdims=True)
     return out
 
@@ -233,7 +237,10 @@ def score_texts(docs: DataFrame, mod: int = 7, held: int = 2, tuned: int = 3, id
     made = blocks(docs, mod, held, tuned, id_col, text_col)
     sums = made.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs_0", "docs_1", "tokens_0", "tokens_1", "tokens_2"))).first()
     total = sums.tokens_0 + sums.tokens_1 + sums.tokens_2
-    replies = answers(made, max(0, (max(1, total) // RANGE_KEYS).bit_length()))
+    # Enough ranges to keep the cluster busy and a range within a task's memory. A block writes to the ranges that it
+    # has keys of, so messages are never more than distinct keys of blocks, whatever the number of ranges.
+    ranges = max(n_parts(docs.sparkSession), total // RANGE_TOKENS)
+    replies = answers(made, (ranges - 1).bit_length())
     v = replies.filter("slot % 2 = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     n_all, begin_all = sums.tokens_0 + sums.tokens_1, sums.docs_0 + sums.docs_1
     n_kept, begin_kept = max(1, sums.tokens_0), sums.docs_0

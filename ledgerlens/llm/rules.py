@@ -134,9 +134,10 @@ class RuleModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, mod: int = 5, held: int = 0, id_col: str = "doc_id") -> RuleModel:
     """Learns from at most ``sample`` labelled rows (lowest hash of the id first) of ids whose crc32
-    modulo ``mod`` is not ``held``; their statistics, a few numbers a row, go to the driver."""
+    modulo ``mod`` is not ``held``; their statistics, a few numbers a row, go to the driver. Of labels of
+    one id that disagree the largest counts."""
     learn = labels.filter((fold(F.col(id_col), mod) != held) & F.col("quality").isNotNull() & F.col(id_col).isNotNull())
-    learn = learn.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y")).dropDuplicates(["_id"])
+    learn = learn.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     learn = learn.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     stats = statistics(F.col("text"))
     rows = docs.select(F.col(id_col).alias("_id"), "text").join(F.broadcast(learn), "_id")

@@ -119,6 +119,64 @@ def test_lm_base_and_gain(spark, sf_dir):
     assert gain > 0
 
 
+def test_lm_against_plain_python(spark):
+    """Counts, mixture weights and scores from dictionaries and loops; and each context's probabilities sum to 1."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(vocab[min(39, int(rng.expovariate(0.12)))] for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    rows += [(1000 + i, f"new{i} w1 w2") for i in range(30)] + [(2000, None), (2001, "")]
+    part = {i: {2: 2, 3: 1}.get(zlib.crc32(str(i).encode()) % 7, 0) for i, _ in rows}
+    text = {i: ["<begin>", *(t or "").lower().split(), "<end>"] for i, t in rows}
+
+    def count(parts):
+        one, two, begin = Counter(), Counter(), 0
+        for i, t in text.items():
+            if part[i] in parts:
+                one.update(t[1:])
+                two.update(zip(t, t[1:], strict=False))
+                begin += 1
+        return one | Counter({"<begin>": begin}), two, sum(one.values())
+
+    (one, two, n), (own, own_two, own_n) = count({0, 1}), count({0})
+    v = len(one) - 1
+    bucket = lambda c: int(math.log2(c)) + 1 if c else 0
+    step = lambda p: 2 ** (-round(-8 * math.log2(p)) / 8) if p else 0.0
+    cells = Counter()
+    for i, t in text.items():
+        if part[i] == 1:
+            for a, b in zip(t, t[1:], strict=False):
+                cells[bucket(own[a]), step(own_two[a, b] / max(1, own[a])), step(own[b] / own_n)] += 1
+    weight = {b: [0.0, 0.5, 0.5] if b == 0 else [1 / 3] * 3 for b in range(66)}
+    for _ in range(60):
+        got = {b: [0.0] * 3 for b in weight}
+        for (b, x, y), k in cells.items():
+            mix = [w * p for w, p in zip(weight[b], (x, y, 1 / (v + 1)), strict=True)]
+            for j in range(3):
+                got[b][j] += k * mix[j] / sum(mix)
+        whole = [sum(g[j] for g in got.values()) for j in range(3)]
+        for b, g in got.items():
+            g = [g[j] + (0 if b == 0 and j == 0 else 1 + whole[j] / sum(whole)) for j in range(3)]
+            weight[b] = [x / sum(g) for x in g]
+
+    def p(a, b):
+        w = weight[bucket(one[a])]
+        return w[0] * two[a, b] / max(1, one[a]) + w[1] * (one[b] if b != "<begin>" else 0) / n + w[2] / (v + 1)
+
+    for a in ("<begin>", "w0", "w39", "never"):
+        assert sum(p(a, b) for b in one if b != "<begin>") + p(a, "unseen word") == pytest.approx(1)
+    for r in score_texts(frame(spark, rows)).collect():
+        t = text[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(t, t[1:], strict=False)), rel=1e-9)
+
+
+def test_lm_unseen_words_keep_a_share():
+    """A bucket whose held-out tokens were all known still leaves the uniform part a weight."""
+    from ledgerlens.llm.lm import learn_weights
+
+    w = learn_weights(np.array([[5, 8, 40, 1000], [0, -1, 24, 5]]), 1e-7)
+    assert w[0, 0] == 0 and (w[:, 1:] > 1e-4).all() and np.allclose(w.sum(1), 1)
+
+
 def test_lm_prefers_what_it_has_seen(spark):
     base = [(i, "the cat sat on the mat") for i in range(60)]
     ids = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
@@ -143,6 +201,94 @@ def test_held_out_accuracy(spark):
     assert ok > 0.95
 
 
+def plain_sizes(content, min_match, windows):
+    """Compressed sizes by zstandard alone."""
+    import zstandard
+
+    params = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=min_match, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return [len(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress(x)) for x in windows]
+
+
+def test_toxicity_scores_by_zstandard_alone(spark, sf_dir):
+    """Windows of six words, their sizes under both dictionaries, the levels passed and the curve, one text after the other."""
+    docs = docs_of(spark, sf_dir)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r.doc_id: r for r in score_toxicity(docs, model).collect()}
+    for r in list(got.values())[::11]:
+        text = lower(r.text)
+        words = [m.span() for m in WORDS.finditer(text)]
+        cut = [words[k : k + 6] for k in range(0, len(words), 6)]
+        windows = [text[max(0, c[0][0] - 1) : c[-1][1] + 1] for c in cut]
+        gain = [p - t for p, t in zip(plain_sizes(model.plain.content, 5, windows), plain_sizes(model.toxic.content, 5, windows), strict=True)]
+        x = []
+        for step in (-2, -1, 0, 1, 2, 4):
+            hits = sum(g >= model.threshold + step for g in gain)
+            x += [math.log1p(hits), math.log(1 + 100 * hits / (len(gain) + 5))]
+        x += [math.log1p(len(gain)) / 2, 1.0]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.curve, strict=True)))), rel=1e-9)
+
+
+def test_dictionaries_are_running_text(spark, sf_dir):
+    """All that a dictionary has of its own class is a run of bytes of that class's texts."""
+    from ledgerlens.llm.compression import ToxicityModel, mers, running_text, telling_mers, trained_part
+
+    rng = random.Random(8)
+    prose = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(80))
+    plain = [prose() for _ in range(200)]
+    toxic = [t.replace("beta", rng.choice(["vilest", "rotten"])) for t in (prose() for _ in range(200))]
+    texts = [running_text(x) for x in (toxic, plain)]
+    keys, weight = telling_mers(*texts, 5, 3)
+    part = trained_part(texts[0], keys, weight, 5, 200)
+    assert len(part) <= 200 and b" viles" in part and b" rotte" in part and b"beta" not in part
+    assert all(part[i : i + 5] in texts[0].tobytes() or b" " in part[i + 1 : i + 5] for i in range(len(part) - 5))
+    assert (mers(texts[0], 5) == keys[0]).any()
+    assert trained_part(texts[0], keys[:0], weight[:0], 5, 200) == b""
+    score = ToxicityModel().fit(toxic[:150], plain[:150]).scores(pa.array(toxic[150:] + plain[150:]))
+    assert (score[:50] > 0.9).all() and (score[50:] < 0.1).all()
+
+
+def test_languages_by_zstandard_alone(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    model = fit_language(docs)
+    for r in identify_language(docs, model).collect()[::13]:
+        text = (r.text or "").lower().encode()
+        windows = [text[k : k + 1024] for k in range(0, len(text), 1024)] or [b""]
+        total = [sum(plain_sizes(s.content, 3, windows)) for s in model.sizes]
+        if any(c.isalpha() for c in r.text or ""):
+            assert r.lang_pred == model.langs[total.index(min(total))]
+            assert r.score == pytest.approx(1 / sum(2.0 ** -min(40, t - min(total)) for t in total))
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_quality_expression_equals_the_rules(spark, sf_dir):
+    from ledgerlens.llm.rules import NAMES, statistics
+
+    docs = docs_of(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    stats = statistics(F.col("text"))
+    rows = score_quality(docs, model).select("score", *(stats[n].cast("double").alias(n) for n in NAMES)).toPandas()
+    assert len(model.rules) > 0
+    assert np.allclose(rows["score"], model.predict(rows[NAMES].to_numpy(float)), rtol=1e-9)
+
+
+def test_labels_that_disagree(spark):
+    """The larger of two labels of one id counts, whatever the order of rows."""
+    d = spark.createDataFrame([(i, ("spam " if i % 2 else "fine words here ") * 20) for i in range(200)], "doc_id long, text string")
+    pairs = [(i, i % 2, i % 2) for i in range(200)] + [(i, 0, 0) for i in range(1, 200, 2)]
+    scores = []
+    for order in (pairs, pairs[::-1]):
+        labels = spark.createDataFrame(order, "doc_id long, quality int, toxic int")
+        scores.append([r.score for r in score_quality(d, fit_quality(d, labels)).orderBy("doc_id").collect()])
+        got = [r.score for r in score_toxicity(d, fit_toxicity(d, labels)).orderBy("doc_id").collect()]
+        assert min(got[1::2]) > max(got[::2])
+    assert scores[0] == scores[1] and min(scores[0][1::2]) > max(scores[0][::2])
+
+
 def test_token_files_against_whole_texts(spark, sf_dir):
     e = Encoder(Q.tokenizer_path())
     start = 0

@@ -65,5 +65,5 @@ def test_pipeline_drops_what_the_classifier_calls_toxic(spark, sf_dir, monkeypat
 
     docs = spark.createDataFrame([(1, "a", 0.69), (2, "b", 0.7), (3, "c", 0.79), (4, "d", 0.8)], "doc_id long, text string, given double")
     monkeypatch.setattr(P, "fit_toxicity", lambda *a: None)
-    monkeypatch.setattr(P, "score_toxicity", lambda d, m: d.withColumn("score", F.col("given")))
+    monkeypatch.setattr(P, "score_toxicity", lambda d, m, out: d.withColumn(out, F.col("given")))
     assert [r.doc_id for r in P.toxicity(spark, docs, sf_dir).collect()] == [1]
