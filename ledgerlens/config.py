@@ -148,8 +148,8 @@ class Settings:
     @classmethod
     def load(cls) -> Settings:
         groups = (("simulation", Simulation, "SIM"), ("fraud", Fraud, "FRAUD"), ("graph", Graph, "GRAPH"), ("scoring", Scoring, "SCORING"), ("propagation", Propagation, "PROP"), ("embedding", Embedding, "GL"), ("sequence", Sequence, "SEQ"), ("jdbc", Jdbc, "PG"), ("cache", Cache, "REDIS"))
-        dirs = {k: v for k in ("data_dir", "output_dir", "models_dir") if (v := os.environ.get(f"GS_{k.upper()}"))}
-        return cls(**dirs, **{name: _from_env(kind, f"GS_{p}_") for name, kind, p in groups})
+        dirs = {k: v for k in ("data_dir", "output_dir", "models_dir") if (v := os.environ.get(f"LEDGERLENS_{k.upper()}"))}
+        return cls(**dirs, **{name: _from_env(kind, f"LEDGERLENS_{p}_") for name, kind, p in groups})
 
     def ensure_dirs(self) -> None:
         for d in (self.data_dir, self.output_dir, self.models_dir):

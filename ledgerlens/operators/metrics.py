@@ -183,6 +183,12 @@ def graph_metrics(edge: DataFrame, ids: DataFrame, with_components: bool = False
     return out
 
 
+def graph_drift_verdict(drift: DataFrame, least: int = 3) -> DataFrame:
+    """How many metrics of a graph drifted, and whether the graph did: ``least`` of them or more."""
+    n = F.count_if("drifted")
+    return drift.agg(F.count(F.lit(1)).alias("metrics"), n.alias("drifted_metrics"), (n >= least).alias("drifted"))
+
+
 def graph_drift(base: DataFrame, now: DataFrame, limit: float = 0.3) -> DataFrame:
     """metric, baseline, current, change (relative, or the value itself where the baseline is 0) and drifted."""
     cols = [c for c in base.columns if c in now.columns]

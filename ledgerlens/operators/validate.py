@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +96,12 @@ def degree_power_law(txns: DataFrame) -> tuple[float, int, bool]:
     hist = degree_counts(txns).groupBy("degree").agg(F.count(F.lit(1)).alias("n")).orderBy("degree").toPandas()  # one row a degree
     x, n = hist["degree"].to_numpy(float), hist["n"].to_numpy(float)
     best = (math.inf, math.nan, 0)
+    above, logs = n[::-1].cumsum()[::-1], (n * np.log(x))[::-1].cumsum()[::-1]
     for i in range(max(0, len(x) - 1)):
-        total = n[i:].sum()
+        total = above[i]
         if total < 10:
             break
-        alpha = 1 + total / (n[i:] * [math.log(v / (x[i] - 0.5)) for v in x[i:]]).sum()
+        alpha = 1 + total / (logs[i] - total * math.log(x[i] - 0.5))
         fit = 1 - (x[i:] + 0.5) ** (1 - alpha) / (x[i] - 0.5) ** (1 - alpha)
         gap = abs(n[i:].cumsum() / total - fit).max()
         best = min(best, (gap, alpha, int(x[i])))

@@ -133,6 +133,12 @@ def v5_degree_summary(spark, d):
     return r6(validate.degree_summary(p2p(spark, d)))
 
 
+@query
+def v5_power_law(spark, d):
+    alpha, least, ok = validate.degree_power_law(p2p(spark, d))
+    return r6(spark.createDataFrame([(float(alpha), int(least), bool(ok))], "alpha double, xmin long, passed boolean"))
+
+
 @query
 def v6_temporal_coverage(spark, d):
     return r6(validate.temporal_coverage(p2p(spark, d)))
@@ -239,7 +245,7 @@ def c4_betweenness(spark, d):
 
 @query
 def c5_pagerank(spark, d):
-    return r6(structural.pagerank(edge_table(spark, d), vertex_table(spark, d), iterations=2, tolerance=None).withColumn("pagerank", F.col("pagerank") * 100))
+    return r6(structural.pagerank(edge_table(spark, d), vertex_table(spark, d), iterations=30, tolerance=None).withColumn("pagerank", F.col("pagerank") * 100))
 
 
 @query
@@ -300,7 +306,7 @@ def d5_device_cluster(spark, d):
 def d6_suspicious_chains(spark, d):
     e = graph.edges(ledger(spark, d))
     v = graph.vertices(None, e)
-    return patterns.suspicious_chains(e, v, structural.degrees(e, v), 2)
+    return patterns.suspicious_chains(e, v, structural.degrees(e, v))
 
 
 @query
@@ -320,7 +326,7 @@ def p2_transition(spark, d):
 
 @query
 def p5_propagate(spark, d):
-    return propagation.propagate(edge_table(spark, d), vertex_table(spark, d), iterations=2, max_hops=2, tolerance=None)
+    return propagation.propagate(edge_table(spark, d), vertex_table(spark, d), tolerance=None)
 
 
 @query
@@ -330,12 +336,12 @@ def e1_spectral(spark, d):
 
 @query
 def e2_walks(spark, d):
-    return emb.walks(edge_table(spark, d), vertex_table(spark, d), 1, 4)
+    return emb.walks(edge_table(spark, d), vertex_table(spark, d), 10, 8)
 
 
 @query
 def e3_cooccurrence(spark, d):
-    return emb.cooccurrence(emb.walks(edge_table(spark, d), vertex_table(spark, d), 1, 4), 2)
+    return emb.cooccurrence(emb.walks(edge_table(spark, d), vertex_table(spark, d), 10, 8))
 
 
 @query
@@ -482,7 +488,7 @@ def _points(spark, d) -> DataFrame:
 
 @query
 def n1_isolation_forest(spark, d):
-    return training.isolation_forest(_points(spark, d), trees=20)
+    return training.isolation_forest(_points(spark, d), trees=200)
 
 
 @query
@@ -498,7 +504,7 @@ def n3_density_deviation(spark, d):
 @query
 def n4_combined_anomaly(spark, d):
     p = iterate.stage(_points(spark, d))
-    return training.combined_anomaly(training.isolation_forest(p, 10), training.local_outlier_factor(p, 10), training.density_deviation(p, EPS, 5))
+    return training.combined_anomaly(training.isolation_forest(p, 200), training.local_outlier_factor(p, 10), training.density_deviation(p, EPS, 5))
 
 
 # ---- drift
@@ -560,6 +566,11 @@ def w7_graph_drift(spark, d):
     return metrics.graph_drift(*(metrics.graph_metrics(e, graph.vertices(None, e)).drop("degree_std", "avg_clustering") for e in g))
 
 
+@query
+def w7_graph_verdict(spark, d):
+    return metrics.graph_drift_verdict(w7_graph_drift(spark, d))
+
+
 # ---- explanations, serving, charts
 
 

@@ -103,6 +103,20 @@ ct AS (SELECT feature, bin, sum(1 - side) AS a, sum(side) AS b FROM bn GROUP BY
 pq AS (SELECT feature, w, (coalesce(a, 0) + 1.0) / (na + 20) AS p, (coalesce(b, 0) + 1.0) / (nb + 20) AS q FROM (SELECT *, unnest(range(20)) AS bin FROM nn) x LEFT JOIN ct USING (feature, bin)),
 psi AS (SELECT feature, CASE WHEN max(w) < 1e-10 THEN 0.0 ELSE round(sum((CAST(q AS DOUBLE) - CAST(p AS DOUBLE)) * ln(CAST(q AS DOUBLE) / CAST(p AS DOUBLE))), 6) END AS psi FROM pq GROUP BY feature)"""
 
+_P_VALUE = """least(greatest(list_sum([2.0::DOUBLE * power(-1, k - 1) * exp(-2.0 * k * k * x * x) FOR k IN range(1, 21)]), 0), 1)"""
+DRIFT = f"""{HALVES}{ECDF}{PSI}, mo AS (SELECT feature, avg(value) FILTER (side = 0) AS m0, stddev_pop(value) FILTER (side = 0) AS s0, count(value) FILTER (side = 0) AS n0,
+  avg(value) FILTER (side = 1) AS m1, count(value) FILTER (side = 1) AS n1 FROM halves GROUP BY feature),
+en AS (SELECT feature, ks, psi, wasserstein, round(abs(m1 - m0) / (s0 + 1e-8), 6) AS mean_shift, sqrt(n0 * n1 / CAST(n0 + n1 AS DOUBLE)) AS en FROM mo JOIN ks USING (feature) JOIN psi USING (feature)),
+pv AS (SELECT *, (en + 0.12 + 0.11 / en) * ks AS x FROM en),
+dr AS (SELECT feature, mean_shift, ks, psi, wasserstein, round(CASE WHEN x < 0.2 THEN 1.0 ELSE {_P_VALUE} END, 6) AS p_value FROM pv),
+fd AS (SELECT *, p_value < 0.05 OR mean_shift > 2 OR psi > 0.2 AS drifted FROM dr)"""
+
+POWER = """, hs AS (SELECT degree, count(*) AS n FROM (SELECT count(*) AS degree FROM p2p GROUP BY sender_id UNION ALL SELECT count(*) FROM p2p GROUP BY receiver_id) GROUP BY degree),
+al AS (SELECT a.degree AS x, sum(b.n) AS total, 1 + sum(b.n) / sum(b.n * ln(b.degree / (a.degree - 0.5::DOUBLE))) AS alpha FROM hs a JOIN hs b ON b.degree >= a.degree GROUP BY a.degree HAVING sum(b.n) >= 10 AND count(*) > 1),
+cu AS (SELECT x, alpha, degree, sum(n) OVER (PARTITION BY x ORDER BY degree) / total AS seen FROM al JOIN hs ON degree >= x),
+ga AS (SELECT x, alpha, max(abs(seen - (1 - power(degree + 0.5::DOUBLE, 1 - alpha) / power(x - 0.5::DOUBLE, 1 - alpha)))) AS gap FROM cu GROUP BY x, alpha),
+pw AS (SELECT alpha, x AS xmin, alpha > 1.5 AND alpha < 4 AS passed FROM ga ORDER BY gap, alpha, x LIMIT 1)"""
+
 CLUSTER = """, pr AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edge WHERE src <> dst), nb AS (SELECT u, v FROM pr UNION ALL SELECT v, u FROM pr),
 tri AS (SELECT a.u AS account_id, count(*) / 2 AS t FROM nb a JOIN nb b ON a.u = b.u AND a.v <> b.v JOIN nb c ON c.u = a.v AND c.v = b.v GROUP BY a.u), dg AS (SELECT u AS account_id, count(*) AS d FROM nb GROUP BY u),
 clu AS (SELECT account_id, round(coalesce(CASE WHEN d >= 2 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) END, 0), 6) AS clustering_coefficient FROM vert LEFT JOIN dg USING (account_id) LEFT JOIN tri USING (account_id))"""
@@ -140,23 +154,37 @@ _CH = ["amount", "is_sender", "hour", "day", "delta"]
 
 MOVE = """, mv0 AS (SELECT dst AS i, src AS j, ln(1 + weight) * ln(1 + frequency) AS w FROM edge UNION ALL SELECT src, dst, 0.5 * (ln(1 + weight) * ln(1 + frequency)) FROM edge),
 mv1 AS (SELECT i, j, sum(w) AS w FROM mv0 GROUP BY i, j), mv AS (SELECT i, j, w / CASE WHEN t = 0 THEN 1 ELSE t END AS w FROM mv1 JOIN (SELECT j, sum(w) AS t FROM mv1 GROUP BY j) USING (j))"""
-_STEP = """, r{b} AS (SELECT account_id, seed, CASE WHEN seed THEN s ELSE least(greatest(greatest(0.5 * coalesce(g, 0), s), 0), 1) END AS s FROM r{a} LEFT JOIN (SELECT i, sum(w * s) AS g FROM mv JOIN r{a} ON j = account_id GROUP BY i) ON i = account_id)"""
+_STEP = """, r{b} AS MATERIALIZED (SELECT account_id, seed, CASE WHEN seed THEN s ELSE least(greatest(greatest(0.5 * coalesce(g, 0), s), 0), 1) END AS s FROM r{a} LEFT JOIN (SELECT i, sum(w * s) AS g FROM mv JOIN r{a} ON j = account_id GROUP BY i) ON i = account_id)"""
+_HOP = """, h{b} AS MATERIALIZED (SELECT account_id, min(dist) AS dist FROM (SELECT * FROM h{a} UNION ALL SELECT v, {b} FROM un JOIN h{a} ON u = account_id) GROUP BY account_id)"""
 PROPAGATE = (
-    f"{BASE}{MOVE}, r0 AS (SELECT account_id, is_fraud AS seed, CASE WHEN is_fraud THEN 1.0::DOUBLE ELSE 0 END AS s FROM vert){_STEP.format(a=0, b=1)}{_STEP.format(a=1, b=2)}"
-    """, un AS (SELECT src AS u, dst AS v FROM edge UNION SELECT dst, src FROM edge), h1 AS (SELECT DISTINCT v AS account_id FROM un JOIN r0 ON u = account_id AND seed),
-h2 AS (SELECT DISTINCT v AS account_id FROM un JOIN h1 ON u = account_id)
-SELECT account_id, round(CASE WHEN seed THEN s WHEN account_id IN (SELECT account_id FROM h1) THEN s * 0.5 WHEN account_id IN (SELECT account_id FROM h2) THEN s * 0.25 ELSE 0 END, 6) AS advanced_propagation_score FROM r2"""
+    f"{BASE}{MOVE}, r0 AS (SELECT account_id, is_fraud AS seed, CASE WHEN is_fraud THEN 1.0::DOUBLE ELSE 0 END AS s FROM vert){''.join(_STEP.format(a=k, b=k + 1) for k in range(20))}"
+    ", un AS MATERIALIZED (SELECT src AS u, dst AS v FROM edge UNION SELECT dst, src FROM edge), h0 AS (SELECT account_id, 0 AS dist FROM r0 WHERE seed)"
+    f"{''.join(_HOP.format(a=k, b=k + 1) for k in range(5))}"
+    " SELECT account_id, round(CASE WHEN seed THEN s ELSE coalesce(s * power(0.5::DOUBLE, dist), 0) END, 6) AS advanced_propagation_score FROM r20 LEFT JOIN h5 USING (account_id)"
 )
-_RANK = """, rk{b} AS (SELECT account_id, 0.15 / n + 0.85 * (coalesce(g, 0) + loose / n) AS pr FROM vert CROSS JOIN (SELECT count(*) AS n FROM vert)
+_RANK = """, rk{b} AS MATERIALIZED (SELECT account_id, 0.15 / n + 0.85 * (coalesce(g, 0) + loose / n) AS pr FROM vert CROSS JOIN (SELECT count(*) AS n FROM vert)
   CROSS JOIN (SELECT coalesce(sum(pr), 0) AS loose FROM rk{a} WHERE account_id NOT IN (SELECT src FROM edge)) LEFT JOIN (SELECT dst, sum(p * pr) AS g FROM tp JOIN rk{a} ON src = account_id GROUP BY dst) ON dst = account_id)"""
+_ROLL = """, w{b} AS MATERIALIZED (SELECT walk, y AS x FROM (SELECT walk, x, (walk * 7919 + {c} + x * 31) % n AS i FROM w{a} JOIN (SELECT DISTINCT x, n FROM nr) USING (x)) JOIN nr USING (x, i))"""
+WALKS = (
+    f"{BASE}, nr AS MATERIALIZED (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY k, y) - 1 AS i, count(*) OVER (PARTITION BY x) AS n FROM (SELECT src AS x, dst AS y, 0 AS k FROM edge UNION ALL SELECT dst, src, 1 FROM edge))"
+    f", w0 AS (SELECT account_id * 10 + r AS walk, account_id AS x FROM vert, (SELECT unnest(range(10)) AS r)){''.join(_ROLL.format(a=k - 1, b=k, c=k * 104729 + 42 * 15485863) for k in range(1, 8))}"
+    f", wk AS ({' UNION ALL '.join(f'SELECT walk, {k} AS step, x AS vertex FROM w{k}' for k in range(8))})"
+)
 PAGERANK = (
     f"{BASE}, tp AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM edge), rk0 AS (SELECT account_id, 1.0::DOUBLE / (SELECT count(*) FROM vert) AS pr FROM vert)"
-    f"{_RANK.format(a=0, b=1)}{_RANK.format(a=1, b=2)} SELECT account_id, round(round(pr, 8) * 100, 6) AS pagerank FROM rk2"
+    f"{''.join(_RANK.format(a=k, b=k + 1) for k in range(30))} SELECT account_id, round(round(pr, 8) * 100, 6) AS pagerank FROM rk30"
 )
 
-CYCLES = """, ar AS (SELECT DISTINCT src, dst FROM edge), cy AS (SELECT [src] AS p FROM ar WHERE src = dst
-  UNION ALL SELECT [a.src, a.dst] FROM ar a JOIN ar b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
-  UNION ALL SELECT [a.src, a.dst, b.dst] FROM ar a JOIN ar b ON a.dst = b.src JOIN ar c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst),
+def _cycle(k: int) -> str:
+    """Cycles of ``k`` different accounts from their least one."""
+    inner = range(1, k)
+    joins = " ".join(f"JOIN ar a{i} ON a{i}.src = a{i - 1}.dst AND a{i}.dst <> a{i}.src" for i in inner)
+    apart = [f"a0.src < a{i}.src" for i in inner] + [f"a{i}.src <> a{j}.src" for i in inner for j in inner if i < j]
+    return f"SELECT [{', '.join(f'a{i}.src' for i in range(k))}] AS p FROM ar a0 {joins} WHERE a{k - 1}.dst = a0.src AND {' AND '.join(apart)}"
+
+
+CYCLES = f""", ar AS (SELECT DISTINCT src, dst FROM edge), cy AS (SELECT [src] AS p FROM ar WHERE src = dst
+  UNION ALL {" UNION ALL ".join(map(_cycle, range(2, 6)))}),
 hc AS (SELECT account_id, count(*) AS n FROM (SELECT unnest(p) AS account_id FROM cy) GROUP BY account_id)"""
 LAYERS = """, ar AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst), bo AS (SELECT src AS v FROM edge INTERSECT SELECT dst FROM edge), di AS (SELECT * FROM ar WHERE src IN (SELECT v FROM bo)),
 l2 AS (SELECT a.src, b.src AS m, b.dst FROM di a JOIN ar b ON a.dst = b.src WHERE b.dst <> a.src), l3 AS (SELECT l2.src, b.dst FROM l2 JOIN ar b ON l2.dst = b.src WHERE b.dst <> l2.src AND b.dst <> l2.m),
@@ -168,6 +196,14 @@ LONG = ", lf AS (" + " UNION ALL ".join(f"SELECT account_id, '{c}' AS feature, C
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _oracle_sql()
+    checks = {"lognormality": "v4_lognormality", "temporal": "v6_temporal_coverage", "fraud_ratio": "v7_fraud_ratio", "coverage": "v8_account_coverage", "power_law": "v5_power_law"}
+    out["v9_validate_all"] = " UNION ALL ".join(f'SELECT \'{k}\' AS "check", passed FROM ({out[v]})' for k, v in checks.items())
+    out["w7_graph_verdict"] = f"SELECT count(*) AS metrics, count(*) FILTER (drifted) AS drifted_metrics, count(*) FILTER (drifted) >= 3 AS drifted FROM ({out['w7_graph_drift']})"
+    return out
+
+
+def _oracle_sql() -> dict[str, str]:
     r = lambda cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
     edge_cols = "src, dst, round(weight, 6) AS weight, frequency, min_amount, max_amount, first_txn, last_txn, round(avg_amount, 6) AS avg_amount, round(avg_inter_txn_gap, 6) AS avg_inter_txn_gap"
     windows = " UNION ALL ".join(f"SELECT 'window_{d}d' AS window_key, * FROM p2p WHERE \"timestamp\" >= (SELECT max(\"timestamp\") FROM p2p) - INTERVAL {d} DAY" for d in (7, 30, 90)) + " UNION ALL SELECT 'lifetime', * FROM p2p"
@@ -175,6 +211,11 @@ def oracle_sql() -> dict[str, str]:
     alerts = "CASE WHEN propagation_score = greatest(behavioral_score, structural_score, propagation_score) THEN 'network_risk' WHEN structural_score = greatest(behavioral_score, structural_score, propagation_score) THEN 'structural_anomaly' ELSE 'behavioral_anomaly' END AS alert_type"
     sides = f"SELECT account_id, {r(['incoming_volume', 'avg_incoming_amount'])}, max_incoming_amount, incoming_txn_count, incoming_counterparty_diversity FROM ({INC})"
     return {
+        "v5_power_law": f"{WITH}{POWER} SELECT round(alpha, 6) AS alpha, xmin, passed FROM pw",
+        "e2_walks": f"{WALKS} SELECT * FROM wk",
+        "e3_cooccurrence": f"{WALKS} SELECT p.vertex AS a, q.vertex AS b, count(*) AS n FROM wk p JOIN wk q ON p.walk = q.walk AND abs(p.step - q.step) <= 5 WHERE p.vertex <> q.vertex GROUP BY ALL",
+        "w2_feature_drift": f"{DRIFT} SELECT * FROM fd",
+        "w4_drift_summary": f"{DRIFT} SELECT count(*) AS features, count(*) FILTER (drifted) AS drifted, round(count(*) FILTER (drifted) / count(*), 4) AS drift_ratio, count(*) FILTER (drifted) / count(*) > 0.3 AS retrain FROM fd",
         "s1_parquet_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
         "s2_csv_scan": f"{WITH} SELECT transaction_id, amount, transaction_type FROM p2p",
         "s3_clean_batch": f"{WITH_LEDGER} SELECT transaction_id, amount, \"timestamp\" FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY \"timestamp\", sender_id, receiver_id, amount) AS r FROM ledger WHERE amount > 0 AND sender_id <> receiver_id) WHERE r = 1",
@@ -231,16 +272,22 @@ def oracle_sql() -> dict[str, str]:
         "x2_at_k": f"{LABELLED}, o AS (SELECT label, row_number() OVER (ORDER BY score DESC, account_id) AS r FROM s), ks AS (SELECT unnest([50, 100, 200, 500])::BIGINT AS k) SELECT k, round(sum(label) / count(*), 6) AS precision_at_k, round(sum(label) / (SELECT sum(label) FROM s), 6) AS recall_at_k FROM ks JOIN o ON r <= k GROUP BY k",
         "x3_evaluation_report": f"{LABELLED}{_CURVE} SELECT 'a' AS best_model, round((SELECT sum(p * tp / k) FROM c) / t, 6) AS val_pr_auc FROM t",
         "t1_temporal_split": f"{WITH}, o AS (SELECT \"timestamp\" AS ts, row_number() OVER (ORDER BY \"timestamp\") - 1 AS i, count(*) OVER () AS n FROM p2p), c AS (SELECT max(ts) FILTER (i = least(n - 1, floor(n * 0.7::DOUBLE / (0.7::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE)))) AS t0, max(ts) FILTER (i = least(n - 1, floor(n * (0.7::DOUBLE + 0.15::DOUBLE) / (0.7::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE)))) AS t1 FROM o), f AS (SELECT account_id, min(ts) AS first_seen FROM (SELECT sender_id AS account_id, \"timestamp\" AS ts FROM p2p UNION ALL SELECT receiver_id, \"timestamp\" FROM p2p) GROUP BY 1) SELECT account_id, first_seen, CASE WHEN first_seen <= t0 THEN 'train' WHEN first_seen <= t1 THEN 'val' ELSE 'test' END AS split FROM accounts JOIN f USING (account_id), c",
-        "n2_local_outlier_factor": "WITH x AS (SELECT vec_id AS id, CAST(embedding[1:8] AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id, b.id AS o, list_distance(a.v, b.v) AS d FROM x a JOIN x b ON a.id <> b.id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS r FROM d) WHERE r <= 10), kd AS (SELECT id, max(d) AS kd FROM k GROUP BY id), l AS (SELECT k.id, 1.0 / (avg(greatest(d, kd.kd)) + 1e-10) AS l FROM k JOIN kd ON kd.id = k.o GROUP BY k.id) SELECT k.id, round(avg(b.l) / any_value(a.l), 6) AS lof FROM k JOIN l a ON a.id = k.id JOIN l b ON b.id = k.o GROUP BY k.id",
+        "n2_local_outlier_factor": "WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id, b.id AS o, list_distance(a.v, b.v) AS d FROM x a JOIN x b ON a.id <> b.id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS r FROM d) WHERE r <= 10), kd AS (SELECT id, max(d) AS kd FROM k GROUP BY id), l AS (SELECT k.id, 1.0 / (avg(greatest(d, kd.kd)) + 1e-10) AS l FROM k JOIN kd ON kd.id = k.o GROUP BY k.id) SELECT k.id, round(avg(b.l) / any_value(a.l), 6) AS lof FROM k JOIN l a ON a.id = k.id JOIN l b ON b.id = k.o GROUP BY k.id",
         "stream_clean": f"{WITH} SELECT transaction_id, amount FROM p2p WHERE amount > 0 AND sender_id <> receiver_id",
         "stream_edges": f"{BASE} SELECT src, dst, round(weight, 6) AS weight, frequency FROM edge",
         "w1_drift_baseline": f"{HALVES} SELECT feature, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM halves WHERE side = 0 GROUP BY feature",
         "w2_ecdf_distance": f"{HALVES}{ECDF} SELECT * FROM ks",
         "w3_psi": f"{HALVES}{PSI} SELECT * FROM psi",
         "w5_prediction_profile": f"{LABELLED} SELECT round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.9), 6) AS q90, round(quantile_cont(score, 0.99), 6) AS q99, round(avg(CASE WHEN score > 0.75 THEN 1 ELSE 0 END), 6) AS alert_rate FROM s",
+        "w5_prediction_drift": f"""{LABELLED}, halves AS (SELECT account_id % 2 AS side, 'score' AS feature, score AS value FROM s){ECDF},
+mo AS (SELECT round(avg(value) FILTER (side = 0), 6) AS m0, round(stddev_pop(value) FILTER (side = 0), 6) AS s0, count(*) FILTER (side = 0) AS n0, round(avg(value) FILTER (side = 1), 6) AS m1, count(*) FILTER (side = 1) AS n1,
+  round(avg(CASE WHEN value > 0.75 THEN 1 ELSE 0 END) FILTER (side = 0), 6) AS r0, round(avg(CASE WHEN value > 0.75 THEN 1 ELSE 0 END) FILTER (side = 1), 6) AS r1 FROM halves),
+en AS (SELECT ks, sqrt(n0 * n1 / CAST(n0 + n1 AS DOUBLE)) AS en, round(abs(m1 - m0) / (s0 + 1e-8), 6) AS mean_shift, round(abs(r1 - r0), 6) AS alert_rate_change FROM mo, ks),
+pv AS (SELECT *, (en + 0.12 + 0.11 / en) * ks AS x FROM en)
+SELECT ks, mean_shift, alert_rate_change, CASE WHEN x < 0.2 THEN 1.0 ELSE {_P_VALUE} END < 0.05 OR mean_shift > 2 OR alert_rate_change > 0.05 AS drifted FROM pv""",
         "w6_graph_metrics": f"{BASE}{CLUSTER}, m AS ({_graph_row('deg')}) SELECT {', '.join(_GM)}, round(sd, 6) AS degree_std, (SELECT round(avg(clustering_coefficient), 6) FROM clu) AS avg_clustering FROM m",
         "w7_graph_drift": f"{WITH}, {_HALF_GRAPH}, x AS ({' UNION ALL '.join(f"SELECT '{c}' AS metric, CAST(m0.{c} AS DOUBLE) AS baseline, CAST(m1.{c} AS DOUBLE) AS current FROM m0, m1" for c in _GM)}), y AS (SELECT *, round(CASE WHEN baseline = 0 THEN abs(current) ELSE abs(current - baseline) / abs(baseline) END, 6) AS change FROM x) SELECT *, change > 0.3 AS drifted FROM y",
-        "h1_top_features": f"{FEATURES}{LONG} SELECT * FROM ({TOP}) WHERE account_id % 10 = 0",
+        "h1_top_features": f"{FEATURES}{LONG} SELECT * FROM ({TOP})",
         "h2_batch_decompose": f"{SCORES}{LONG}, tp AS (SELECT account_id, risk_score FROM scores ORDER BY risk_score DESC, account_id LIMIT 20) SELECT account_id, risk_score, rank, feature, value FROM ({TOP}) JOIN tp USING (account_id)",
         "h4_account_activity": f"{WITH} SELECT account_id, CAST(sum(s) AS BIGINT) AS sent, CAST(sum(1 - s) AS BIGINT) AS received, CAST(sum(b) AS BIGINT) AS fraud FROM (SELECT sender_id AS account_id, 1 AS s, CAST(is_fraud AS INT) AS b FROM p2p UNION ALL SELECT receiver_id, 0, CAST(is_fraud AS INT) FROM p2p) GROUP BY account_id",
         "y1_ground_truth": f"{WITH}, f AS (SELECT sender_id AS account_id, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(28,2))) AS DOUBLE) AS total, arg_min(fraud_pattern, ROW(\"timestamp\", transaction_id)) AS pattern FROM p2p WHERE is_fraud GROUP BY 1) SELECT account_id, fraud_role, coalesce(n, 0) AS fraud_txn_count, coalesce(total, 0) AS total_fraud_amount, coalesce(pattern, 'unknown') AS primary_pattern FROM accounts LEFT JOIN f USING (account_id) WHERE is_fraud",
@@ -254,5 +301,5 @@ def oracle_sql() -> dict[str, str]:
         "j4_ego_edges": f"{BASE}, ego AS (SELECT CAST(7 AS BIGINT) AS a UNION SELECT dst FROM edge WHERE src = 7 UNION SELECT src FROM edge WHERE dst = 7) SELECT src, dst, round(weight, 6) AS weight FROM edge WHERE src IN (SELECT a FROM ego) AND dst IN (SELECT a FROM ego)",
         "j5_fraud_network": f"{BASE}, bad AS (SELECT account_id FROM vert WHERE is_fraud), nr AS (SELECT src AS f, dst AS o, 0 AS side FROM edge WHERE src IN (SELECT account_id FROM bad) UNION ALL SELECT dst, src, 1 FROM edge WHERE dst IN (SELECT account_id FROM bad)), ids AS (SELECT account_id, 0 AS p FROM bad UNION ALL SELECT o, 1 FROM (SELECT *, row_number() OVER (PARTITION BY f, side ORDER BY o) AS r FROM nr) WHERE r <= 5) SELECT account_id, min(p) = 0 AS is_fraud FROM ids GROUP BY account_id ORDER BY min(p), account_id LIMIT 500",
         "j8_pr_curve": f"{LABELLED}{_CURVE} SELECT score AS threshold, round(tp / k, 6) AS precision, round(tp / t, 6) AS recall FROM c, t",
-        "j9_timeline": f"{WITH}, d AS (SELECT account_id, CAST(ts AS DATE) AS day, count(*) AS n FROM (SELECT sender_id AS account_id, \"timestamp\" AS ts FROM p2p WHERE sender_id % 20 = 0 UNION ALL SELECT receiver_id, \"timestamp\" FROM p2p WHERE sender_id % 20 = 0) WHERE account_id % 20 = 0 GROUP BY ALL), s AS (SELECT account_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY account_id) SELECT account_id, day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (account_id, day)",
+        "j9_timeline": f"{WITH}, d AS (SELECT account_id, CAST(ts AS DATE) AS day, count(*) AS n FROM (SELECT sender_id AS account_id, \"timestamp\" AS ts FROM p2p UNION ALL SELECT receiver_id, \"timestamp\" FROM p2p) GROUP BY ALL), s AS (SELECT account_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY account_id) SELECT account_id, day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (account_id, day)",
     }

@@ -136,15 +136,20 @@ def cache_entries(df: DataFrame, prefix: str, ttl: int) -> DataFrame:
 
 
 class Cache:
-    """A bounded key-value cache with times to live; ``put`` streams rows so the driver holds only what fits."""
+    """A bounded key-value cache with times to live. ``put`` streams its rows; beyond ``size`` entries the
+    longest unwritten make room, as in any cache, and are counted in ``stats``."""
 
     def __init__(self, size: int = 100_000):
-        self.size, self.data = size, {}
+        self.size, self.data, self.evicted = size, {}, 0
 
     def put(self, entries: DataFrame) -> None:
         now = datetime.now()
-        for r in entries.limit(self.size).toLocalIterator():
+        for r in entries.toLocalIterator():
+            self.data.pop(r.key, None)
             self.data[r.key] = (now + timedelta(seconds=r.ttl), r.value)
+            if len(self.data) > self.size:
+                del self.data[next(iter(self.data))]
+                self.evicted += 1
 
     def get(self, key: str):
         hit = self.data.get(key)
@@ -158,7 +163,7 @@ class Cache:
             self.data.pop(f"{prefix}:{account_id}", None)
 
     def stats(self) -> dict:
-        return {"keys": len(self.data), "bytes": sum(len(v) for _, v in self.data.values())}
+        return {"keys": len(self.data), "bytes": sum(len(v) for _, v in self.data.values()), "evicted": self.evicted}
 
     def close(self) -> None:
         self.data.clear()

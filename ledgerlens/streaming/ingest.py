@@ -31,7 +31,8 @@ def running_edges(txns: DataFrame, store: FileStore, checkpoint: str, name: str
         except FileNotFoundError:
             store.write(name, new)
             return
-        if (old.agg(F.max("epoch")).first()[0] or -1) < epoch:
+        last = old.agg(F.max("epoch")).first()[0]
+        if last is None or last < epoch:
             store.write(name, merge_edges(old.drop("epoch"), new.drop("epoch")).withColumn("epoch", F.lit(epoch)))
 
     return txns.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -142,7 +142,7 @@ def test_simulation_invariants(spark):
 
 
 def test_settings(monkeypatch):
-    monkeypatch.setenv("GS_SIM_TOTAL_ACCOUNTS", "7")
+    monkeypatch.setenv("LEDGERLENS_SIM_TOTAL_ACCOUNTS", "7")
     assert Settings.load().simulation.total_accounts == 7
     with pytest.raises(ValueError):
         Fraud(cycle_min=5, cycle_max=3)
