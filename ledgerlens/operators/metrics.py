@@ -61,6 +61,13 @@ def evaluation_report(models: DataFrame) -> DataFrame:
     return models.filter("split = 'val'").agg(F.max_by("model", F.struct("pr_auc", "model")).alias("best_model"), F.max("pr_auc").alias("val_pr_auc"))
 
 
+def model_comparison(models: DataFrame, names: tuple[str, ...] = ("roc_auc", "pr_auc", "precision", "recall")) -> DataFrame:
+    """model, metric and value on the validation split, 0 where a metric is not given: the bars of a comparison chart."""
+    value = lambda c: zero(F.col(c).cast("double")) if c in models.columns else F.lit(0.0)
+    bars = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), value(c).alias("value")) for c in names)))
+    return models.filter("split = 'val'").select("model", bars.alias("e")).select("model", "e.*")
+
+
 def reliability(df: DataFrame, p: str = "p", label: str = "label", bins: int = 10) -> DataFrame:
     """Brier score and expected calibration error; a probability of exactly 1 is in no bin."""
     rows = df.select(F.col(p).cast("double").alias("p"), F.col(label).cast("double").alias("y"))
@@ -105,13 +112,23 @@ def psi(a: DataFrame, b: DataFrame, bins: int = 20) -> DataFrame:
 
 def ecdf_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """feature, ks (largest gap of the distributions) and wasserstein (area between them) of long-form frames."""
-    both = a.select("feature", "value", F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).unionByName(b.select("feature", "value", F.lit(0.0).alias("a"), F.lit(1.0).alias("b")))
+    both = a.select("feature", "value", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select("feature", "value", F.lit(0).alias("a"), F.lit(1).alias("b")))
     steps = both.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    whole = Window.partitionBy("feature")
-    w = whole.orderBy("value")
+    # Ranges of values first, so no task sees all values of a feature: each knows what lies below it and where the next begins.
+    bounds = both.groupBy("feature").agg(F.percentile_approx("value", F.array(*(F.lit(k / 64) for k in range(1, 64))), 1000).alias("cuts"))
+    steps = steps.join(F.broadcast(bounds), "feature").withColumn("r", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
+    ranges = steps.groupBy("feature", "r").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min("value").alias("lo"))
+    whole = Window.partitionBy("feature")  # at most 64 ranges a feature
+    below = whole.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        "feature", "r", zero(F.sum("ra").over(below)).alias("ba"), zero(F.sum("rb").over(below)).alias("bb"),
+        F.sum("ra").over(whole).alias("na"), F.sum("rb").over(whole).alias("nb"), F.lead("lo").over(whole.orderBy("r")).alias("next"),
+    )
+    w = Window.partitionBy("feature", "r").orderBy("value")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(whole) - F.sum("b").over(run) / F.sum("b").over(whole))
-    rows = steps.select("feature", gap.alias("gap"), zero(F.lead("value").over(w) - F.col("value")).alias("dx"))
+    share = lambda x: (F.sum(x).over(run) + F.col(f"b{x}")) / F.col(f"n{x}").cast("double")
+    step = zero(F.coalesce(F.lead("value").over(w), F.col("next")) - F.col("value"))
+    rows = steps.join(F.broadcast(ranges), ["feature", "r"]).select("feature", F.abs(share("a") - share("b")).alias("gap"), step.alias("dx"))
     return rows.groupBy("feature").agg(F.round(F.max("gap"), 6).alias("ks"), F.round(F.sum(F.col("gap") * F.col("dx")), 6).alias("wasserstein"))
 
 

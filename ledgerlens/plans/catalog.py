@@ -664,6 +664,13 @@ def j5_fraud_network(spark, d):
     return explain.fraud_network(edge_table(spark, d), vertex_table(spark, d))
 
 
+@query
+def j7_model_comparison(spark, d):
+    s = _labelled(spark, d)
+    rows = [metrics.ranking_metrics(s, threshold=t).withColumns({"model": F.lit(m), "split": F.lit(k)}) for m, k, t in (("a", "val", 0.5), ("b", "val", 0.8), ("b", "test", 0.5))]
+    return metrics.model_comparison(reduce(DataFrame.unionByName, rows).drop("recall"))
+
+
 @query
 def j8_pr_curve(spark, d):
     return metrics.pr_curve(_labelled(spark, d))

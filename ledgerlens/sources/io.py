@@ -70,26 +70,99 @@ def find_alerts(alerts: DataFrame, resolved: bool = False, limit: int = 100) ->
     return alerts.filter(F.col("resolved") == F.lit(resolved)).orderBy(F.desc("created_at"), "account_id").limit(limit)
 
 
+# Tables and columns of the relational store.
+TABLES = {
+    "accounts": [
+        ("account_id", "VARCHAR(32) NOT NULL PRIMARY KEY"), ("creation_date", "TIMESTAMP"), ("account_type", "VARCHAR(20)"), ("kyc_level", "VARCHAR(20)"),
+        ("geographic_region", "VARCHAR(50)"), ("device_fingerprint_id", "VARCHAR(24)"), ("is_fraud", "BOOLEAN DEFAULT FALSE"), ("fraud_role", "VARCHAR(30) DEFAULT 'normal'"),
+    ],
+    "risk_scores": [
+        ("account_id", "VARCHAR(32) NOT NULL PRIMARY KEY"), ("behavioral_risk_score", "DOUBLE PRECISION"), ("structural_risk_score", "DOUBLE PRECISION"),
+        ("network_propagation_score", "DOUBLE PRECISION"), ("risk_score", "DOUBLE PRECISION"), ("risk_level", "VARCHAR(20)"), ("updated_at", "TIMESTAMP"),
+    ],
+    "alerts": [
+        ("alert_id", "INTEGER GENERATED BY DEFAULT AS IDENTITY PRIMARY KEY"), ("account_id", "VARCHAR(32)"), ("risk_score", "DOUBLE PRECISION"), ("risk_level", "VARCHAR(20)"),
+        ("alert_type", "VARCHAR(50)"), ("created_at", "TIMESTAMP"), ("resolved", "BOOLEAN DEFAULT FALSE"),
+    ],
+}
+
+
 class JdbcStore:
-    """Score and alert tables over JDBC. Needs the database's driver jar on the class path."""
+    """Account, score and alert tables over JDBC. Rows are written and read by the executors; the few
+    statements (tables, merge) go through the driver's JVM. Needs the database's driver jar on the class path.
 
-    def __init__(self, cfg: Jdbc = Jdbc()):
-        self.cfg = cfg
+    The executors open their connections task by task, at most ``connections`` at once; the driver holds
+    one, from ``initialize`` to ``close``.
+    """
+
+    def __init__(self, cfg: Jdbc = Jdbc(), url: str | None = None, connections: int = 30):
+        self.cfg, self.url, self.connections, self._held = cfg, url or cfg.url, connections, None
 
     def _options(self, table: str) -> dict:
-        return {"url": self.cfg.url, "dbtable": table, "user": self.cfg.user, "password": self.cfg.password, "batchsize": "10000"}
+        own = {"user": self.cfg.user, "password": self.cfg.password} if self.cfg.user else {}
+        return {"url": self.url, "dbtable": table, "batchsize": "10000", "numPartitions": str(self.connections), **own}
+
+    def _connection(self, spark: SparkSession):
+        if self._held is None:
+            manager = spark._jvm.java.sql.DriverManager
+            self._held = manager.getConnection(self.url, self.cfg.user, self.cfg.password) if self.cfg.user else manager.getConnection(self.url)
+        return self._held
+
+    def execute(self, spark: SparkSession, *statements: str) -> None:
+        """Runs the statements as one transaction."""
+        c = self._connection(spark)
+        c.setAutoCommit(False)
+        try:
+            for sql in statements:
+                s = c.createStatement()
+                s.execute(sql)
+                s.close()
+            c.commit()
+        except Exception:
+            c.rollback()
+            raise
+
+    def has_table(self, spark: SparkSession, name: str) -> bool:
+        found = self._connection(spark).getMetaData().getTables(None, None, name, None)
+        return bool(found.next())
+
+    def initialize(self, spark: SparkSession) -> None:
+        """Creates the tables that are not there yet, and the index on the alerts' accounts."""
+        for name, columns in TABLES.items():
+            if not self.has_table(spark, name):
+                body = ", ".join(f'"{c}" {kind}' for c, kind in columns)
+                index = ['CREATE INDEX "alerts_account" ON "alerts" ("account_id")'] if name == "alerts" else []
+                self.execute(spark, f'CREATE TABLE "{name}" ({body})', *index)
+
+    def close(self) -> None:
+        if self._held is not None:
+            self._held.close()
+            self._held = None
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.format("jdbc").options(**self._options(table)).load()
+        return spark.read.format("jdbc").options(**self._options(f'"{table}"')).load()
 
-    def upsert_scores(self, scores: DataFrame, staging: str = "risk_scores_staging") -> str:
-        """Writes to a staging table and returns the statement that merges it; one commit on the database's side."""
-        scores.withColumn("updated_at", F.current_timestamp()).write.format("jdbc").options(**self._options(staging)).mode("overwrite").save()
-        sets = ", ".join(f"{c} = EXCLUDED.{c}" for c in [*scores.columns, "updated_at"] if c != "account_id")
-        return f"INSERT INTO risk_scores SELECT * FROM {staging} ON CONFLICT (account_id) DO UPDATE SET {sets}"
+    def upsert_scores(self, scores: DataFrame) -> None:
+        """Scores take the place of the accounts' old ones. The executors write a staging table; one
+        statement then merges it, so readers see all of them or none, and a repeated call changes nothing."""
+        spark = scores.sparkSession
+        columns = [c for c, _ in TABLES["risk_scores"] if c in scores.columns]
+        rows = scores.select(*columns).withColumn("updated_at", F.current_timestamp())
+        staging = "risk_scores_staging"
+        kinds = ", ".join(f"{c} {k.split(' ')[0]}" for c, k in TABLES["risk_scores"] if c in columns and k.startswith("VARCHAR"))
+        rows.write.format("jdbc").options(**self._options(f'"{staging}"'), createTableColumnTypes=kinds).mode("overwrite").save()
+        names = rows.columns
+        sets = ", ".join(f'"{c}" = s."{c}"' for c in names if c != "account_id")
+        into, values = ", ".join(f'"{c}"' for c in names), ", ".join(f's."{c}"' for c in names)
+        merge = f'MERGE INTO "risk_scores" t USING "{staging}" s ON t."account_id" = s."account_id" WHEN MATCHED THEN UPDATE SET {sets} WHEN NOT MATCHED THEN INSERT ({into}) VALUES ({values})'
+        self.execute(spark, merge, f'DROP TABLE "{staging}"')
 
     def insert_alerts(self, alerts: DataFrame) -> None:
-        alerts.write.format("jdbc").options(**self._options("alerts")).mode("append").save()
+        """Appends alerts, unresolved and made now unless they say otherwise; ids are the database's."""
+        given = {c: F.col(c) for c in alerts.columns}
+        columns = [c for c, _ in TABLES["alerts"] if c in given and c != "alert_id"]
+        rows = alerts.select(*columns).withColumns({c: v for c, v in (("created_at", F.current_timestamp()), ("resolved", F.lit(False))) if c not in given})
+        rows.write.format("jdbc").options(**self._options('"alerts"')).mode("append").save()
 
 
 class FileStore:
@@ -171,16 +244,82 @@ class Cache:
 
 # ---- graph store
 
+# Labels, keys and properties of the property graph, in the statements that write them.
+SCHEMA = [
+    "CREATE CONSTRAINT account_id IF NOT EXISTS FOR (a:Account) REQUIRE a.account_id IS UNIQUE",
+    "CREATE INDEX txn_timestamp IF NOT EXISTS FOR ()-[t:TRANSACTS]-() ON (t.timestamp)",
+]
+MERGE_NODES = "UNWIND $rows AS row MERGE (a:Account {account_id: row.account_id}) SET a += row"
+MERGE_EDGES = (
+    "UNWIND $rows AS row MATCH (s:Account {account_id: row.src}) MATCH (r:Account {account_id: row.dst}) "
+    "MERGE (s)-[t:TRANSACTS]->(r) SET t.weight = row.weight, t.frequency = row.frequency"
+)
+CLEAR = "MATCH (n) DETACH DELETE n"
+
+
+class GraphStore:
+    """A property-graph database. ``open_session`` returns an object with run(statement, **parameters) and
+    close(); the driver holds one, and each task that writes opens its own.
+
+    Statements merge, so batches that are sent again after a lost executor change nothing.
+    """
+
+    def __init__(self, open_session, batch: int = 1000):
+        self.open_session, self.batch, self._session = open_session, batch, None
+
+    def connect(self) -> None:
+        self._session = self.open_session()
+        self._session.run("RETURN 1")
+
+    @property
+    def session(self):
+        if self._session is None:
+            raise RuntimeError("not connected: call connect() first")
+        return self._session
+
+    def close(self) -> None:
+        if self._session is not None:
+            self._session.close()
+            self._session = None
+
+    def setup_schema(self) -> None:
+        for statement in SCHEMA:
+            self.session.run(statement)
+
+    def clear(self) -> None:
+        self.session.run(CLEAR)
+
+    def upload(self, vertex: DataFrame, edge: DataFrame) -> None:
+        """All vertices, then all edges (weight and frequency), in batches from the executors."""
+        self.session  # noqa: B018  raises unless connected
+        for df, statement in ((_iso(vertex), MERGE_NODES), (edge.select("src", "dst", "weight", "frequency"), MERGE_EDGES)):
+            send_partitions(df, _Sender(self.open_session, statement), self.batch)
+
+
+class _Sender:
+    """Sends a task's batches through one session of its own."""
+
+    def __init__(self, open_session, statement: str):
+        self.open_session, self.statement, self.session = open_session, statement, None
+
+    def __call__(self, rows: list[dict]) -> None:
+        if self.session is None:
+            self.session = self.open_session()
+        self.session.run(self.statement, rows=rows)
+
+    def close(self) -> None:
+        if self.session is not None:
+            self.session.close()
+
 
-def graph_statements() -> list[str]:
-    """Constraint and index of a property-graph store."""
-    return ["CREATE CONSTRAINT account_id IF NOT EXISTS FOR (a:Account) REQUIRE a.account_id IS UNIQUE", "CREATE INDEX account_fraud IF NOT EXISTS FOR (a:Account) ON (a.is_fraud)"]
+def _iso(df: DataFrame) -> DataFrame:
+    """Times as ISO text."""
+    return df.select(*(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes))
 
 
 def save_graph(vertex: DataFrame, edge: DataFrame, path: str) -> None:
     """Vertices and edges (weight and frequency only), times as ISO text."""
-    iso = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in vertex.dtypes]
-    vertex.select(*iso).write.mode("overwrite").parquet(f"{path}/vertices")
+    _iso(vertex).write.mode("overwrite").parquet(f"{path}/vertices")
     edge.select("src", "dst", "weight", "frequency").write.mode("overwrite").parquet(f"{path}/edges")
 
 
@@ -200,5 +339,7 @@ def send_partitions(df: DataFrame, send, batch: int = 1000) -> None:
                 held = []
         if held:
             send(held)
+        if close := getattr(send, "close", None):
+            close()
 
     df.foreachPartition(part)

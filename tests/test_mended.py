@@ -1,11 +1,15 @@
 """Replayed batches, reloaded encoders, evictions, samples of a forest's trees, absent optional libraries."""
 
+import json
 import subprocess
 import sys
+import uuid
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.config import Jdbc
 from ledgerlens.operators import sequences, training
 from ledgerlens.plans.views import ev, p2p
 from ledgerlens.sources import io
@@ -63,3 +67,69 @@ def test_entry_without_optional_libraries():
     out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     n, has, twins = out.stdout.split()
     assert int(n) > 100 and has == "False" and int(twins) > 80
+
+
+def test_relational_store(spark):
+    """Tables, upserts and alerts in an embedded database."""
+    store = io.JdbcStore(Jdbc(user=""), url="jdbc:derby:memory:ledger;create=true")
+    store.initialize(spark)
+    store.initialize(spark)  # what is there stays
+    scores = spark.createDataFrame([("a", 80.0, "high"), ("b", 10.0, "low")], "account_id string, risk_score double, risk_level string")
+    store.upsert_scores(scores)
+    for _ in range(2):
+        store.upsert_scores(spark.createDataFrame([("b", 99.0, "critical"), ("c", 1.0, "low")], scores.schema))
+    got = {r.account_id: (r.risk_score, r.risk_level) for r in store.read(spark, "risk_scores").collect()}
+    assert got == {"a": (80.0, "high"), "b": (99.0, "critical"), "c": (1.0, "low")}
+    assert store.read(spark, "risk_scores").filter("updated_at IS NULL").isEmpty()
+    alerts = spark.createDataFrame([("a", 80.0, "high", "network_risk")], "account_id string, risk_score double, risk_level string, alert_type string")
+    store.insert_alerts(alerts)
+    store.insert_alerts(alerts)
+    rows = store.read(spark, "alerts").collect()
+    assert len({r.alert_id for r in rows}) == 2 and all(not r.resolved and r.created_at for r in rows)
+    assert io.high_risk(store.read(spark, "risk_scores")).count() == 2
+    assert io.find_alerts(store.read(spark, "alerts")).count() == 2
+    store.close()
+    store.close()
+
+
+class Session:
+    """Writes what it is told to a file of its own."""
+
+    def __init__(self, folder):
+        self.file = open(f"{folder}/{uuid.uuid4().hex}", "w")  # noqa: SIM115
+
+    def run(self, statement, **parameters):
+        self.file.write(json.dumps([statement, parameters]) + "\n")
+
+    def close(self):
+        self.file.close()
+
+
+def test_graph_store(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def open_session():
+        import sys
+
+        sys.path.insert(0, tests)
+        from test_mended import Session
+
+        return Session(folder)
+
+    tests = str(ROOT / "tests")
+    store = io.GraphStore(open_session, batch=4)
+    with pytest.raises(RuntimeError):
+        store.setup_schema()
+    store.connect()
+    store.setup_schema()
+    v = spark.range(10).select(F.col("id").alias("account_id"), F.lit("2025-01-01").cast("timestamp").alias("seen"))
+    e = spark.range(9).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(2.0).alias("weight"), F.lit(1).alias("frequency"), F.lit("x").alias("other"))
+    store.upload(v, e)
+    store.clear()
+    store.close()
+    said = [json.loads(x) for f in tmp_path.iterdir() for x in f.read_text().splitlines()]
+    rows = {s: [r for t, p in said if t == s for r in p["rows"]] for s in (io.MERGE_NODES, io.MERGE_EDGES)}
+    assert sorted(r["account_id"] for r in rows[io.MERGE_NODES]) == list(range(10)) and rows[io.MERGE_NODES][0]["seen"] == "2025-01-01T00:00:00"
+    assert sorted((r["src"], r["dst"]) for r in rows[io.MERGE_EDGES]) == [(i, i + 1) for i in range(9)]
+    assert max(len(p["rows"]) for _, p in said if p) <= 4 and set(rows[io.MERGE_EDGES][0]) == {"src", "dst", "weight", "frequency"}
+    assert {s for s, p in said if not p} == {"RETURN 1", *io.SCHEMA, io.CLEAR}
