@@ -32,6 +32,12 @@ def test_a_class_of_oversized_texts_is_not_lost(spark):
     assert got == {"a": ["y" * 50_000], "b": ["short"]}
 
 
+def test_a_frequent_label_is_sampled_in_hash_order(spark):
+    """The bar on hashes lets the same texts through as ordering all of them does."""
+    got, ranked = sample(spark, [("a" if i % 9 else "b", f"text {i}") for i in range(6000)], per_class=20)
+    assert got == {c: ranked[c][:20] for c in "ab"}
+
+
 @pytest.mark.parametrize("n", [300])
 def test_every_label_is_learned(spark, n):
     got, _ = sample(spark, [(f"l{i}", f"text {i}") for i in range(n)])
