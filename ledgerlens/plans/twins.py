@@ -217,6 +217,7 @@ def _oracle_sql() -> dict[str, str]:
         "w2_feature_drift": f"{DRIFT} SELECT * FROM fd",
         "w4_drift_summary": f"{DRIFT} SELECT count(*) AS features, count(*) FILTER (drifted) AS drifted, round(count(*) FILTER (drifted) / count(*), 4) AS drift_ratio, count(*) FILTER (drifted) / count(*) > 0.3 AS retrain FROM fd",
         "j7_model_comparison": f"{LABELLED}{_CURVE}, m AS (SELECT 'a' AS model, 0.5 AS c UNION ALL SELECT 'b', 0.8), v AS (SELECT model, round((SELECT sum(p * ((f - (k - tp)) + (n - p) / 2.0)) FROM c, t) / (SELECT t * f FROM t), 6) AS roc_auc, round((SELECT sum(p * tp / k) FROM c) / (SELECT t FROM t), 6) AS pr_auc, (SELECT round(coalesce(sum(label) / nullif(count(*), 0), 0), 6) FROM s WHERE score >= m.c) AS precision FROM m) SELECT model, 'roc_auc' AS metric, CAST(roc_auc AS DOUBLE) AS value FROM v UNION ALL SELECT model, 'pr_auc', pr_auc FROM v UNION ALL SELECT model, 'precision', precision FROM v UNION ALL SELECT model, 'recall', 0 FROM v",
+        "s12_cache_entries": f"{SCORES} SELECT concat('risk_score:', account_id) AS key, CAST(to_json(struct_pack(risk_score := risk_score, behavioral_score := behavioral_score, structural_score := structural_score, propagation_score := propagation_score, risk_level := risk_level)) AS VARCHAR) AS value, 3600 AS ttl FROM scores",
         "s1_parquet_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
         "s2_csv_scan": f"{WITH} SELECT transaction_id, amount, transaction_type FROM p2p",
         "s3_clean_batch": f"{WITH_LEDGER} SELECT transaction_id, amount, \"timestamp\" FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY \"timestamp\", sender_id, receiver_id, amount) AS r FROM ledger WHERE amount > 0 AND sender_id <> receiver_id) WHERE r = 1",

@@ -12,7 +12,7 @@ def test_twin(spark, sf_dir, name):
     same(spark, QUERIES[name], ORACLE[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", ["c4_betweenness", "c7_core_numbers", "c9_communities", "m4_calibrate", "n1_isolation_forest", "n3_density_deviation", "q5_sequence_anomaly", "s12_cache_entries", "z13_simulate", "z1_accounts", "z6_inject", "h3_path_attribution", "m3_importance", "q4_sequence_codes", "s13_feature_entries"])
+@pytest.mark.parametrize("name", ["c4_betweenness", "c7_core_numbers", "c9_communities", "m4_calibrate", "n1_isolation_forest", "n3_density_deviation", "q5_sequence_anomaly", "z13_simulate", "z1_accounts", "z6_inject", "h3_path_attribution", "m3_importance", "q4_sequence_codes", "s13_feature_entries"])
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
