@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Scoring
 from ..functions.columns import clip, risk_band
 from ..functions.schemas import BEHAVIORAL_SCORE, PROPAGATION_SCORE, STRUCTURAL_SCORE
+from .iterate import stage
 
 COMPONENTS = (("behavioral_score", BEHAVIORAL_SCORE), ("structural_score", STRUCTURAL_SCORE), ("propagation_score", PROPAGATION_SCORE))
 
@@ -110,12 +111,11 @@ class MetaModel:
 
             k = min(folds, max(2, int(count[1.0])))
             fold = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("account_id", F.lit(self.seed)))) % k
-            split = rows.withColumn("_fold", fold).cache()
+            split = stage(rows.withColumn("_fold", fold), "folds")
             ap = []
             for i in range(k):
                 self.model = self._fit(split.filter(F.col("_fold") != i))
                 ap.append(ranking_metrics(self.predict(split.filter(F.col("_fold") == i)), "probability", "label").first()["pr_auc"])
-            split.unpersist()
             out["pr_auc"] = sum(ap) / len(ap)
         self.model = self._fit(rows)
         return out
