@@ -13,6 +13,8 @@ from .common import SPACE, SpanHash, Words, int64, long_id, mix64, ngram_hash, s
 
 #: Most windows of one super-k-mer: text that repeats one word does not make endless ones.
 RUN = 256
+#: Most distinct contents of a minimiser that one task takes together; beyond, its bucket is split, with the same result.
+HOT = 1024
 
 
 def super_kmers(w: Words, window: int, mini: int) -> tuple[np.ndarray, ...]:
@@ -68,7 +70,29 @@ def window_owners(packed: list[bytes], owner: np.ndarray, window: int) -> list[n
     return np.split(result, np.cumsum(n)[:-1])
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def seconds(w: Words, window: int, mini: int) -> np.ndarray:
+    """The second minimiser of the window at each word: least hash, in another order, of runs of half a window."""
+    half = max(mini, window // 2)
+    return sliding_min(mix64(ngram_hash(w.hashes(), half) ^ np.uint64(0xC2B2AE3D27D4EB4F)), window - half + 1)
+
+
+def located(batches, window: int):
+    """Finds wanted contents in their texts: words, SpanHash, fields of the contents, their ids and first words."""
+    for batch, col in steps(batches):
+        w = Words(col, SPACE, False)
+        lists = batch.column(batch.schema.get_field_index("wanted"))
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+        lo = w.first[doc] + field("at")
+        ok = np.flatnonzero(lo + field("n") + window - 1 <= w.first[doc + 1])  # an id's other text may be shorter
+        span = SpanHash(w.hashes())
+        x, y = span(lo[ok], lo[ok] + field("n")[ok] + window - 1)
+        ok = ok[(x.view(np.int64) == field("k1")[ok]) & (y.view(np.int64) == field("k2")[ok])]
+        yield w, span, flat.take(pa.array(ok)), batch.column(0).to_numpy()[doc[ok]], lo[ok]
+
+
+def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id and spans: word ranges covered by windows that also start in a document of a smaller id.
 
     1. One pass lists super-k-mers without their text: minimiser, content hash, document, place.
@@ -76,6 +100,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
        minimisers seen in two documents go on.
     3. One packed string a distinct content, from its first document, goes to its minimiser's
        bucket, where sorting the windows finds the first document of each, words compared bytewise.
+       Buckets of more than ``hot`` distinct contents are split: see split_bucket().
     4. Places join their content's windows and keep those whose first document is smaller.
     """
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -90,30 +115,78 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
     places = table(texts.mapInArrow(listed, spec), "places")
     key = ["mini", "k1", "k2"]
     kinds = table(places.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "kinds")
-    shared = kinds.groupBy("mini").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("mini")
-    kinds = table(kinds.join(shared, "mini", "left_semi"), "kinds-shared")
-    wanted = places.withColumnRenamed("doc_id", "lo").join(kinds, [*key, "lo"]).groupBy(*key, "lo", "hi").agg(F.min("at").alias("at"), F.max("n").alias("n"))
-    wanted = wanted.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("mini", "k1", "k2", "hi", "at", "n")).alias("wanted"))
+    shared = kinds.groupBy("mini").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("kinds"))
+    shared = shared.filter("a < b").select("mini", (F.col("kinds") > hot).alias("hot"))
+    kinds = table(kinds.join(shared, "mini"), "kinds-shared")
+    wanted = places.withColumnRenamed("doc_id", "lo").join(kinds, [*key, "lo"]).groupBy(*key, "lo", "hi", "hot").agg(F.min("at").alias("at"), F.max("n").alias("n"))
 
     def packed(batches):
-        for batch, col in steps(batches):
-            w = Words(col, SPACE, False)
-            lists = batch.column(batch.schema.get_field_index("wanted"))
-            flat = lists.flatten()
-            field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-            lo = w.first[doc] + field("at")
-            hi = lo + field("n") + window - 1
-            ok = hi <= w.first[doc + 1]  # an id's other text may be shorter
-            doc, lo, hi = doc[ok], lo[ok], hi[ok]
-            k1, k2 = field("k1")[ok], field("k2")[ok]
-            a, b = SpanHash(w.hashes())(lo, hi)
-            same = (a.view(np.int64) == k1) & (b.view(np.int64) == k2)
-            rows = [w.joined(x, y) for x, y in zip(lo[same].tolist(), hi[same].tolist(), strict=True)]
-            cols = [field("mini")[ok][same], k1[same], k2[same], batch.column(0).to_numpy()[doc][same], field("hi")[ok][same]]
-            yield pa.RecordBatch.from_arrays([*map(int64, cols), pa.array(rows, pa.binary())], ["mini", "k1", "k2", "lo", "hi", "words"])
-
-    strings = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(packed, "mini long, k1 long, k2 long, lo long, hi long, words binary")
+        for w, _, found, ids, lo in located(batches, window):
+            hi = lo + found.field("n").to_numpy(zero_copy_only=False) + window - 1
+            rows = [w.joined(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(found.field(f) for f in key), int64(ids), found.field("hi"), pa.array(rows, pa.binary())], [*key, "lo", "hi", "words"])
+
+    cool = wanted.filter("NOT hot").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct(*key, "hi", "at", "n")).alias("wanted"))
+    strings = texts.join(cool, "doc_id").select("doc_id", "text", "wanted").mapInArrow(packed, "mini long, k1 long, k2 long, lo long, hi long, words binary")
+    owners = table(window_runs(strings, window), "owners")
+    if not kinds.filter("hot").isEmpty():
+        owners = owners.unionByName(split_bucket(texts, wanted.filter("hot"), window, mini))
+    spans = places.join(owners, key).filter("owner < doc_id").select("doc_id", F.struct((F.col("at") + F.col("a")).alias("lo"), (F.col("at") + F.col("b") + (window - 1)).alias("hi")).alias("span"))
+    return spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+
+
+def split_bucket(texts: DataFrame, wanted: DataFrame, window: int, mini: int) -> DataFrame:
+    """Owners of the windows of minimisers with many distinct contents, without one task meeting them all.
+
+    Windows leave as hashes, and partial aggregates find those that two documents hold: what merely
+    stands around a hot passage goes no further. What is left of a content travels in runs of
+    windows that share a second minimiser too, to that minimiser's bucket; equal runs collapse.
+    """
+    key = ["mini", "k1", "k2"]
+    about = [*key, "hi", "at", "n"]
+    lists = lambda rows, *more: texts.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct(*about, *more)).alias("wanted")), "doc_id").select("doc_id", "text", "wanted")
+
+    def windows(batches):
+        for _, span, found, ids, lo in located(batches, window):
+            n = found.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            x, y = span(lo[row] + off, lo[row] + off + window)
+            cols = [found.field(f).take(pa.array(row)) for f in about]
+            yield pa.RecordBatch.from_arrays([int64(ids[row]), *cols, pa.array(off.astype(np.int32)), int64(x), int64(y)], ["doc_id", *about, "off", "wa", "wb"])
+
+    rows = wanted.withColumnRenamed("lo", "doc_id")
+    spec = "doc_id long, mini long, k1 long, k2 long, hi long, at int, n int, off int, wa long, wb long"
+    seen = table(lists(rows).mapInArrow(windows, spec), "hot-windows")
+    twice = seen.groupBy("wa", "wb").agg(F.min("doc_id").alias("a"), F.max("hi").alias("b")).filter("a < b").select("wa", "wb")
+    kept = seen.join(twice, ["wa", "wb"], "left_semi").groupBy("doc_id", *about).agg(F.array_sort(F.collect_set("off")).alias("offs"))
+
+    def runs(batches):
+        for w, span, found, ids, lo in located(batches, window):
+            offs = found.field("offs")
+            row = np.repeat(np.arange(len(offs)), np.asarray(offs.value_lengths()))
+            off = offs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = lo[row] + off
+            least = seconds(w, window, mini)[at]
+            head = np.ones(len(at), bool)
+            head[1:] = (row[1:] != row[:-1]) | (np.diff(off) != 1) | (least[1:] != least[:-1])
+            head = np.flatnonzero(head)
+            size = np.diff(np.append(head, len(at)))
+            x, y = at[head], at[head] + size + window - 1
+            k1, k2 = span(x, y)
+            words = [w.joined(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+            of = [found.field(f).take(pa.array(row[head])) for f in (*key, "hi")]
+            yield pa.RecordBatch.from_arrays([int64(least[head]), int64(k1), int64(k2), int64(ids[row[head]]), of[3], pa.array(words, pa.binary()), *of[:3], pa.array(off[head].astype(np.int32))], [*key, "lo", "hi", "words", "of", "of1", "of2", "off"])
+
+    spec = "mini long, k1 long, k2 long, lo long, hi long, words binary, of long, of1 long, of2 long, off int"
+    cut = table(lists(kept, "offs").mapInArrow(runs, spec), "hot-runs")
+    strings = cut.groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("words").alias("words"))
+    owners = cut.select(*key, "of", "of1", "of2", "off").join(window_runs(strings, window), key)
+    return table(owners.select(F.col("of").alias("mini"), F.col("of1").alias("k1"), F.col("of2").alias("k2"), (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b"), "owner"), "hot-owners")
+
+
+def window_runs(strings: DataFrame, window: int) -> DataFrame:
+    """Sends packed strings (mini, k1, k2, lo, hi, words) to their buckets: runs a..b of windows and the first document of each."""
 
     def bucket(batches):
         def done(rows):
@@ -150,19 +223,17 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
         yield batch_of(ready)
 
     spec = "mini long, k1 long, k2 long, a int, b int, owner long"
-    owners = table(strings.repartition("mini").sortWithinPartitions("mini").mapInArrow(bucket, spec), "owners")
-    spans = places.join(owners, key).filter("owner < doc_id").select("doc_id", F.struct((F.col("at") + F.col("a")).alias("lo"), (F.col("at") + F.col("b") + (window - 1)).alias("hi")).alias("span"))
-    return spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    return strings.repartition("mini").sortWithinPartitions("mini").mapInArrow(bucket, spec)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per document: id, n_words, n_removed, spans (word ranges removed) and kept (remaining words, one space between).
 
     Defined cases: ids are whole numbers (else TypeError); null texts have no words; texts shorter than a window lose nothing; rows with a
     null id neither lose words nor take them from others; rows of one id count as one document, so
     they take nothing from each other; other columns are ignored; an empty table stays empty.
     """
-    spans = repeated_spans(docs, window, mini, id_col, text_col)
+    spans = repeated_spans(docs, window, mini, id_col, text_col, hot)
     rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
 
     def cut(batches):
