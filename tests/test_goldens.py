@@ -1,6 +1,7 @@
 """Hand-built cases with known results."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,52 @@ def test_simulation_invariants(spark):
     assert validate.validate_accounts(acc) == (True, [])
 
 
+def test_simulation_as_defined(spark):
+    cfg = Simulation(total_accounts=4000, simulation_days=120, total_transactions=40_000)
+    acc, t = simulate.simulate(spark, cfg)
+    rows = acc.collect()
+    share = lambda col, v: sum(r[col] == v for r in rows) / len(rows)
+    for col, table in (("account_type", simulate.TYPES), ("kyc_level", simulate.KYC), ("geographic_region", simulate.REGIONS)):
+        assert all(abs(share(col, v) - w) < 0.03 for v, w in table)
+    born = {r.account_id: (r.creation_date, r.fraud_role) for r in rows}
+    txns = t.collect()
+    ordinary = [r for r in txns if not r.is_fraud]
+    assert len({r.transaction_id for r in txns}) == len(txns)
+    assert all(born[r.sender_id][1] == "normal" and born[r.sender_id][0].date() <= r.timestamp.date() for r in ordinary)
+    per_day = Counter(r.timestamp.date() for r in ordinary)
+    late = {d: k for d, k in per_day.items() if d >= dt.date(2025, 2, 1)}
+    weekday = [k for d, k in late.items() if d.weekday() < 5]
+    weekend = [k for d, k in late.items() if d.weekday() >= 5]
+    assert abs(sum(weekday) / len(weekday) / 333 - 1) < 0.06
+    assert abs(sum(weekend) / len(weekend) / 133 - 1) < 0.10
+    for d in (dt.date(2025, 1, 2), dt.date(2025, 1, 4), dt.date(2025, 1, 8)):  # a draw an account at most
+        assert per_day[d] <= 5 * sum(b <= dt.datetime.combine(d, dt.time()) and role == "normal" for b, role in born.values())
+    kinds = Counter(r.transaction_type for r in ordinary)
+    want = Counter()
+    for ty, wt in simulate.TYPES:
+        for ky, wk in simulate.KYC:
+            mix = next(x[5:] for x in simulate.TEMPLATES if x[:2] == (ty, ky))
+            for (kind, _, _), m in zip(simulate.KINDS, mix, strict=True):
+                want[kind] += wt * wk * m / sum(mix)
+    assert all(abs(kinds[k] / len(ordinary) - want[k]) < 0.03 for k in want)
+    night = sum(r.timestamp.hour < 6 for r in ordinary) / len(ordinary)
+    assert abs(night - 0.6 / sum(simulate.HOURS)) < 0.01
+    part = simulate.allocate(cfg, Fraud())
+    roles = Counter(r.fraud_role for r in rows)
+    assert 3 <= roles["mule_circular"] <= 8 and 2 <= roles["mule_layer"] <= 6 and roles["originator"] <= 1
+    assert roles["mule_dormant"] == part["dormant"][1] - part["dormant"][0]
+    bad = [r for r in txns if r.is_fraud]
+    inbound = Counter(r.receiver_id for r in bad if r.fraud_pattern == "funnel_inbound")
+    assert len(inbound) == roles["mule_funnel"] and all(10 <= k <= 29 for k in inbound.values())
+    pairs = [(r.sender_id, r.receiver_id) for r in bad if r.fraud_pattern == "funnel_inbound"]
+    assert len(set(pairs)) == len(pairs)
+    assert {r.sender_id for r in bad if r.fraud_pattern == "circular_flow"} == {a for a, (_, role) in born.items() if role == "mule_circular"}
+    chain = [r for r in bad if r.fraud_pattern == "layering"]
+    assert len(chain) % (roles["mule_layer"] + 1) == 0
+    devices = {r.device_fingerprint_id for r in rows if r.fraud_role == "mule_device_cluster"}
+    assert len(devices) == 1
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("LEDGERLENS_SIM_TOTAL_ACCOUNTS", "7")
     assert Settings.load().simulation.total_accounts == 7
