@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Words, fold, mix64, steps
@@ -28,15 +29,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     Each label has an equal part of ``max_bytes`` of its own, at least ``LEAST_BYTES``, spent in that order by the
     texts' lengths; a text beyond what is left of it is skipped. A label of which all texts are longer
     than its part has the start of the first. ``labels``: id and label, already restricted to the
-    learning fold. Ids and lengths are picked first, so only the sample's texts reach the driver.
+    learning fold. Ids and lengths are picked first, so only the sample's texts reach the driver; of ids only those under the bar do.
     """
-    order = [F.xxhash64("_id"), F.col("_id")]
     known = labels.filter(F.col("label").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "label").dropDuplicates(["_id", "label"])
-    # Of a frequent label only hashes below a bar that about four times per_class pass are ordered, so no task meets all its ids.
-    share = F.least(F.lit(1.0), F.lit(4.0 * per_class + 64) / F.col("_n"))
+    known = known.withColumn("_rank", F.xxhash64("_id"))
+    # Of a frequent label only hashes below a bar that some more than per_class pass go on: few, whatever the label's size.
+    share = F.least(F.lit(1.0), F.lit(1.25 * per_class + 64) / F.col("_n"))
     counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    low = known.join(counts, "label").filter(order[0].cast("double") <= share * 2.0**64 - 2.0**63).select("_id", "label")
-    ids = low.withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("_rank") <= per_class)
+    ids = known.join(counts, "label").filter(F.col("_rank").cast("double") <= share * 2.0**64 - 2.0**63).select("_id", "label", "_rank")
     texts = docs.filter("text IS NOT NULL").select(F.col(id_col).alias("_id"), "text")
     sized = texts.join(F.broadcast(ids), "_id").groupBy("label", "_rank", "_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()
     out: dict = {r.label: [] for r in sized}
@@ -44,8 +44,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
         return out
     part = max(max_bytes // len(out), LEAST_BYTES)
     left, first = dict.fromkeys(out, part), {}
+    seen: Counter = Counter()
     chosen = []
-    for r in sorted(sized, key=lambda r: r["_rank"]):
+    for r in sorted(sized, key=lambda r: (r["_rank"], r["_id"])):
+        seen[r.label] += 1
+        if seen[r.label] > per_class:
+            continue
         first.setdefault(r.label, r)
         if r.n <= left[r.label]:
             left[r.label] -= r.n
