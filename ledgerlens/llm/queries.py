@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .asof import click_orders
 from .common import fold
 from .compression import TOXIC, fit_language, fit_toxicity, identify_language, score_toxicity
 from .decontaminate import decontaminate
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .lm import score_texts
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .rules import fit_quality, score_quality
+from .secrets import find_secrets, listed
 from .substring_dedup import remove_repeats
 from .token_files import read_shards, write_shards
 
@@ -88,9 +91,39 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.sha2(listed(of("assign", "access", "hex")).cast("binary"), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_tolerant_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return click_orders(_read(spark, sf_dir, "clicks"), _read(spark, sf_dir, "sales"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_decontamination, op2_lm_scoring, op3_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_language,
+    op8_quality, op9_ngram_join, op10_token_files, op11_secrets, op12_tolerant_asof, op13_source_divergence,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op3_mixing, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_language, op8_quality, op9_ngram_join, op10_token_files)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.DECONTAMINATION, "op9_ngram_join": sql.NGRAM_JOIN, "op5_substring_dedup": sql.SUBSTRING_DEDUP, "op3_mixing": sql.MIXING, "op6_exact_dedup": sql.EXACT_DEDUP}
+    return {
+        "op1_decontamination": sql.DECONTAMINATION,
+        "op3_mixing": sql.MIXING,
+        "op5_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op6_exact_dedup": sql.EXACT_DEDUP,
+        "op9_ngram_join": sql.NGRAM_JOIN,
+        "op12_tolerant_asof": sql.TOLERANT_ASOF,
+        "op13_source_divergence": sql.SOURCE_DIVERGENCE,
+    }

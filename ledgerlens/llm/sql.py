@@ -84,3 +84,58 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, m
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n
 """
 )
+
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+_USED = "CASE WHEN h % 2 = 1 THEN t - t % 86400000000 ELSE t END"
+TOLERANT_ASOF = f"""
+WITH bits AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+c0 AS (SELECT click_id, max(client_id) AS client_id, max(epoch_us(ts)) AS t FROM clicks GROUP BY click_id),
+c1 AS (SELECT click_id, client_id, t, {_CRC.format("click_id")} AS h FROM c0, bits),
+c AS (SELECT click_id, client_id, {_USED} AS ts_us FROM c1),
+s0 AS (SELECT *, epoch_us(sold_at) AS t, {_CRC.format("sale_id")} AS h FROM sales, bits),
+s1 AS (SELECT sale_id, client_id, {_USED} AS us, h, CAST(priority AS BIGINT) AS priority, CAST(floor(100 * total + 0.5) AS BIGINT) AS cents FROM s0),
+s AS (
+  SELECT client_id, us, sale_id, priority, cents FROM s1
+  UNION ALL SELECT client_id, us, -1 - sale_id, 6 - priority, cents FROM s1 WHERE h % 3 <> 0),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY client_id, us) AS n_tied,
+         row_number() OVER (PARTITION BY client_id, us ORDER BY priority DESC NULLS LAST, sale_id NULLS LAST, cents DESC NULLS LAST) AS k
+  FROM s WHERE client_id IS NOT NULL AND us IS NOT NULL),
+w AS (SELECT * FROM r WHERE k = 1),
+m AS (SELECT c.*, w.sale_id, w.us, w.cents, w.n_tied FROM c ASOF LEFT JOIN w ON c.client_id = w.client_id AND c.ts_us >= w.us)
+SELECT click_id, client_id, ts_us,
+       CASE WHEN ok THEN sale_id END AS sale_id, CASE WHEN ok THEN ts_us - us END AS lag_us,
+       CASE WHEN ok THEN cents END AS total_cents, CASE WHEN ok THEN n_tied ELSE 0 END AS n_tied
+FROM (SELECT *, coalesce(ts_us - us <= 259200000000, false) AS ok FROM m)
+"""
+
+_TERMS = "regexp_extract_all(" + _T + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+SOURCE_DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n_all FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+x AS (
+  SELECT g.lang, g.source, v.term, coalesce(n, 0) AS n, n_all,
+         sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, count(*) OVER (PARTITION BY g.lang, g.source) AS kinds
+  FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, sum(n_all) AS lang_total FROM v GROUP BY lang),
+p AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000 * (CAST(n AS HUGEINT) + 1)) // (total + kinds) AS BIGINT) AS p,
+         CAST(1 + (1000000000 * (CAST(n_all AS HUGEINT) + 1)) // (lang_total + kinds) AS BIGINT) AS q
+  FROM x JOIN l USING (lang)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+SELECT * FROM k WHERE part = 'pair' OR rank <= 200
+"""
