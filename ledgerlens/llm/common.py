@@ -174,6 +174,14 @@ class Words:
         vals *= power[np.arange(len(vals)) - np.repeat(at, lens)]
         return mix64(np.add.reduceat(vals, at) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words (told apart by all their bytes) and the number of each word among them."""
+        size = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        letters = np.ascontiguousarray(self.data[self._word])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(size), pa.py_buffer(letters)])
+        coded = words.dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
     def text(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections import Counter
@@ -13,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, fold, mix64, steps
+from .common import SPACE, Words, fold, mix64, steps, table
 
 #: A text of this toxicity score or more is toxic.
 TOXIC = 0.7
@@ -32,13 +31,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     learning fold. Ids and lengths are picked first, so only the sample's texts reach the driver; of ids only those under the bar do.
     """
     known = labels.filter(F.col("label").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "label").dropDuplicates(["_id", "label"])
-    known = known.withColumn("_rank", F.xxhash64("_id"))
+    texts = docs.filter("text IS NOT NULL").select(F.col(id_col).alias("_id"), "text")
+    # Labels of ids without a text take no place in the sample.
+    length = texts.groupBy("_id").agg(F.sum(F.octet_length("text")).alias("n"))
+    present = table(known.join(length, "_id").withColumn("_rank", F.xxhash64("_id")), "labelled")
     # Of a frequent label only hashes below a bar that some more than per_class pass go on: few, whatever the label's size.
     share = F.least(F.lit(1.0), F.lit(1.25 * per_class + 64) / F.col("_n"))
-    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    ids = known.join(counts, "label").filter(F.col("_rank").cast("double") <= share * 2.0**64 - 2.0**63).select("_id", "label", "_rank")
-    texts = docs.filter("text IS NOT NULL").select(F.col(id_col).alias("_id"), "text")
-    sized = texts.join(F.broadcast(ids), "_id").groupBy("label", "_rank", "_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    counts = present.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    sized = present.join(counts, "label").filter(F.col("_rank").cast("double") <= share * 2.0**64 - 2.0**63)
+    sized = sized.select("_id", "label", "_rank", "n").collect()
     out: dict = {r.label: [] for r in sized}
     if not out:
         return out
@@ -55,7 +56,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
             left[r.label] -= r.n
             chosen.append(r)
     chosen += [first[c] for c in out.keys() - {r.label for r in chosen}]
-    picked = docs.sparkSession.createDataFrame([(r["_id"], r.label, r["_rank"]) for r in chosen], ids.schema)
+    picked = docs.sparkSession.createDataFrame([(r["_id"], r.label, r["_rank"]) for r in chosen], present.select("_id", "label", "_rank").schema)
     held = dict.fromkeys(out, 0)
     cut = F.when(F.octet_length("text") <= part, F.col("text")).otherwise(F.substring("text", 1, part // 4))  # a character has at most four bytes
     for r in texts.join(F.broadcast(picked), "_id").select("label", "_rank", cut.alias("text")).toLocalIterator():
@@ -75,22 +76,46 @@ class Sizes:
     def __getstate__(self):
         return {"content": self.content, "min_match": self.min_match, "_c": None}
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.int64)
+    #: Of small windows: no frame fields, and a lazy search.
+    OPTIONS = {
+        "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 3, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2,
+        "write_content_size": False, "write_checksum": False, "write_dict_id": False,
+    }
+
+    def compressor(self) -> zstandard.ZstdCompressor:
         if self._c is None:
-            params = zstandard.ZstdCompressionParameters(
-                window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=self.min_match, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
-                write_content_size=False, write_checksum=False, write_dict_id=False,
-            )
+            params = zstandard.ZstdCompressionParameters(min_match=self.min_match, **self.OPTIONS)
             raw = zstandard.ZstdCompressionDict(self.content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(compression_params=params)
             self._c = zstandard.ZstdCompressor(dict_data=raw, compression_params=params)
-        c, view = self._c, memoryview(np.ascontiguousarray(data))
-        compress = c.compress
+        return self._c
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        compress, view = self.compressor().compress, memoryview(np.ascontiguousarray(data))
         return np.fromiter((len(compress(view[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
 
 
+# ---- samples of running text
+
+
+def spans(texts: list[bytes], size: int, least: int = 64) -> bytes:
+    """``size`` bytes of the texts at most: short texts whole, of each other one span of equal length, ``least`` or
+    more, from an offset given by the text's hash, so that openings count no more than the rest."""
+    texts = [t for t in texts if t][: max(1, size // (least + 1))]
+    share, left = 0, size - len(texts)
+    for k, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - k)
+        if n > share:
+            break
+        left -= n
+        share = n
+    out = []
+    for t in texts:
+        at = zlib.crc32(t) % (len(t) - share + 1) if len(t) > share else 0
+        out.append(t[at : at + share].decode(errors="ignore").encode())
+    return b"\n".join(out)
+
+
 # ---- toxicity
 
 
@@ -108,82 +133,6 @@ def word_windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.maximum(a - 1, w.off[doc]), np.minimum(b + 1, w.off[doc + 1]), doc
 
 
-def running_text(texts: list[str]) -> np.ndarray:
-    """The texts' bytes in lower case, one after the other, a line feed between."""
-    return np.frombuffer(b"\n" * 8 + b"\n".join(t.lower().encode() for t in texts) + b"\n" * 24, np.uint8)
-
-
-def mers(x: np.ndarray, d: int) -> np.ndarray:
-    """The d bytes (8 at most) from each position on, as a number."""
-    out = np.zeros(len(x) - d + 1, np.uint64)
-    for k in range(d):
-        out = (out << np.uint64(8)) | x[k : k + len(out)]
-    return out
-
-
-def mer_counts(x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct d-byte strings and in how many different surroundings of 16 bytes each occurs: copies count once."""
-    eight = mers(x, 8)
-    around = mix64(eight[:-8]) + np.uint64(3) * eight[8:]
-    _, first = np.unique(mix64(around), return_index=True)
-    return np.unique(mers(x, d)[first + 5], return_counts=True)
-
-
-def telling_mers(own: np.ndarray, other: np.ndarray, d: int, least: float, z: float = 4.5, ratio: float = 30) -> tuple[np.ndarray, np.ndarray]:
-    """The d-byte strings that one class's running text has significantly, and ``ratio`` times, more
-    often than the other's, sorted, and by how much."""
-    (key, n), (other_key, other_n) = mer_counts(own, d), mer_counts(other, d)
-    at = np.minimum(np.searchsorted(other_key, key), len(other_key) - 1)
-    m = np.where(other_key[at] == key, other_n[at], 0)
-    p, q = n / n.sum(), m / other_n.sum()
-    mean = (n + m + 1) / (n.sum() + other_n.sum())
-    score = (p - q) / np.sqrt(mean * (1 - np.minimum(mean, 0.999)) * (1 / n.sum() + 1 / other_n.sum()))
-    ok = (score >= z) & (p > ratio * q) & (n >= least)
-    return key[ok], (p - q)[ok]
-
-
-def trained_part(x: np.ndarray, keys: np.ndarray, weight: np.ndarray, d: int, size: int, longest: int = 16, floor: float = 0.01) -> bytes:
-    """Raw content from running text by greedy cover, as zstandard's own trainer does it, with weights
-    that tell the class from the other one: the segments of most weight a byte, each weighted
-    string counted once, trimmed to weighted strings at both ends. Segments start where a word does
-    and occur three times at least; the best come last, nearest to the text."""
-    if not len(keys):
-        return b""
-    value = mers(x, d)
-    place = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-    at = np.flatnonzero(keys[place] == value)
-    which = place[at]
-    start = SPACE[x[at]]
-    cover: dict[bytes, np.ndarray] = {}
-    for length in range(d, longest + 1):
-        end = np.searchsorted(at, at + length - d, "right")
-        ok = np.flatnonzero(start & (at[end - 1] == at + length - d))
-        segments = np.ascontiguousarray(x[at[ok][:, None] + np.arange(length)]).view(f"V{length}").reshape(-1)
-        segments, first, n = np.unique(segments, return_index=True, return_counts=True)
-        for seg, i in zip(segments[n >= 3], ok[first[n >= 3]].tolist(), strict=True):
-            cover[seg.tobytes()] = np.unique(which[i : end[i]])
-    left = weight.copy()
-    gain = lambda seg: left[cover[seg]].sum() / len(seg)
-    heap = [(-gain(seg), seg) for seg in cover]
-    heapq.heapify(heap)
-    chosen: list[bytes] = []
-    top = None
-    while heap:
-        _, seg = heapq.heappop(heap)
-        now = gain(seg)
-        if heap and now < -heap[0][0]:
-            if now > 0:
-                heapq.heappush(heap, (-now, seg))
-            continue
-        top = top or now
-        size -= len(seg)
-        if now <= floor * top or size < 0:
-            break
-        chosen.append(seg)
-        left[cover[seg]] = 0
-    return b"".join(reversed(chosen))
-
-
 def common_part(texts: list[str], size: int, window: int = 12) -> bytes:
     """Raw content trained by zstandard on windows of running text; of little text its end."""
     w = Words(pa.array(texts, pa.string()), SPACE, True)
@@ -213,74 +162,121 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0
     return b
 
 
-class ToxicityModel:
-    """Two dictionaries, a window threshold, and a logistic curve over a text's window differences.
+#: Stands before and after every word: a match that takes in a word's edge is longer than one inside a word.
+EDGE = b"    "
+#: Stands before every window, and both dictionaries end in it: the fixed costs of a frame are the same under both.
+MARK = b"\x01window\x02begin\x03"
+
 
-    Each class's dictionary is what its own running text has and the other's has not, then a common
-    part from ordinary running text, which lies equally far back under both: what toxic and
-    ordinary texts share then costs the same under both, and windows differ by what tells the classes apart.
+class WordSizes(Sizes):
+    """Compressed sizes of single words between edges, under one raw-content dictionary."""
+
+    OPTIONS = Sizes.OPTIONS | {"search_log": 4, "target_length": 64, "strategy": zstandard.STRATEGY_BTOPT}
+
+    def __init__(self, own: list[bytes], common: list[bytes], min_match: int):
+        super().__init__(EDGE.join([b"", *own, *common, b""]) + MARK, min_match)
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        compress = self.compressor().compress
+        return np.fromiter((len(compress(MARK + EDGE + x + EDGE)) for x in words), np.int64, len(words))
+
+
+def surroundings(w: Words, code: np.ndarray, kinds: int) -> np.ndarray:
+    """In how many different surroundings (the word before, the word after) each word occurs: copies count once."""
+    h = w.hashes()
+    first, last = np.zeros(len(w), bool), np.zeros(len(w), bool)
+    full = w.first[1:] > w.first[:-1]
+    first[w.first[:-1][full]], last[w.first[1:][full] - 1] = True, True
+    before = np.where(first, np.uint64(0), np.roll(h, 1))
+    after = np.where(last, np.uint64(0), np.roll(h, -1))
+    _, at = np.unique(mix64(mix64(before + np.uint64(1)) + np.uint64(3) * mix64(h)) + np.uint64(5) * after, return_index=True)
+    return np.bincount(code[at], minlength=kinds)
+
+
+def telling_words(toxic: list[str], plain: list[str], least: int, z: float, ratio: float) -> list[bytes]:
+    """Words of the toxic running text that recur there in ``least`` surroundings, significantly and ``ratio`` times more
+    often than in the ordinary one; the most telling first."""
+    w = Words(pa.array(toxic + plain, pa.string()), SPACE, True)
+    values, code = w.distinct()
+    edge = int(w.first[len(toxic)])
+    n, m = (surroundings(Words(pa.array(x, pa.string()), SPACE, True), c, len(values)) for x, c in ((toxic, code[:edge]), (plain, code[edge:])))
+    p, q = n / max(1, n.sum()), m / max(1, m.sum())
+    mean = (n + m + 1) / (n.sum() + m.sum())
+    score = (p - q) / np.sqrt(mean * (1 / max(1, n.sum()) + 1 / max(1, m.sum())))
+    found = np.flatnonzero((n >= least) & (score >= z) & (p > ratio * q))
+    return [values[int(k)].as_py() for k in found[np.argsort(q[found] - p[found], kind="stable")]]
+
+
+class ToxicityModel:
+    """A dictionary of each class, the likelihood ratio of each difference of a window's two sizes, and a logistic curve.
+
+    Each dictionary has a part of its own class's text, of equal size, and then a common part that zstandard trains
+    on ordinary text, so what toxic and ordinary texts share costs the same under both. The toxic
+    part is what recurs in toxic texts and seldom elsewhere (toxic texts are ordinary prose for the most part); the
+    ordinary part is running text from all over the ordinary sample. A window is one word: its sizes under
+    both dictionaries are compared, and a held-out fifth of the sample calibrates what each difference says and
+    how a text's windows add up.
     """
 
-    def __init__(self, window: int = 6, own_bytes: int = 4 << 10, common_bytes: int = 8 << 10, min_match: int = 5, mer: int = 5):
-        self.window, self.own_bytes, self.common_bytes, self.min_match, self.mer = window, own_bytes, common_bytes, min_match, mer
+    def __init__(self, own_bytes: int = 8 << 10, common_bytes: int = 8 << 10, min_match: int = 5, least: int = 3, z: float = 3.5, ratio: float = 3.0):
+        self.own_bytes, self.common_bytes, self.min_match = own_bytes, common_bytes, min_match
+        self.least, self.z, self.ratio = least, z, ratio
         self.prior = 0.0
         self.toxic = self.plain = None
 
+    #: Differences from -LOW to HIGH bytes are told apart.
+    LOW, HIGH = 8, 12
+
     def fit(self, toxic: list[str], plain: list[str]) -> ToxicityModel:
         if not toxic or not plain:
             self.prior = 0.0 if plain or not toxic else 1.0
             return self
-        # Every fifth text (of few texts every fourth) sets the threshold and the curve, the others make the dictionaries.
+        # Every fifth text (of few texts every fourth) calibrates, the others make the dictionaries.
         nth = 5 if min(len(toxic), len(plain)) >= 500 else 4
         cut = lambda x, held: [t for i, t in enumerate(x) if (i % nth == nth - 1) == held]
         sides = [cut(x, False) or x for x in (toxic, plain)]
-        text = [running_text(x) for x in sides]
-        common = common_part(sides[1], self.common_bytes)
-        self.toxic, self.plain = (
-            Sizes(trained_part(own, *telling_mers(own, other, self.mer, max(3, 0.01 * n)), self.mer, self.own_bytes) + b"\n" + common, self.min_match)
-            for own, other, n in ((*text, len(sides[0])), (*text[::-1], len(sides[1])))
-        )
-        held_a, held_b = cut(toxic, True) or toxic, cut(plain, True) or plain
-        d = [self.differences(x) for x in (held_a, held_b)]
-        # The threshold: the difference that the fewest texts of either class lie on the wrong side of.
-        top = [np.array([v.max(initial=-99) for v in x]) for x in d]
-        levels = np.arange(0, 12)
-        wrong = [np.mean(top[0] < t) + np.mean(top[1] >= t) for t in levels]
-        self.threshold = int(levels[int(np.argmin(wrong))])
-        x = np.array([self.features(v) for part in d for v in part])
-        y = np.concatenate([np.ones(len(d[0])), np.zeros(len(d[1]))])
-        weight = np.where(y == 1, 1 / len(d[0]), 1 / len(d[1])) * len(y) / 2
+        telling, room = [], self.own_bytes
+        for word in telling_words(*sides, self.least, self.z, self.ratio):
+            room -= len(word) + 1
+            if room < 0:
+                break
+            telling.append(word)
+        ordinary = spans([t.lower().encode() for t in sides[1]], sum(len(x) + 1 for x in telling), 24).split()
+        common = common_part(sides[1], self.common_bytes).split()
+        # the most telling come last, nearest to the window
+        self.toxic, self.plain = WordSizes(telling[::-1], common, self.min_match), WordSizes(ordinary, common, self.min_match)
+        held = [cut(toxic, True) or toxic, cut(plain, True) or plain]
+        windows = [self.differences(pa.array(x, pa.string())) for x in held]
+        share = [np.bincount(d + self.LOW, minlength=self.LOW + self.HIGH + 1) + 0.5 for d, _ in windows]
+        self.says = np.log(share[0] / share[0].sum()) - np.log(share[1] / share[1].sum())
+        strong = np.flatnonzero(self.says[self.LOW + 1 :] > 1.0)
+        self.threshold = int(strong[0]) + 1 if len(strong) else self.HIGH
+        x = np.concatenate([self.features(*w, len(t)) for w, t in zip(windows, held, strict=True)])
+        y = np.concatenate([np.ones(len(held[0])), np.zeros(len(held[1]))])
+        weight = np.where(y == 1, 1 / len(held[0]), 1 / len(held[1])) * len(y) / 2
         self.curve = fit_logistic(x, y, weight)
         return self
 
-    def differences(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        col = pa.array(texts, pa.string())
-        d, doc = self.raw(col)
-        return np.split(d, np.searchsorted(doc, np.arange(1, len(texts))))
-
-    def raw(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def differences(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes less each word takes under the toxic dictionary, and its text. Equal words are compressed once."""
         w = Words(col, SPACE, True)
-        starts, ends, doc = word_windows(w, self.window)
-        return self.plain(w.data, starts, ends) - self.toxic(w.data, starts, ends), doc
-
-    def features(self, d: np.ndarray) -> list[float]:
-        """How many windows pass the threshold and levels around it, as counts and as shares."""
-        out = []
-        for step in (-2, -1, 0, 1, 2, 4):
-            hits = int((d >= self.threshold + step).sum())
-            out += [math.log1p(hits), math.log(1 + 100 * hits / (len(d) + 5))]
-        return [*out, math.log1p(len(d)) / 2]
+        values, code = w.distinct()
+        words = values.to_pylist()
+        d = np.clip(self.plain.words(words) - self.toxic.words(words), -self.LOW, self.HIGH)
+        return d[code], w.doc
+
+    def features(self, d: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Of each text: the sum of what its windows say, also by its length, and how many pass the threshold."""
+        size = np.bincount(doc, minlength=n)
+        said = np.bincount(doc, weights=self.says[d + self.LOW], minlength=n)
+        hits = np.bincount(doc[d >= self.threshold], minlength=n)
+        return np.column_stack([said, said / np.sqrt(size + 10), np.log1p(hits), np.log(1 + 100 * hits / (size + 20)), np.log1p(size) / 2])
 
     def scores(self, col: pa.Array) -> np.ndarray:
-        n = len(col)
         if self.toxic is None:
-            return np.full(n, self.prior)
-        d, doc = self.raw(col)
-        parts = np.split(d, np.searchsorted(doc, np.arange(1, n))) if n else []
-        x = np.array([[*self.features(v), 1.0] for v in parts]).reshape(n, -1)
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
+            return np.full(len(col), self.prior)
+        x = self.features(*self.differences(col), len(col))
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.curve, -30, 30)))
 
 
 def fit_toxicity(
@@ -316,24 +312,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score") ->
 # ---- language
 
 
-def spans(texts: list[bytes], size: int, least: int = 64) -> bytes:
-    """``size`` bytes of the texts at most: short texts whole, of each other one span of equal length, ``least`` or
-    more, from an offset given by the text's hash, so that openings count no more than the rest."""
-    texts = [t for t in texts if t][: max(1, size // (least + 1))]
-    share, left = 0, size - len(texts)
-    for k, n in enumerate(sorted(map(len, texts))):
-        share = left // (len(texts) - k)
-        if n > share:
-            break
-        left -= n
-        share = n
-    out = []
-    for t in texts:
-        at = zlib.crc32(t) % (len(t) - share + 1) if len(t) > share else 0
-        out.append(t[at : at + share].decode(errors="ignore").encode())
-    return b"\n".join(out)
-
-
 class LanguageModel:
     """A raw-content dictionary of each language; the smallest compressed size wins."""
 

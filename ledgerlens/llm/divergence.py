@@ -30,13 +30,7 @@ class Terms:
 
     def __init__(self, text: pa.Array):
         w = Words(text, NO_LETTER, True)
-        size = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
-        letters = w.data[w._word] if len(w) else w.data[:0]
-        buffers = [None, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(letters.tobytes())]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), buffers)
-        coded = words.dictionary_encode()
-        self.values = coded.dictionary
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.values, code = w.distinct()
         pair, self.n = np.unique(w.doc * max(1, len(self.values)) + code, return_counts=True)
         self.doc, self.term = np.divmod(pair, max(1, len(self.values)))
         first = np.zeros(len(self.values), np.int64)

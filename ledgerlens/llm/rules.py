@@ -138,7 +138,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, mod: i
     one id that disagree the largest counts."""
     learn = labels.filter((fold(F.col(id_col), mod) != held) & F.col("quality").isNotNull() & F.col(id_col).isNotNull())
     learn = learn.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
-    learn = learn.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    # labels of ids that the documents have not take no place in the sample
+    present = docs.select(F.col(id_col).alias("_id")).distinct()
+    learn = learn.join(present, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     stats = statistics(F.col("text"))
     rows = docs.select(F.col(id_col).alias("_id"), "text").join(F.broadcast(learn), "_id")
     got = rows.select("_id", "_y", *(stats[n].alias(n) for n in NAMES)).toPandas().sort_values(["_id", *NAMES])

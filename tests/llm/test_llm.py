@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -201,56 +202,68 @@ def test_held_out_accuracy(spark):
     assert ok > 0.95
 
 
-def plain_sizes(content, min_match, windows):
+def plain_sizes(content, min_match, windows, **options):
     """Compressed sizes by zstandard alone."""
     import zstandard
 
+    given = {"search_log": 3, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2} | options
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=min_match, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
-        write_content_size=False, write_checksum=False, write_dict_id=False,
+        window_log=17, hash_log=15, chain_log=15, min_match=min_match, write_content_size=False, write_checksum=False, write_dict_id=False, **given
     )
     raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return [len(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress(x)) for x in windows]
 
 
 def test_toxicity_scores_by_zstandard_alone(spark, sf_dir):
-    """Windows of six words, their sizes under both dictionaries, the levels passed and the curve, one text after the other."""
+    """Each word between edges, its sizes under both dictionaries, what their differences say and the curve, one text after the other."""
+    import zstandard
+
+    from ledgerlens.llm.compression import EDGE, MARK
+
     docs = docs_of(spark, sf_dir)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    fine = {"search_log": 4, "target_length": 64, "strategy": zstandard.STRATEGY_BTOPT}
     got = {r.doc_id: r for r in score_toxicity(docs, model).collect()}
     for r in list(got.values())[::11]:
-        text = lower(r.text)
-        words = [m.span() for m in WORDS.finditer(text)]
-        cut = [words[k : k + 6] for k in range(0, len(words), 6)]
-        windows = [text[max(0, c[0][0] - 1) : c[-1][1] + 1] for c in cut]
-        gain = [p - t for p, t in zip(plain_sizes(model.plain.content, 5, windows), plain_sizes(model.toxic.content, 5, windows), strict=True)]
-        x = []
-        for step in (-2, -1, 0, 1, 2, 4):
-            hits = sum(g >= model.threshold + step for g in gain)
-            x += [math.log1p(hits), math.log(1 + 100 * hits / (len(gain) + 5))]
-        x += [math.log1p(len(gain)) / 2, 1.0]
+        windows = [MARK + EDGE + x + EDGE for x in WORDS.findall(lower(r.text))]
+        sizes = [plain_sizes(m.content, 5, windows, **fine) for m in (model.plain, model.toxic)]
+        gain = [min(12, max(-8, p - t)) for p, t in zip(*sizes, strict=True)]
+        said, hits, n = sum(model.says[g + 8] for g in gain), sum(g >= model.threshold for g in gain), len(gain)
+        x = [said, said / math.sqrt(n + 10), math.log1p(hits), math.log(1 + 100 * hits / (n + 20)), math.log1p(n) / 2, 1.0]
         assert r.score == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.curve, strict=True)))), rel=1e-9)
 
 
-def test_dictionaries_are_running_text(spark, sf_dir):
-    """All that a dictionary has of its own class is a run of bytes of that class's texts."""
-    from ledgerlens.llm.compression import ToxicityModel, mers, running_text, telling_mers, trained_part
+def test_both_dictionaries_have_text_of_their_class(spark):
+    """Telling words recur in different surroundings, copies of a text do not make them, and both own parts are as long."""
+    from ledgerlens.llm.compression import EDGE, ToxicityModel, telling_words
 
     rng = random.Random(8)
     prose = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(80))
     plain = [prose() for _ in range(200)]
-    toxic = [t.replace("beta", rng.choice(["vilest", "rotten"])) for t in (prose() for _ in range(200))]
-    texts = [running_text(x) for x in (toxic, plain)]
-    keys, weight = telling_mers(*texts, 5, 3)
-    part = trained_part(texts[0], keys, weight, 5, 200)
-    assert len(part) <= 200 and b" viles" in part and b" rotte" in part and b"beta" not in part
-    assert all(part[i : i + 5] in texts[0].tobytes() or b" " in part[i + 1 : i + 5] for i in range(len(part) - 5))
-    assert (mers(texts[0], 5) == keys[0]).any()
-    assert trained_part(texts[0], keys[:0], weight[:0], 5, 200) == b""
-    score = ToxicityModel().fit(toxic[:150], plain[:150]).scores(pa.array(toxic[150:] + plain[150:]))
+    toxic = [t + " " + " ".join(rng.choice(["vilest", "rotten"]) + " " + " ".join(prose().split()[:3]) for _ in range(4)) for t in (prose() for _ in range(200))]
+    copied = prose() + " onlycopied " + prose()
+    assert set(telling_words(toxic + [copied] * 30, plain, 3, 3.5, 3)) == {b"vilest", b"rotten"}
+    model = ToxicityModel().fit(toxic[:150], plain[:150])
+    common = len(os.path.commonprefix([model.toxic.content[::-1], model.plain.content[::-1]]))
+    own = [m.content[: len(m.content) - common].split(EDGE) for m in (model.toxic, model.plain)]
+    texts = [" ".join(x).encode() for x in (toxic, plain)]
+    sizes = [sum(len(w) for w in x) for x in own]
+    assert all(w in text for x, text in zip(own, texts, strict=True) for w in x) and 0 < sizes[0] and sizes[1] > 0.5 * sizes[0]
+    score = model.scores(pa.array(toxic[150:] + plain[150:]))
     assert (score[:50] > 0.9).all() and (score[50:] < 0.1).all()
 
 
+def test_toxicity_in_every_language(spark):
+    """Held-out recall by class and language at the query's own cut."""
+    sf = "/root/testdata/sf0.1"
+    seen = Q.op4_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    seen = seen.join(docs_of(spark, sf).select("doc_id", "lang"), "doc_id").groupBy("lang", "toxic").agg(F.avg("predicted").alias("rate"), F.count("*").alias("n"))
+    rows = {(r.lang, r.toxic): (r.rate, r.n) for r in seen.collect()}
+    mean = lambda y: sum(a * n for (_, t), (a, n) in rows.items() if t == y) / sum(n for (_, t), (_, n) in rows.items() if t == y)
+    assert mean(1) >= 0.9 and mean(0) <= 0.02
+    assert all(rate >= 0.8 for (_, y), (rate, _) in rows.items() if y == 1)
+
+
 def test_languages_by_zstandard_alone(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     model = fit_language(docs)

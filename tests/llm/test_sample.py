@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.compression import LanguageModel, labelled_sample, spans
+from ledgerlens.llm.rules import fit_quality
 
 
 def sample(spark, rows, per_class=100, max_bytes=400_000):
@@ -73,3 +74,16 @@ def test_pipeline_drops_what_the_classifier_calls_toxic(spark, sf_dir, monkeypat
     monkeypatch.setattr(P, "fit_toxicity", lambda *a: None)
     monkeypatch.setattr(P, "score_toxicity", lambda d, m, out: d.withColumn(out, F.col("given")))
     assert [r.doc_id for r in P.toxicity(spark, docs, sf_dir).collect()] == [1]
+
+
+def test_labels_without_documents_take_no_place(spark):
+    """100 times as many labels of other ids change neither a sample nor a fit."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, ("spam " if i % 2 else "fine words here ") * rng.randint(5, 30)) for i in range(200)], "doc_id long, text string")
+    own = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
+    far = spark.range(10_000, 30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 % 2).cast("int").alias("label"))
+    few = labelled_sample(docs, own, 50)
+    assert {c: len(t) for c, t in few.items()} == {0: 50, 1: 50}
+    assert labelled_sample(docs, own.unionByName(far), 50) == few
+    fits = [fit_quality(docs, x.withColumnRenamed("label", "quality"), sample=150) for x in (own, own.unionByName(far))]
+    assert fits[0].rules == fits[1].rules and list(fits[0].weights) == list(fits[1].weights) and len(fits[0].rules) > 0

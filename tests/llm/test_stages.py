@@ -52,6 +52,15 @@ def test_one_id_with_two_texts(spark, folder):
     assert sorted(r.text for r in got) == sorted({t for i, t in rows if i == 1})
 
 
+def test_rows_of_one_id_that_differ_elsewhere(spark, folder):
+    """Rows of one id and text that differ in another column are no copies; equal rows are, maps and all."""
+    rows = [(1, "a b c d e f g h", s, {"k": m}) for s, m in (("x", 1), ("y", 1), ("y", 2), (None, 1), ("x", 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    got = stages()[1][1](spark, docs, folder)
+    assert got.dtypes == docs.dtypes
+    assert sorted((r.source or "", r.more["k"]) for r in got.collect()) == [("", 1), ("x", 1), ("y", 1), ("y", 2)]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_empty_table(spark, folder, k):
     assert stages()[k][1](spark, frame(spark, []), folder).count() == 0
