@@ -40,6 +40,10 @@ def _tidy(stage):
     return run_stage
 
 
+def _maps(docs: DataFrame) -> list[str]:
+    return [name for name, kind in docs.dtypes if kind.startswith("map<")]
+
+
 @_tidy
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the compression classifier rejects.
@@ -58,13 +62,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of texts that share 0.8 or more of their five-word shingles the document of the smallest id.
 
-    Defined cases: rows of one id are one document: all its different texts stay, equal rows of it once;
+    Defined cases: rows of one id are one document: all that differ in any column stay, equal rows once;
     rows without an id cannot be told apart and stay; null and empty texts link with nothing and
     stay; further columns of any name pass unchanged; an empty table stays empty.
     """
     keep = jaccard_components(docs, shingle=5, num=4, den=5).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    kept = docs.join(keep, "doc_id", "left_semi")
+    # maps cannot be compared, their entries can
+    maps = {n: F.map_entries(c) for n, c in zip(fresh(docs, *(f"_map_{c}" for c in _maps(docs))), _maps(docs), strict=True)}
+    kept = kept.withColumns(maps).dropDuplicates([c for c in docs.columns if c not in _maps(docs)] + list(maps))
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 @_tidy
