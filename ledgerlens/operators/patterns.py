@@ -9,45 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, zero
 from .iterate import stage
+from .paths import cycle_counts, layering
 from .structural import degrees
 
 
-def trim_to_cycles(edge: DataFrame, rounds: int = 20) -> DataFrame:
-    """Edges among vertices that have both an in- and an out-edge left, to a fixed point or ``rounds``."""
-    arcs = stage(edge.select("src", "dst").distinct(), "arcs")
-    n = arcs.count()
-    for _ in range(rounds):
-        kept = arcs.join(arcs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(arcs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        arcs = stage(kept.select("src", "dst"), "arcs")
-        m = arcs.count()
-        if m == n:
-            break
-        n = m
-    return arcs
-
-
-def cycles(edge: DataFrame, length_bound: int = 5) -> DataFrame:
-    """All simple directed cycles up to ``length_bound`` as (path, length); each once, from its least vertex."""
-    arcs = trim_to_cycles(edge)
-    loops = arcs.filter("src = dst").select(F.array("src").alias("path"), F.lit(1).alias("length"))
-    arcs = arcs.filter("src <> dst")
-    paths = arcs.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("tip"), F.array("src", "dst").alias("path"))
-    out = [loops]
-    for k in range(2, length_bound + 1):
-        paths = stage(paths, "paths")
-        closing = paths.join(arcs, (F.col("tip") == F.col("src")) & (F.col("start") == F.col("dst")))
-        out.append(closing.select("path", F.lit(k).alias("length")))
-        if k < length_bound:
-            nxt = paths.join(arcs, F.col("tip") == F.col("src")).filter((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
-            paths = nxt.select("start", F.col("dst").alias("tip"), F.concat("path", F.array("dst")).alias("path"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def circularity(edge: DataFrame, ids: DataFrame, length_bound: int = 5) -> DataFrame:
+def circularity(edge: DataFrame, ids: DataFrame, length_bound: int = 8) -> DataFrame:
     """Cycles through the account over the most through any."""
-    hits = cycles(edge, length_bound).select(F.explode("path").alias("account_id")).groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = stage(cycle_counts(edge, length_bound), "cycle-counts")
     top = hits.agg(F.max("n").alias("top"))
-    return ids.select("account_id").join(hits, "account_id", "left").crossJoin(F.broadcast(top)).select("account_id", zero(F.col("n") / F.col("top").cast("double")).alias("circularity_score"))
+    share = zero(F.col("n") / F.col("top").cast("double"))
+    return ids.select("account_id").join(hits, "account_id", "left").crossJoin(F.broadcast(top)).select("account_id", share.alias("circularity_score"))
 
 
 def funnel(degree: DataFrame) -> DataFrame:
@@ -57,23 +28,10 @@ def funnel(degree: DataFrame) -> DataFrame:
     return degree.select("account_id", F.round(share * flow * F.least(F.lit(1.0), i / 5), 6).alias("funnel_score"))
 
 
-def layering_depth(edge: DataFrame, ids: DataFrame, cutoff: int = 3) -> DataFrame:
+def layering_depth(edge: DataFrame, ids: DataFrame, cutoff: int = 7) -> DataFrame:
     """Longest simple path (at most ``cutoff`` edges) from the account to one of its own direct successors,
     for accounts with in- and out-edges; others 0."""
-    arcs = stage(edge.filter("src <> dst").select("src", "dst").distinct(), "arcs")
-    both = edge.select(F.col("src").alias("v")).distinct().join(edge.select(F.col("dst").alias("v")).distinct(), "v", "left_semi")
-    starts = stage(both, "starts")
-    direct = stage(arcs.join(starts.withColumnRenamed("v", "src"), "src", "left_semi"), "direct")
-    reach = [direct.select("src", F.lit(1).alias("depth")).distinct()]
-    paths = direct.select(F.col("src").alias("start"), F.col("dst").alias("tip"), F.array("src", "dst").alias("path"))
-    for k in range(2, cutoff + 1):
-        nxt = paths.join(arcs, F.col("tip") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
-        paths = nxt.select("start", F.col("dst").alias("tip"), F.concat("path", F.array("dst")).alias("path"))
-        if k < cutoff:
-            paths = stage(paths, "paths")
-        ends = paths.select(F.col("start").alias("src"), F.col("tip").alias("dst")).distinct()
-        reach.append(direct.join(ends, ["src", "dst"], "left_semi").select("src", F.lit(k).alias("depth")).distinct())
-    depth = reduce(DataFrame.unionByName, reach).groupBy(F.col("src").alias("account_id")).agg(F.max("depth").alias("d"))
+    depth = layering(edge, cutoff)
     return ids.select("account_id").join(depth, "account_id", "left").select("account_id", zero("d").cast("long").alias("layering_depth"))
 
 
@@ -122,7 +80,7 @@ def suspicious_chains(edge: DataFrame, ids: DataFrame, degree: DataFrame, cutoff
     return ids.select("account_id").join(most, "account_id", "left").select("account_id", zero("n").cast("long").alias("suspicious_chain_length"))
 
 
-def fraud_features(edge: DataFrame, vertex: DataFrame, accounts: DataFrame, cycle_bound: int = 4, layering_cutoff: int = 3) -> DataFrame:
+def fraud_features(edge: DataFrame, vertex: DataFrame, accounts: DataFrame, cycle_bound: int = 8, layering_cutoff: int = 7) -> DataFrame:
     edge, vertex = stage(edge, "edges"), stage(vertex, "vertices")
     degree = stage(degrees(edge, vertex), "degrees")
     parts = [circularity(edge, vertex, cycle_bound), funnel(degree), layering_depth(edge, vertex, layering_cutoff), neighbour_risk(edge, vertex), device_cluster(accounts), suspicious_chains(edge, vertex, degree)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import zero
+from .community import louvain
 from .graph import both_ways, undirected
 from .iterate import stage, strong_components
 
@@ -97,27 +98,6 @@ def scc_sizes(edge: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(size, "component").select(F.col("id").alias("account_id"), "scc_size")
 
 
-def communities(edge: DataFrame, ids: DataFrame, rounds: int = 10) -> DataFrame:
-    """Label propagation on the undirected view: each vertex takes its neighbours' weightiest label, the least on ties.
-
-    Only half of the vertices (by parity of a hash, alternating) move in a round, which keeps two sides from swapping for ever.
-    """
-    w = edge.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight").groupBy("u", "v").agg(F.sum("weight").alias("w"))
-    near = stage(w.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.*"), "communities")
-    label = stage(ids.select("account_id", F.col("account_id").alias("community_id")).distinct(), "communities")
-    for i in range(rounds):
-        votes = near.join(label, near.v == label.account_id).groupBy("u", "community_id").agg(F.sum("w").alias("s"))
-        best = votes.groupBy("u").agg(F.min_by("community_id", F.struct(-F.round("s", 4), F.col("community_id"))).alias("best"))
-        turn = F.pmod(F.xxhash64("account_id"), F.lit(2)) == i % 2
-        new = label.join(best, label.account_id == best.u, "left").select("account_id", F.when(turn, F.coalesce("best", "community_id")).otherwise(F.col("community_id")).alias("community_id"))
-        new = stage(new, "communities")
-        still = new.join(label.withColumnRenamed("community_id", "old"), "account_id").filter("community_id <> old").isEmpty()
-        label = new
-        if still and i:
-            break
-    return label
-
-
 def community_density(edge: DataFrame, community: DataFrame) -> DataFrame:
     """Directed edges inside a community over n (n - 1); 0 for one vertex."""
     a, b = (community.select(F.col("account_id").alias(k), F.col("community_id").alias(c)) for k, c in (("src", "ca"), ("dst", "cb")))
@@ -164,5 +144,5 @@ def betweenness(edge: DataFrame, ids: DataFrame, pivots: int = 500, max_depth: i
 def structural_features(edge: DataFrame, ids: DataFrame) -> DataFrame:
     """All 13 features of every vertex."""
     edge, ids = stage(edge, "edges"), stage(ids.select("account_id").distinct(), "ids")
-    parts = [degrees(edge, ids), betweenness(edge, ids), pagerank(edge, ids, iterations=30), clustering(edge, ids), core_numbers(edge, ids), scc_sizes(edge, ids), community_density(edge, communities(edge, ids))]
+    parts = [degrees(edge, ids), betweenness(edge, ids), pagerank(edge, ids, iterations=30), clustering(edge, ids), core_numbers(edge, ids), scc_sizes(edge, ids), community_density(edge, louvain(edge, ids))]
     return reduce(lambda a, b: a.join(b, "account_id", "left"), parts)

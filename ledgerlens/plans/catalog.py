@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import behavioral as beh
 from ..operators import embeddings as emb
-from ..operators import explain, graph, iterate, metrics, patterns, propagation, scoring, sequences, simulate, structural, training, validate
+from ..operators import community, explain, graph, iterate, metrics, patterns, propagation, scoring, sequences, simulate, structural, training, validate
 from ..sources import io
 from ..streaming import ingest
 from . import pipeline, twins
@@ -265,7 +265,7 @@ def c8_scc_sizes(spark, d):
 
 @query
 def c9_communities(spark, d):
-    return structural.communities(edge_table(spark, d), vertex_table(spark, d), 4)
+    return community.louvain(edge_table(spark, d), vertex_table(spark, d))
 
 
 @query

@@ -19,8 +19,8 @@ from ..sources import io
 class Sizes:
     """How large the models and bounded searches are."""
 
-    cycle_bound: int = 5
-    layering_cutoff: int = 3
+    cycle_bound: int = 8
+    layering_cutoff: int = 7
     embedding_dim: int = 16
     walks: int = 2
     walk_length: int = 8

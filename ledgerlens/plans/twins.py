@@ -175,20 +175,62 @@ PAGERANK = (
     f"{''.join(_RANK.format(a=k, b=k + 1) for k in range(30))} SELECT account_id, round(round(pr, 8) * 100, 6) AS pagerank FROM rk30"
 )
 
-def _cycle(k: int) -> str:
-    """Cycles of ``k`` different accounts from their least one."""
-    inner = range(1, k)
-    joins = " ".join(f"JOIN ar a{i} ON a{i}.src = a{i - 1}.dst AND a{i}.dst <> a{i}.src" for i in inner)
-    apart = [f"a0.src < a{i}.src" for i in inner] + [f"a{i}.src <> a{j}.src" for i in inner for j in inner if i < j]
-    return f"SELECT [{', '.join(f'a{i}.src' for i in range(k))}] AS p FROM ar a0 {joins} WHERE a{k - 1}.dst = a0.src AND {' AND '.join(apart)}"
+def _differ(xs: list[str], ys: list[str]) -> str:
+    return " AND ".join([f"{x} <> {y}" for x in xs for y in ys] or ["true"])
 
 
-CYCLES = f""", ar AS (SELECT DISTINCT src, dst FROM edge), cy AS (SELECT [src] AS p FROM ar WHERE src = dst
-  UNION ALL {" UNION ALL ".join(map(_cycle, range(2, 6)))}),
+def _halves(bound: int) -> str:
+    """f1, f2, ...: simple paths from s to m by inner vertices x1, x2, ...; b1, ...: from m to s by y1, ...; all above s."""
+    out = ["f1 AS MATERIALIZED (SELECT src AS s, dst AS m FROM ar WHERE dst > src)", "b1 AS MATERIALIZED (SELECT dst AS s, src AS m FROM ar WHERE src > dst)"]
+    for name, c, at, to, n in (("f", "x", "src", "dst", (bound + 1) // 2), ("b", "y", "dst", "src", bound // 2)):
+        for k in range(1, n):
+            inner = [f"{c}{i}" for i in range(1, k)]
+            cols = "".join(f"{x}, " for x in inner)
+            out.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT s, {cols}p.m AS {c}{k}, ar.{to} AS m FROM {name}{k} p JOIN ar ON p.m = ar.{at} "
+                f"WHERE ar.{to} > s AND {_differ([f'ar.{to}'], ['p.m', *inner])})"
+            )
+    return ", ".join(out)
+
+
+def _cycle(length: int) -> str:
+    a, b = (length + 1) // 2, length // 2
+    xs, ys = [f"x{i}" for i in range(1, a)], [f"y{i}" for i in range(1, b)]
+    return f"SELECT [{', '.join(['s', *xs, 'm', *ys])}] AS p FROM f{a} JOIN b{b} USING (s, m) WHERE {_differ(xs, ys)}"
+
+
+CYCLES = f""", ar AS MATERIALIZED (SELECT DISTINCT src, dst FROM edge), {_halves(8)}, cy AS (SELECT [src] AS p FROM ar WHERE src = dst
+  UNION ALL {" UNION ALL ".join(map(_cycle, range(2, 9)))}),
 hc AS (SELECT account_id, count(*) AS n FROM (SELECT unnest(p) AS account_id FROM cy) GROUP BY account_id)"""
-LAYERS = """, ar AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst), bo AS (SELECT src AS v FROM edge INTERSECT SELECT dst FROM edge), di AS (SELECT * FROM ar WHERE src IN (SELECT v FROM bo)),
-l2 AS (SELECT a.src, b.src AS m, b.dst FROM di a JOIN ar b ON a.dst = b.src WHERE b.dst <> a.src), l3 AS (SELECT l2.src, b.dst FROM l2 JOIN ar b ON l2.dst = b.src WHERE b.dst <> l2.src AND b.dst <> l2.m),
-dp AS (SELECT src, 1 AS k FROM di UNION ALL SELECT di.src, 2 FROM di JOIN (SELECT DISTINCT src, dst FROM l2) USING (src, dst) UNION ALL SELECT di.src, 3 FROM di JOIN (SELECT DISTINCT src, dst FROM l3) USING (src, dst))"""
+
+
+def _layers(bound: int) -> str:
+    """dp: accounts and the lengths k of simple paths to one of their direct successors."""
+    out = ["u1 AS MATERIALIZED (SELECT src AS v, dst AS m FROM di)", "w0 AS MATERIALIZED (SELECT src AS v, dst AS m FROM di)"]
+    for k in range(1, (bound + 1) // 2):
+        inner = [f"x{i}" for i in range(1, k)]
+        out.append(
+            f"u{k + 1} AS MATERIALIZED (SELECT v, {''.join(f'{x}, ' for x in inner)}p.m AS x{k}, ar.dst AS m FROM u{k} p JOIN ar ON p.m = ar.src "
+            f"WHERE {_differ(['ar.dst'], ['v', *inner])})"
+        )
+    for k in range(bound // 2):
+        inner = [f"y{i}" for i in range(1, k + 1)]
+        out.append(
+            f"w{k + 1} AS MATERIALIZED (SELECT v, {''.join(f'{y}, ' for y in inner)}p.m AS y{k + 1}, ar.src AS m FROM w{k} p JOIN ar ON p.m = ar.dst "
+            f"WHERE {_differ(['ar.src'], ['v', *inner])})"
+        )
+    met = ["SELECT src, 1 AS k FROM di"]
+    for k in range(2, bound + 1):
+        a, b = (k + 1) // 2, k // 2
+        far = _differ([f"x{i}" for i in range(1, a)], [f"y{i}" for i in range(1, b + 1)])
+        met.append(f"SELECT DISTINCT v, {k} FROM u{a} JOIN w{b} USING (v, m) WHERE {far}")
+    return ", ".join(out) + f", dp AS ({' UNION ALL '.join(met)})"
+
+
+LAYERS = (
+    ", ar AS MATERIALIZED (SELECT DISTINCT src, dst FROM edge WHERE src <> dst), bo AS (SELECT src AS v FROM edge INTERSECT SELECT dst FROM edge), "
+    "di AS (SELECT * FROM ar WHERE src IN (SELECT v FROM bo)), " + _layers(7)
+)
 
 TOP = "SELECT account_id, rank, feature, value FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(value) DESC, feature) AS rank FROM lf) WHERE rank <= 5"
 _FEATS = ["in_degree", "out_degree", "total_degree", "weighted_in_degree", "weighted_out_degree", "degree_ratio", *_BEH_COLS, "funnel_score", "risk_propagation_score", "device_cluster_score"]

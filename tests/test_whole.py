@@ -79,16 +79,16 @@ def graph_of(spark, monkeypatch, arcs):
     monkeypatch.setattr(catalog, "vertex_table", lambda s, d: v)
 
 
-def test_rings_of_four_and_five_are_circular(spark, monkeypatch):
-    rings = [range(0, 4), range(10, 15)]
+def test_rings_of_up_to_eight_are_circular(spark, monkeypatch):
+    rings = [range(0, 4), range(10, 15), range(20, 28)]
     graph_of(spark, monkeypatch, [(r[i], r[(i + 1) % len(r)]) for r in rings for i in range(len(r))])
     got = {r.account_id: r.circularity_score for r in QUERIES["d1_circularity"](spark, "").collect()}
     assert got == {i: 1.0 for r in rings for i in r}
 
 
-def test_layering_of_three_edges(spark, monkeypatch):
-    graph_of(spark, monkeypatch, [(0, 1), (1, 2), (2, 3), (0, 3), (3, 0)])
-    assert {r.account_id: r.layering_depth for r in QUERIES["d3_layering_depth"](spark, "").collect()}[0] == 3
+def test_layering_of_seven_edges(spark, monkeypatch):
+    graph_of(spark, monkeypatch, [*((i, i + 1) for i in range(7)), (0, 7), (7, 0)])
+    assert {r.account_id: r.layering_depth for r in QUERIES["d3_layering_depth"](spark, "").collect()}[0] == 7
 
 
 def test_evaluate_runs_at_production_sizes(spark, sf_dir, monkeypatch):
