@@ -25,30 +25,31 @@ def degrees(edge: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def pagerank(edge: DataFrame, ids: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, checkpoint_every: int = 5) -> DataFrame:
-    """Edge-weighted PageRank; the mass of vertices without out-edges is spread evenly. ``tolerance`` None runs all iterations."""
+def pagerank(edge: DataFrame, ids: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """Edge-weighted PageRank; the mass of vertices without out-edges is spread evenly. ``tolerance`` None runs all iterations.
+
+    An iteration is one join and one aggregate, written once with what each vertex got. Two sums over that
+    table, the mass that went along edges and the change, are all that the driver sees: the rest of the mass is
+    what was spread, and the next iteration adds it where it reads the table.
+    """
     v = stage(ids.select("account_id").distinct(), "pagerank-ids")
     n = v.count()
     if n == 0:
         return v.withColumn("pagerank", F.lit(0.0))
     out = edge.groupBy("src").agg(F.sum("weight").alias("total"))
     p = stage(edge.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "pagerank-edges")
-    sources = stage(p.select(F.col("src").alias("account_id")).distinct(), "pagerank-sources")
-    rank = v.withColumn("pagerank", F.lit(1.0 / n))
-    for i in range(iterations):
-        loose = rank.join(sources, "account_id", "left_anti").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))
-        got = p.join(rank.withColumnRenamed("account_id", "src"), "src").groupBy(F.col("dst").alias("account_id")).agg(F.sum(F.col("p") * F.col("pagerank")).alias("got"))
-        new = v.join(got, "account_id", "left").crossJoin(F.broadcast(loose)).select("account_id", (F.lit((1 - damping) / n) + F.lit(damping) * (zero("got") + F.col("loose") / n)).alias("pagerank"))
-        if tolerance is None and (i + 1) % checkpoint_every and i + 1 < iterations:
-            rank = new
-            continue
-        new = stage(new, "pagerank")
-        if tolerance is not None:
-            change = new.join(rank.withColumnRenamed("pagerank", "old"), "account_id").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
-            rank = new
-            if change < n * tolerance:
-                break
-        rank = new
+    rank, mass = v.withColumn("pagerank", F.lit(1.0 / n)), 1.0
+    for _ in range(iterations):
+        got = p.join(rank.withColumnRenamed("account_id", "src"), "src").groupBy(F.col("dst").alias("account_id"))
+        got = got.agg(F.sum(F.col("p") * F.col("pagerank")).alias("got"))
+        old = rank if tolerance is not None else v
+        new = stage(old.withColumnRenamed("pagerank", "old").join(got, "account_id", "left").withColumn("got", zero("got")), "pagerank")
+        sent = new.agg(F.sum("got")).first()[0]
+        value = F.lit((1 - damping) / n) + F.lit(damping) * (F.col("got") + F.lit((mass - sent) / n))
+        rank = new.select("account_id", value.alias("pagerank"))
+        mass = 1 - damping + damping * mass
+        if tolerance is not None and new.agg(F.sum(F.abs(value - F.col("old")))).first()[0] < n * tolerance:
+            break
     return rank.select("account_id", F.round("pagerank", 8).alias("pagerank"))
 
 

@@ -54,31 +54,41 @@ def label_leaks(columns: list[str]) -> list[str]:
     return [c for c in columns if c in LABEL_COLUMNS]
 
 
+#: Omnibus normality test of two moments in closed form, step by step: a z-score of the skewness, one of the kurtosis,
+#: and the chi-squared value of both with two degrees of freedom.
+K_SQUARED = (
+    ("y", "skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2)))"),
+    ("b2", "3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))"),
+    ("w2", "sqrt(2 * (b2 - 1)) - 1"),
+    ("z1", "asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5D * ln(w2))"),
+    ("x", "(kurt + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))"),
+    ("root", "6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))"),
+    ("a", "6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root)))"),
+    ("t", "(1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))"),
+    ("z2", "(1 - 2 / (9 * a) - sign(t) * power(abs(t), 1.0D / 3)) / sqrt(2 / (9 * a))"),
+    ("k2", "z1 * z1 + z2 * z2"),
+    ("p_value", "exp(-k2 / 2)"),
+)
+
+
+def k_squared(moments: DataFrame) -> DataFrame:
+    """Adds k2 and p_value to rows of n, skew and kurt; null below eight values or without spread."""
+    known = F.col("n") >= 8
+    rows = moments.withColumns({"_n": F.col("n"), "n": F.when(known, F.col("n").cast("double"))})
+    for name, step in K_SQUARED:
+        rows = rows.withColumn(name, F.expr(step))
+    return rows.withColumn("n", F.col("_n")).select(*moments.columns, "k2", "p_value")
+
+
 def amount_lognormality(txns: DataFrame) -> DataFrame:
-    """Moments of ln(amount) over positive amounts; the K-squared statistic from skewness and kurtosis in closed form."""
+    """Moments of ln(amount) over positive amounts, and the test of all of them for normality."""
     x = F.ln("amount")
-    m = txns.filter("amount > 0").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("log_mean"), F.stddev_pop(x).alias("log_std"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
+    m = txns.filter("amount > 0").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("log_mean"), F.stddev_pop(x).alias("log_std"),
+        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"),
+    )
     ok = (F.col("n") >= 8) & (F.col("log_std") > 0.5) & (F.col("log_mean") > 0)
-    return m.select("n", "log_mean", "log_std", "skew", "kurt", F.coalesce(ok, F.lit(False)).alias("passed"))
-
-
-def k_squared(n: int, skew: float, kurt: float) -> tuple[float, float]:
-    """Omnibus normality statistic of two moments, and its p-value (chi-squared, two degrees)."""
-    if n < 8:
-        return float("nan"), float("nan")
-    y = skew * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    b2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + math.sqrt(2 * (b2 - 1))
-    z1 = 1 / math.sqrt(0.5 * math.log(w2)) * math.asinh(y / math.sqrt(2.0 / (w2 - 1)))
-    mean = 3.0 * (n - 1) / (n + 1)
-    var = 24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) ** 2 * (n + 3) * (n + 5))
-    x = (kurt + 3 - mean) / math.sqrt(var)
-    root = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
-    a = 6.0 + 8.0 / root * (2.0 / root + math.sqrt(1 + 4.0 / root**2))
-    t = (1 - 2.0 / a) / (1 + x * math.sqrt(2.0 / (a - 4)))
-    z2 = (1 - 2.0 / (9 * a) - math.copysign(abs(t) ** (1 / 3), t)) / math.sqrt(2.0 / (9 * a))
-    k2 = z1 * z1 + z2 * z2
-    return k2, math.exp(-k2 / 2)
+    return k_squared(m).select("n", "log_mean", "log_std", "skew", "kurt", "k2", "p_value", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
 def degree_counts(txns: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import behavioral as beh
 from ..operators import embeddings as emb
-from ..operators import community, explain, graph, iterate, metrics, patterns, propagation, scoring, sequences, simulate, structural, training, validate
+from ..operators import community, explain, graph, iterate, metrics, patterns, propagation, scoring, sequences, shapley, simulate, structural, training, validate
 from ..sources import io
 from ..streaming import ingest
 from . import pipeline, twins
@@ -110,7 +110,7 @@ def s15_graph_upload(spark, d):
 
 @query
 def s16_k_hop(spark, d):
-    return iterate.ego_network(edge_table(spark, d), 7, 2)[0].select(F.col("id").alias("account_id"), F.col("dist").cast("long").alias("dist"))
+    return iterate.ego_network(edge_table(spark, d), 7, 3)[0].select(F.col("id").alias("account_id"), F.col("dist").cast("long").alias("dist"))
 
 
 @query
@@ -125,7 +125,7 @@ def v2_account_checks(spark, d):
 
 @query
 def v4_lognormality(spark, d):
-    return r6(validate.amount_lognormality(p2p(spark, d)))
+    return r6(validate.amount_lognormality(p2p(spark, d)).withColumn("k2", F.round("k2", 3)))
 
 
 @query
@@ -336,17 +336,18 @@ def e1_spectral(spark, d):
 
 @query
 def e2_walks(spark, d):
-    return emb.walks(edge_table(spark, d), vertex_table(spark, d), 10, 8)
+    return emb.walks(edge_table(spark, d), vertex_table(spark, d), BOUNDS.walks, BOUNDS.walk_length)
 
 
 @query
 def e3_cooccurrence(spark, d):
-    return emb.cooccurrence(emb.walks(edge_table(spark, d), vertex_table(spark, d), 10, 8))
+    return emb.cooccurrence(emb.walks(edge_table(spark, d), vertex_table(spark, d), BOUNDS.walks, BOUNDS.walk_length))
 
 
 @query
 def e4_graph_embedding(spark, d):
-    return emb.embedding_columns(emb.graph_embedding(edge_table(spark, d), vertex_table(spark, d), 8, 1, 4), "gnn_emb", 8)
+    both = emb.graph_embedding(edge_table(spark, d), vertex_table(spark, d), BOUNDS.embedding_dim, BOUNDS.walks, BOUNDS.walk_length)
+    return emb.embedding_columns(both, "gnn_emb", BOUNDS.embedding_dim)
 
 
 @query
@@ -596,6 +597,15 @@ def h3_path_attribution(spark, d):
     return spark.createDataFrame(sorted(got.items()), "signal string, contribution double")
 
 
+@query
+def h3_shapley(spark, d):
+    """Shapley values of the meta-model's signals, for every account."""
+    s, y = _meta(spark, d)
+    m = scoring.MetaModel(BOUNDS.meta_trees)
+    m.fit(s, y)
+    return shapley.tree_shap(m.model, m.columns, s)
+
+
 @query
 def m3_importance(spark, d):
     s, y = _meta(spark, d)
@@ -656,7 +666,7 @@ def j3_component_stack(spark, d):
 
 @query
 def j4_ego_edges(spark, d):
-    return r6(iterate.ego_network(edge_table(spark, d), 7, 1)[1].select("src", "dst", "weight"))
+    return r6(iterate.ego_network(edge_table(spark, d), 7, 2)[1].select("src", "dst", "weight"))
 
 
 @query

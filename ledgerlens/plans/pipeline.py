@@ -21,17 +21,14 @@ class Sizes:
 
     cycle_bound: int = 8
     layering_cutoff: int = 7
-    embedding_dim: int = 16
-    walks: int = 2
-    walk_length: int = 8
+    embedding_dim: int = 64
+    walks: int = 10
+    walk_length: int = 40
     graph_trees: int = 20
     meta_trees: int = 20
     sequence_len: int = 200
 
 
-SMALL = Sizes(cycle_bound=3, layering_cutoff=2, embedding_dim=4, walks=1, walk_length=3, graph_trees=2, meta_trees=2, sequence_len=50)
-
-
 def run_simulation(spark: SparkSession, settings: Settings = Settings(), save: bool = True) -> dict:
     acc, txns = simulate.simulate(spark, settings.simulation, settings.fraud)
     if save:

@@ -167,8 +167,8 @@ _RANK = """, rk{b} AS MATERIALIZED (SELECT account_id, 0.15 / n + 0.85 * (coales
 _ROLL = """, w{b} AS MATERIALIZED (SELECT walk, y AS x FROM (SELECT walk, x, (walk * 7919 + {c} + x * 31) % n AS i FROM w{a} JOIN (SELECT DISTINCT x, n FROM nr) USING (x)) JOIN nr USING (x, i))"""
 WALKS = (
     f"{BASE}, nr AS MATERIALIZED (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY k, y) - 1 AS i, count(*) OVER (PARTITION BY x) AS n FROM (SELECT src AS x, dst AS y, 0 AS k FROM edge UNION ALL SELECT dst, src, 1 FROM edge))"
-    f", w0 AS (SELECT account_id * 10 + r AS walk, account_id AS x FROM vert, (SELECT unnest(range(10)) AS r)){''.join(_ROLL.format(a=k - 1, b=k, c=k * 104729 + 42 * 15485863) for k in range(1, 8))}"
-    f", wk AS ({' UNION ALL '.join(f'SELECT walk, {k} AS step, x AS vertex FROM w{k}' for k in range(8))})"
+    f", w0 AS (SELECT account_id * 10 + r AS walk, account_id AS x FROM vert, (SELECT unnest(range(10)) AS r)){''.join(_ROLL.format(a=k - 1, b=k, c=k * 104729 + 42 * 15485863) for k in range(1, 40))}"
+    f", wk AS ({' UNION ALL '.join(f'SELECT walk, {k} AS step, x AS vertex FROM w{k}' for k in range(40))})"
 )
 PAGERANK = (
     f"{BASE}, tp AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM edge), rk0 AS (SELECT account_id, 1.0::DOUBLE / (SELECT count(*) FROM vert) AS pr FROM vert)"
@@ -232,6 +232,28 @@ LAYERS = (
     "di AS (SELECT * FROM ar WHERE src IN (SELECT v FROM bo)), " + _layers(7)
 )
 
+#: Vertices within three hops of vertex 7, by number of hops.
+EGO = f"""{BASE}, un AS (SELECT src AS u, dst AS v FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst), h1 AS (SELECT DISTINCT v FROM un WHERE u = 7),
+h2 AS (SELECT DISTINCT un.v FROM h1 JOIN un ON h1.v = un.u), h3 AS (SELECT DISTINCT un.v FROM h2 JOIN un ON h2.v = un.u),
+h AS (SELECT CAST(7 AS BIGINT) AS a, 0 AS d UNION ALL SELECT v, 1 FROM h1 UNION ALL SELECT v, 2 FROM h2 UNION ALL SELECT v, 3 FROM h3)"""
+
+#: The omnibus normality test, each step a table of its own.
+_K2 = (
+    "skew * sqrt((n + 1) * (n + 3) / (6.0::DOUBLE * (n - 2))) AS y, 3.0::DOUBLE * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0::DOUBLE) * (n + 5) * (n + 7) * (n + 9)) AS b2",
+    "sqrt(2 * (b2 - 1)) - 1 AS w2, (kurt + 3 - 3.0::DOUBLE * (n - 1) / (n + 1)) / sqrt(24.0::DOUBLE * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, "
+    "6.0::DOUBLE * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0::DOUBLE * (n + 3) * (n + 5) / (n * (n - 2.0::DOUBLE) * (n - 3))) AS root",
+    "asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS a",
+    "(1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS t",
+    "(1 - 2 / (9 * a) - sign(t) * power(abs(t), 1.0::DOUBLE / 3)) / sqrt(2 / (9 * a)) AS z2",
+    "z1 * z1 + z2 * z2 AS k2",
+)
+LOGNORMALITY = (
+    f"{WITH}, x AS (SELECT ln(amount) AS x FROM p2p WHERE amount > 0), m AS (SELECT count(*) AS m, avg(x) AS mu, stddev_pop(x) AS sd FROM x), "
+    "k0 AS (SELECT any_value(m) AS m, CAST(any_value(m) AS DOUBLE) AS n, any_value(mu) AS mu, any_value(sd) AS sd, avg(power((x - mu) / sd, 3)) AS skew, avg(power((x - mu) / sd, 4)) - 3 AS kurt FROM x, m), "
+    + ", ".join(f"k{i + 1} AS (SELECT *, {step} FROM k{i})" for i, step in enumerate(_K2))
+    + " SELECT m AS n, round(mu, 6) AS log_mean, round(sd, 6) AS log_std, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(k2, 3) AS k2, round(exp(-k2 / 2), 6) AS p_value, m >= 8 AND sd > 0.5 AND mu > 0 AS passed FROM k6"
+)
+
 TOP = "SELECT account_id, rank, feature, value FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(value) DESC, feature) AS rank FROM lf) WHERE rank <= 5"
 _FEATS = ["in_degree", "out_degree", "total_degree", "weighted_in_degree", "weighted_out_degree", "degree_ratio", *_BEH_COLS, "funnel_score", "risk_propagation_score", "device_cluster_score"]
 LONG = ", lf AS (" + " UNION ALL ".join(f"SELECT account_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM feat" for c in _FEATS) + ")"
@@ -268,10 +290,10 @@ def _oracle_sql() -> dict[str, str]:
         "s10_high_risk": f"{SCORES} SELECT account_id, risk_score FROM scores WHERE risk_score >= 30 ORDER BY risk_score DESC, account_id LIMIT 100",
         "s11_find_alerts": f"{SCORES} SELECT account_id, CASE WHEN risk_score >= 50 THEN 'critical' ELSE 'high' END AS severity, false AS resolved FROM scores WHERE risk_score >= 30 ORDER BY account_id LIMIT 50",
         "s15_graph_upload": f"{BASE} SELECT src, dst, weight, frequency FROM edge",
-        "s16_k_hop": f"{BASE}, un AS (SELECT src AS u, dst AS v FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst), h AS (SELECT CAST(7 AS BIGINT) AS a, 0 AS d UNION ALL SELECT v, 1 FROM un WHERE u = 7 UNION ALL SELECT y.v, 2 FROM un x JOIN un y ON x.v = y.u WHERE x.u = 7) SELECT a AS account_id, CAST(min(d) AS BIGINT) AS dist FROM h GROUP BY a",
+        "s16_k_hop": f"{EGO} SELECT a AS account_id, CAST(min(d) AS BIGINT) AS dist FROM h GROUP BY a",
         "v1_transaction_checks": f"{WITH} SELECT count(*) AS n_rows, {null_cols}, 0::BIGINT AS uncastable_amount, 0::BIGINT AS uncastable_timestamp, count(*) FILTER (amount <= 0) AS non_positive, count(*) FILTER (sender_id = receiver_id) AS self_transfers FROM p2p",
         "v2_account_checks": f"{WITH} SELECT count(*) AS n_rows, count(*) - count(DISTINCT account_id) AS duplicates FROM accounts",
-        "v4_lognormality": f"{WITH}, x AS (SELECT ln(amount) AS x FROM p2p WHERE amount > 0), m AS (SELECT count(*) AS n, avg(x) AS mu, stddev_pop(x) AS sd FROM x) SELECT any_value(n) AS n, round(any_value(mu), 6) AS log_mean, round(any_value(sd), 6) AS log_std, round(avg(power((x - mu) / sd, 3)), 6) AS skew, round(avg(power((x - mu) / sd, 4)) - 3, 6) AS kurt, any_value(n) >= 8 AND any_value(sd) > 0.5 AND any_value(mu) > 0 AS passed FROM x, m",
+        "v4_lognormality": LOGNORMALITY,
         "v5_degree_summary": f"{WITH} SELECT count(*) AS n, round(avg(c), 6) AS mean_degree, max(c) AS max_degree FROM (SELECT count(*) AS c FROM p2p GROUP BY sender_id UNION ALL SELECT count(*) FROM p2p GROUP BY receiver_id)",
         "v6_temporal_coverage": f"{WITH} SELECT (epoch_us(max(\"timestamp\")) - epoch_us(min(\"timestamp\"))) // 86400000000 AS span_days, count(DISTINCT CAST(\"timestamp\" AS DATE)) AS active_days, round(count(*) / count(DISTINCT CAST(\"timestamp\" AS DATE)), 6) AS mean_daily, (epoch_us(max(\"timestamp\")) - epoch_us(min(\"timestamp\"))) // 86400000000 > 30 AS passed FROM p2p",
         "v7_fraud_ratio": f"{WITH}, f AS (SELECT round(count(*) FILTER (is_fraud) / count(*), 6) AS fraud_ratio FROM accounts) SELECT fraud_ratio, fraud_ratio BETWEEN 0.001 AND 0.05 AS passed FROM f",
@@ -342,7 +364,7 @@ SELECT ks, mean_shift, alert_rate_change, CASE WHEN x < 0.2 THEN 1.0 ELSE {_P_VA
         "i6_alert_stats": f"{SCORES} SELECT count(*) FILTER (risk_score >= 90) AS critical, count(*) FILTER (risk_score >= 75 AND risk_score < 90) AS high, count(*) FILTER (risk_score >= 50 AND risk_score < 75) AS medium, round(avg(risk_score), 4) AS mean_score FROM scores",
         "j1_risk_histogram": f"{SCORES} SELECT risk_level, CAST(least(floor(risk_score / 2.0), 49) AS BIGINT) AS bin, count(*) AS n, CASE risk_level WHEN 'critical' THEN '#d32f2f' WHEN 'high' THEN '#f57c00' WHEN 'medium' THEN '#fbc02d' WHEN 'low' THEN '#7cb342' ELSE '#388e3c' END AS colour FROM scores GROUP BY 1, 2",
         "j3_component_stack": f"{SCORES} SELECT account_id, behavioral_score, structural_score, propagation_score FROM scores ORDER BY risk_score DESC, account_id LIMIT 30",
-        "j4_ego_edges": f"{BASE}, ego AS (SELECT CAST(7 AS BIGINT) AS a UNION SELECT dst FROM edge WHERE src = 7 UNION SELECT src FROM edge WHERE dst = 7) SELECT src, dst, round(weight, 6) AS weight FROM edge WHERE src IN (SELECT a FROM ego) AND dst IN (SELECT a FROM ego)",
+        "j4_ego_edges": f"{EGO}, ego AS (SELECT a FROM h WHERE d <= 2) SELECT src, dst, round(weight, 6) AS weight FROM edge WHERE src IN (SELECT a FROM ego) AND dst IN (SELECT a FROM ego)",
         "j5_fraud_network": f"{BASE}, bad AS (SELECT account_id FROM vert WHERE is_fraud), nr AS (SELECT src AS f, dst AS o, 0 AS side FROM edge WHERE src IN (SELECT account_id FROM bad) UNION ALL SELECT dst, src, 1 FROM edge WHERE dst IN (SELECT account_id FROM bad)), ids AS (SELECT account_id, 0 AS p FROM bad UNION ALL SELECT o, 1 FROM (SELECT *, row_number() OVER (PARTITION BY f, side ORDER BY o) AS r FROM nr) WHERE r <= 5) SELECT account_id, min(p) = 0 AS is_fraud FROM ids GROUP BY account_id ORDER BY min(p), account_id LIMIT 500",
         "j8_pr_curve": f"{LABELLED}{_CURVE} SELECT score AS threshold, round(tp / k, 6) AS precision, round(tp / t, 6) AS recall FROM c, t",
         "j9_timeline": f"{WITH}, d AS (SELECT account_id, CAST(ts AS DATE) AS day, count(*) AS n FROM (SELECT sender_id AS account_id, \"timestamp\" AS ts FROM p2p UNION ALL SELECT receiver_id, \"timestamp\" FROM p2p) GROUP BY ALL), s AS (SELECT account_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY account_id) SELECT account_id, day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (account_id, day)",
