@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Scoring
@@ -132,12 +132,17 @@ class MetaModel:
         return sorted(zip(self.columns, self.model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The model and, beside it, the order of its columns."""
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.active()
+        order = spark.createDataFrame(list(enumerate(self.columns)), "place int, signal string")
+        order.coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
-    def load(self, path: str, columns: list[str]) -> MetaModel:
+    def load(self, path: str) -> MetaModel:
         from pyspark.ml.classification import GBTClassificationModel
 
-        self.model, self.columns = GBTClassificationModel.load(path), columns
+        self.model = GBTClassificationModel.load(f"{path}/model")
+        self.columns = [r.signal for r in SparkSession.active().read.parquet(f"{path}/columns").orderBy("place").collect()]
         return self
 
 

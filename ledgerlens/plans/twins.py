@@ -340,6 +340,7 @@ def _oracle_sql() -> dict[str, str]:
         "t1_temporal_split": f"{WITH}, o AS (SELECT \"timestamp\" AS ts, row_number() OVER (ORDER BY \"timestamp\") - 1 AS i, count(*) OVER () AS n FROM p2p), c AS (SELECT max(ts) FILTER (i = least(n - 1, floor(n * 0.7::DOUBLE / (0.7::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE)))) AS t0, max(ts) FILTER (i = least(n - 1, floor(n * (0.7::DOUBLE + 0.15::DOUBLE) / (0.7::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE)))) AS t1 FROM o), f AS (SELECT account_id, min(ts) AS first_seen FROM (SELECT sender_id AS account_id, \"timestamp\" AS ts FROM p2p UNION ALL SELECT receiver_id, \"timestamp\" FROM p2p) GROUP BY 1) SELECT account_id, first_seen, CASE WHEN first_seen <= t0 THEN 'train' WHEN first_seen <= t1 THEN 'val' ELSE 'test' END AS split FROM accounts JOIN f USING (account_id), c",
         "n2_local_outlier_factor": "WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id, b.id AS o, list_distance(a.v, b.v) AS d FROM x a JOIN x b ON a.id <> b.id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS r FROM d) WHERE r <= 10), kd AS (SELECT id, max(d) AS kd FROM k GROUP BY id), l AS (SELECT k.id, 1.0 / (avg(greatest(d, kd.kd)) + 1e-10) AS l FROM k JOIN kd ON kd.id = k.o GROUP BY k.id) SELECT k.id, round(avg(b.l) / any_value(a.l), 6) AS lof FROM k JOIN l a ON a.id = k.id JOIN l b ON b.id = k.o GROUP BY k.id",
         "stream_clean": f"{WITH} SELECT transaction_id, amount FROM p2p WHERE amount > 0 AND sender_id <> receiver_id",
+        "stream_sliding_edges": f"{WITH} SELECT date_trunc('day', \"timestamp\") - k * INTERVAL 1 DAY AS window_start, sender_id AS src, receiver_id AS dst, round(CAST(sum(CAST(amount AS DECIMAL(28, 2))) AS DOUBLE), 6) AS weight, count(*) AS frequency FROM p2p, (SELECT unnest(range(7)) AS k) GROUP BY ALL",
         "stream_edges": f"{BASE} SELECT src, dst, round(weight, 6) AS weight, frequency FROM edge",
         "w1_drift_baseline": f"{HALVES} SELECT feature, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM halves WHERE side = 0 GROUP BY feature",
         "w2_ecdf_distance": f"{HALVES}{ECDF} SELECT * FROM ks",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -46,12 +46,31 @@ def save_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def point_read(spark: SparkSession, path: str, account_id) -> DataFrame:
-    """One account's rows; the filter is pushed into the scan. Raises FileNotFoundError without a table."""
+#: Folders that a table of single reads is dealt out over; recorded in the table's own path.
+BUCKETS = 64
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets))
+
+
+def save_buckets(df: DataFrame, path: str, key: str = "account_id", buckets: int = BUCKETS) -> None:
+    """Writes a table whose rows lie in a folder by the hash of their key, each in files ordered by it."""
+    rows = df.withColumn("bucket", _bucket(F.col(key), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", key)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def point_read(spark: SparkSession, path: str, *keys, key: str = "account_id", buckets: int = BUCKETS) -> DataFrame:
+    """The rows of some keys in a table of save_buckets(): only their folders are listed in the scan, and the key is
+    pushed down to the row groups' ranges. Raises FileNotFoundError without a table."""
     try:
-        return spark.read.parquet(path).filter(F.col("account_id") == account_id)
+        rows = spark.read.parquet(path)
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
+    kind = dict(rows.dtypes)[key]
+    # folded on the driver, so that the scan knows its folders when it is planned
+    asked = spark.range(1).select(*(_bucket(F.lit(k).cast(kind), buckets) for k in keys)).first()
+    return rows.filter(F.col("bucket").isin(sorted(set(asked))) & F.col(key).isin(list(keys))).drop("bucket")
 
 
 # ---- relational store: scores and alerts

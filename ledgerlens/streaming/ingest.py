@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import money
 from ..functions.schemas import TRANSACTIONS
-from ..operators.graph import edges, merge_edges
-from ..sources.io import FileStore
+from ..operators.graph import edges
 
 
 def read_stream(spark: SparkSession, path: str, schema=TRANSACTIONS) -> DataFrame:
@@ -20,24 +21,43 @@ def clean_stream(txns: DataFrame, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-def running_edges(txns: DataFrame, store: FileStore, checkpoint: str, name: str = "edges"):
-    """Starts a query that merges each micro-batch's edges into the stored ones. A batch that is replayed
-    after a failure is recognised by its number and not added twice."""
+class ChangeLog:
+    """What a stateful query changed, one folder a micro-batch: each holds the new rows of the keys that the batch touched.
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        new = edges(batch.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))).withColumn("epoch", F.lit(epoch))
-        try:
-            old = store.read(name)
-        except FileNotFoundError:
-            store.write(name, new)
-            return
-        last = old.agg(F.max("epoch")).first()[0]
-        if last is None or last < epoch:
-            store.write(name, merge_edges(old.drop("epoch"), new.drop("epoch")).withColumn("epoch", F.lit(epoch)))
+    A batch that is replayed after a failure replaces its own folder, so nothing counts twice; what a batch
+    writes is in proportion to the batch. The latest row of a key is its state.
+    """
 
-    return txns.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
 
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
 
-def sliding_edges(txns: DataFrame, length: str = "7 days", step: str = "1 day") -> DataFrame:
-    """Edge weight and frequency in sliding windows of event time."""
-    return txns.groupBy(F.window("timestamp", length, step), "sender_id", "receiver_id").agg(F.sum("amount").alias("weight"), F.count(F.lit(1)).alias("frequency"))
+    def read(self) -> DataFrame:
+        """The latest row of every key. Raises FileNotFoundError before the first batch."""
+        try:
+            rows = self.spark.read.parquet(self.path)
+        except AnalysisException as e:
+            raise FileNotFoundError(self.path) from e
+        kept = [c for c in rows.columns if c not in (*self.keys, "epoch")]
+        latest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*kept), "epoch").alias("row"))
+        return latest.select(*self.keys, "row.*")
+
+    def follow(self, changes: DataFrame, checkpoint: str):
+        """Starts a query of the aggregate ``changes``; its state is kept by key in the query's own checkpoint."""
+        return changes.writeStream.outputMode("update").foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_edges(txns: DataFrame, log: ChangeLog, checkpoint: str):
+    """Starts a query that keeps every edge's measures up to date; a micro-batch reads and writes its own edges alone."""
+    return log.follow(edges(txns), checkpoint)
+
+
+def sliding_edges(txns: DataFrame, length: str = "7 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Edge weight and frequency in sliding windows of event time. On a stream, rows that come more than ``late`` behind
+    the newest time seen by earlier batches are dropped, and the state of windows that far back with them."""
+    rows = txns.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
+    by = rows.groupBy(F.window("timestamp", length, step), F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst"))
+    out = by.agg(money("amount").alias("weight"), F.count(F.lit(1)).alias("frequency"))
+    return out.select(F.col("window.start").alias("window_start"), "src", "dst", "weight", "frequency")
