@@ -328,11 +328,18 @@ def f1_features(spark, d):
     return r6(relational_features(spark, d))
 
 
+#: Full feature tables by application and data folder, which two queries read.
+_FEATURES: dict[tuple[str, str], DataFrame] = {}
+
+
 def all_features(spark, d) -> DataFrame:
-    """The definition's 35 features of every vertex."""
-    e = iterate.stage(edge_table(spark, d), "edges")
-    v = iterate.stage(vertex_table(spark, d), "vertices")
-    return iterate.stage(pipeline.feature_table(e, v, p2p(spark, d), accounts(spark, d), BOUNDS), "all-features")
+    """The definition's 35 features of every vertex; written once an application and data folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FEATURES:
+        e = iterate.stage(edge_table(spark, d), "edges")
+        v = iterate.stage(vertex_table(spark, d), "vertices")
+        _FEATURES[key] = iterate.stage(pipeline.feature_table(e, v, p2p(spark, d), accounts(spark, d), BOUNDS), "all-features")
+    return _FEATURES[key]
 
 
 @query
