@@ -223,9 +223,15 @@ class ToxicityModel:
         self.least, self.z, self.ratio = least, z, ratio
         self.prior = 0.0
         self.toxic = self.plain = None
+        self._met: dict[bytes, int] = {}
 
     #: Differences from -LOW to HIGH bytes are told apart.
     LOW, HIGH = 8, 12
+    #: Words whose difference a worker remembers, and the longest of them in bytes: some 30 MB.
+    REMEMBERED, LONGEST = 1 << 18, 48
+
+    def __getstate__(self):
+        return self.__dict__ | {"_met": {}}
 
     def fit(self, toxic: list[str], plain: list[str]) -> ToxicityModel:
         if not toxic or not plain:
@@ -244,6 +250,7 @@ class ToxicityModel:
         ordinary = spans([t.lower().encode() for t in sides[1]], sum(len(x) + 1 for x in telling), 24).split()
         common = common_part(sides[1], self.common_bytes).split()
         # the most telling come last, nearest to the window
+        self._met = {}
         self.toxic, self.plain = WordSizes(telling[::-1], common, self.min_match), WordSizes(ordinary, common, self.min_match)
         held = [cut(toxic, True) or toxic, cut(plain, True) or plain]
         windows = [self.differences(pa.array(x, pa.string())) for x in held]
@@ -258,12 +265,19 @@ class ToxicityModel:
         return self
 
     def differences(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """How many bytes less each word takes under the toxic dictionary, and its text. Equal words are compressed once."""
+        """How many bytes less each word takes under the toxic dictionary, and its text. Equal words are compressed once
+        while a worker remembers them."""
         w = Words(col, SPACE, True)
         values, code = w.distinct()
         words = values.to_pylist()
-        d = np.clip(self.plain.words(words) - self.toxic.words(words), -self.LOW, self.HIGH)
-        return d[code], w.doc
+        new = [x for x in words if x not in self._met]
+        d = np.clip(self.plain.words(new) - self.toxic.words(new), -self.LOW, self.HIGH).tolist()
+        now = dict(zip(new, d, strict=True))
+        found = np.fromiter((now[x] if x in now else self._met[x] for x in words), np.int64, len(words))
+        if len(self._met) + len(now) > self.REMEMBERED:
+            self._met.clear()
+        self._met.update((x, y) for x, y in now.items() if len(x) <= self.LONGEST)
+        return found[code], w.doc
 
     def features(self, d: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Of each text: the sum of what its windows say, also by its length, and how many pass the threshold."""
