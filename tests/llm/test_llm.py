@@ -302,6 +302,22 @@ def test_labels_that_disagree(spark):
     assert scores[0] == scores[1] and min(scores[0][1::2]) > max(scores[0][::2])
 
 
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A tokenizer that keeps case and white space: ids of whole texts, as its library gives them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(path)
+    assert not Encoder(path).by_pieces and Encoder(Q.tokenizer_path()).by_pieces
+    rows = [(i, x) for i, x in enumerate([None, "", "  Two  Words\n12345", "é 中文 IT'S", "a|b | c"])]
+    start = 0
+    for r in read_shards(write_shards(frame(spark, rows), path)).orderBy("doc_id").collect():
+        ids = t.encode(rows[r.doc_id][1] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_token_files_against_whole_texts(spark, sf_dir):
     e = Encoder(Q.tokenizer_path())
     start = 0
