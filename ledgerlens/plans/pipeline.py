@@ -45,8 +45,8 @@ def feature_table(edge: DataFrame, vertex: DataFrame, txns: DataFrame, accounts:
     return rows.select(*(F.nanvl(c, F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
-def evaluate(accounts: DataFrame, txns: DataFrame, sizes: Sizes = Sizes(), settings: Settings = Settings(), meta: bool = True) -> dict[str, DataFrame]:
-    """features, scores and alerts of all accounts.
+def evaluate(accounts: DataFrame, txns: DataFrame, sizes: Sizes = Sizes(), settings: Settings = Settings(), meta: bool = True) -> dict:
+    """features, scores and alerts of all accounts, and the meta_model (None without one).
 
     The meta-model is trained and scored on the same component lists, and calibrated on predictions
     for accounts that its folds did not train on.
@@ -64,30 +64,35 @@ def evaluate(accounts: DataFrame, txns: DataFrame, sizes: Sizes = Sizes(), setti
     stats = stage(sequences.sequence_stats(sequences.sequence_rows(txns, sizes.sequence_len), sizes.sequence_len), "stats")
     anomaly = sequences.SequenceEncoder(settings.sequence.dim).fit(stats).anomaly(stats)
     signals = stage(scoring.signal_scores(features, risk, graph_signal, anomaly, cfg=settings.scoring), "signals")
-    if not meta:
+    meta_model = None
+    if not (meta and settings.scoring.use_meta_model):
         scores = signals
     else:
         x = signals.select("account_id", *(c for c in signals.columns if c.startswith("sig_")))
         half = F.pmod(F.xxhash64("account_id"), F.lit(2))
-        held = []
-        for k in (0, 1):
-            m = scoring.MetaModel(sizes.meta_trees)
-            m.fit(x.filter(half != k), labels)
-            held.append(m.predict(x.filter(half == k)))
-        out_of_fold = stage(held[0].unionByName(held[1]).join(labels, "account_id"), "folds")
-        calibrator = scoring.Calibrator().fit(out_of_fold, "probability")
-        final = scoring.MetaModel(sizes.meta_trees)
-        final.fit(x, labels)
-        p_ = calibrator.calibrate(final.predict(x), "probability").select("account_id", "probability")
+        calibrator = scoring.Calibrator()
+        if settings.scoring.use_calibration:
+            held = []
+            for k in (0, 1):
+                m = scoring.MetaModel(sizes.meta_trees)
+                m.fit(x.filter(half != k), labels)
+                held.append(m.predict(x.filter(half == k)))
+            calibrator.fit(stage(held[0].unionByName(held[1]).join(labels, "account_id"), "folds"), "probability")
+        meta_model = scoring.MetaModel(sizes.meta_trees)
+        meta_model.fit(x, labels)
+        p_ = calibrator.calibrate(meta_model.predict(x), "probability").select("account_id", "probability")
         base = signals.drop("risk_score", "risk_level").join(p_, "account_id")
         scores = base.withColumn("risk_score", F.round(clip(F.col("probability") * 100, 0.0, 100.0), 2)).withColumn("risk_level", risk_band("risk_score"))
     scores = stage(scores, "scores")
-    return {"features": features, "scores": scores, "alerts": scoring.prioritize(scoring.alerts(scores, settings.scoring))}
+    return {"features": features, "scores": scores, "alerts": scoring.prioritize(scoring.alerts(scores, settings.scoring)), "meta_model": meta_model}
 
 
-def save_results(results: dict[str, DataFrame], settings: Settings = Settings()) -> None:
+def save_results(results: dict, settings: Settings = Settings()) -> None:
+    """Features and scores as tables, and the meta-model where one was learnt."""
     io.save_parquet(results["features"], f"{settings.output_dir}/features.parquet")
     io.save_parquet(results["scores"], f"{settings.output_dir}/risk_scores.parquet")
+    if (model := results.get("meta_model")) is not None and model.model is not None:
+        model.save(f"{settings.models_dir}/meta_model")
 
 
 def main(args: list[str] | None = None) -> None:
@@ -102,7 +107,9 @@ def main(args: list[str] | None = None) -> None:
         print(run_simulation(spark, settings)["checks"])
     elif args[:1] == ["evaluate"]:
         txns, acc = io.load_parquet(spark, settings, warn=print)
-        results = evaluate(acc, txns, settings=settings, meta="--skip-meta-model" not in args)
+        e = settings.embedding
+        sizes = Sizes(embedding_dim=e.dim, walks=e.num_walks, walk_length=e.walk_length, sequence_len=settings.sequence.max_len)
+        results = evaluate(acc, txns, sizes, settings, meta="--skip-meta-model" not in args)
         save_results(results, settings)
         results["scores"].groupBy("risk_level").count().orderBy("risk_level").show()
         print("alerts:", results["alerts"].count())
