@@ -370,7 +370,7 @@ def p5_propagate(spark, d):
 
 @query
 def e1_spectral(spark, d):
-    return emb.spectral_embedding(edge_table(spark, d), vertex_table(spark, d), 4, 4)
+    return emb.spectral_embedding(edge_table(spark, d), vertex_table(spark, d), BOUNDS.embedding_dim // 2)
 
 
 @query
@@ -391,23 +391,23 @@ def e4_graph_embedding(spark, d):
 
 @query
 def q1_sequence_rows(spark, d):
-    return r6(sequences.sequence_rows(ev(spark, d), 50))
+    return r6(sequences.sequence_rows(ev(spark, d), BOUNDS.sequence_len))
 
 
 @query
 def q2_sequence_stats(spark, d):
-    return r6(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), 50), 50))
+    return r6(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), BOUNDS.sequence_len), BOUNDS.sequence_len))
 
 
 @query
 def q5_sequence_anomaly(spark, d):
-    s = iterate.stage(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), 50), 50))
+    s = iterate.stage(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), BOUNDS.sequence_len), BOUNDS.sequence_len))
     return sequences.SequenceEncoder(8).fit(s).anomaly(s)
 
 
 @query
 def q4_sequence_codes(spark, d):
-    s = iterate.stage(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), 50), 50))
+    s = iterate.stage(sequences.sequence_stats(sequences.sequence_rows(ev(spark, d), BOUNDS.sequence_len), BOUNDS.sequence_len))
     return sequences.SequenceEncoder(4).fit(s).encode(s)
 
 
@@ -460,7 +460,7 @@ def _meta(spark, d):
 @query
 def m1_meta_model(spark, d):
     s, y = _meta(spark, d)
-    m = scoring.MetaModel(trees=5)
+    m = scoring.MetaModel(BOUNDS.meta_trees)
     m.fit(s, y)
     return m.predict(s).select("account_id", "probability")
 
@@ -512,8 +512,8 @@ def t2_supervised(spark, d):
 
 @query
 def t7_graph_classifier(spark, d):
-    x = iterate.stage(emb.spectral_embedding(edge_table(spark, d), vertex_table(spark, d), 4, 4))
-    c = training.GraphClassifier(trees=3, depth=3)
+    x = iterate.stage(emb.spectral_embedding(edge_table(spark, d), vertex_table(spark, d), BOUNDS.embedding_dim // 2))
+    c = training.GraphClassifier(trees=BOUNDS.graph_trees)
     c.train(x, accounts(spark, d).select("account_id", F.col("is_fraud").cast("int").alias("label")))
     return c.predict(x)
 
@@ -551,8 +551,7 @@ def n4_combined_anomaly(spark, d):
 
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
-    cols = ["incoming_volume", "incoming_txn_count", "burst_index", "dormancy_score"]
-    f = r6(beh.behavioral_features(p2p(spark, d))).select("account_id", *cols)
+    f = r6(beh.behavioral_features(p2p(spark, d)))
     return f.filter("account_id % 2 = 0"), f.filter("account_id % 2 = 1")
 
 
@@ -648,7 +647,7 @@ def h3_shapley(spark, d):
 @query
 def m3_importance(spark, d):
     s, y = _meta(spark, d)
-    m = scoring.MetaModel(trees=3)
+    m = scoring.MetaModel(BOUNDS.meta_trees)
     m.fit(s, y)
     return spark.createDataFrame(m.importance(), "signal string, importance double")
 

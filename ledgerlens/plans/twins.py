@@ -91,7 +91,7 @@ LABELLED = "WITH s AS (SELECT doc_id AS account_id, quality AS label, ((doc_id *
 _CURVE = """, g AS (SELECT score, sum(label) AS p, count(*) AS n FROM s GROUP BY score),
 c AS (SELECT score, p, n, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS k FROM g), t AS (SELECT sum(label) AS t, sum(1 - label) AS f FROM s)"""
 
-_W = ["incoming_volume", "incoming_txn_count", "burst_index", "dormancy_score"]
+_W = _BEH_COLS
 HALVES = f"""{BEH_WITH}, halves AS ({" UNION ALL ".join(f"SELECT account_id % 2 AS side, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM beh" for c in _W)})"""
 ECDF = """, st AS (SELECT feature, value, sum(1 - side) AS a, sum(side) AS b FROM halves GROUP BY feature, value),
 gp AS (SELECT feature, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY feature) - sum(b) OVER w / sum(b) OVER (PARTITION BY feature)) AS gap, coalesce(lead(value) OVER w - value, 0) AS dx
@@ -138,7 +138,7 @@ _GM = ["n_vertices", "n_edges", "density", "avg_in_degree", "max_in_degree", "av
 SEQ = """, sd AS (SELECT transaction_id, amount, "timestamp" AS ts, sender_id AS account_id, 1 AS is_sender FROM ev UNION ALL SELECT transaction_id, amount, "timestamp", receiver_id, 0 FROM ev),
 sr AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, transaction_id, is_sender) AS pos,
   coalesce(least(greatest((epoch_us(date_trunc('second', ts)) - epoch_us(date_trunc('second', lag(ts) OVER (PARTITION BY account_id ORDER BY ts, transaction_id, is_sender)))) // 1000000 / 3600.0, 0), 720), 0) AS h FROM sd),
-sk AS (SELECT *, ln(1 + amount) AS a FROM sr WHERE pos <= 50),
+sk AS (SELECT *, ln(1 + amount) AS a FROM sr WHERE pos <= 200),
 sq AS (SELECT account_id, pos, coalesce(CASE WHEN max(a) OVER w > 0 THEN a / max(a) OVER w END, 0) AS amount, CAST(is_sender AS DOUBLE) AS is_sender, hour(ts) / 23.0::DOUBLE AS hour, (isodow(ts) - 1) / 6.0::DOUBLE AS day,
   CASE WHEN max(h) OVER w > 0 THEN h / max(h) OVER w ELSE 0 END AS delta FROM sk WINDOW w AS (PARTITION BY account_id))"""
 
@@ -325,7 +325,7 @@ def _oracle_sql() -> dict[str, str]:
         "p2_transition": f"{BASE}{MOVE} SELECT i, j, round(w, 6) AS w FROM mv",
         "p5_propagate": PROPAGATE,
         "q1_sequence_rows": f"{WITH}{SEQ} SELECT account_id, pos, {r(_CH)} FROM sq",
-        "q2_sequence_stats": f"{WITH}{SEQ}, ac AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY pos) - 1 AS t FROM sq WHERE amount <> 0 OR is_sender <> 0 OR hour <> 0 OR day <> 0 OR delta <> 0), mu AS (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY account_id) AS mu_{c}' for c in _CH)} FROM ac) SELECT account_id, {', '.join(map(_stat, _CH))}, count(*) AS active_len, round(count(*) / 50.0::DOUBLE, 6) AS active_share FROM mu GROUP BY account_id",
+        "q2_sequence_stats": f"{WITH}{SEQ}, ac AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY pos) - 1 AS t FROM sq WHERE amount <> 0 OR is_sender <> 0 OR hour <> 0 OR day <> 0 OR delta <> 0), mu AS (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY account_id) AS mu_{c}' for c in _CH)} FROM ac) SELECT account_id, {', '.join(map(_stat, _CH))}, count(*) AS active_len, round(count(*) / 200.0::DOUBLE, 6) AS active_share FROM mu GROUP BY account_id",
         "k1_component_scores": f"{SCORES} SELECT * FROM comp",
         "k3_contributions": f"{SCORES} SELECT account_id, {', '.join(f'round({w}::DOUBLE * {k}_score / CAST(0.35 + 0.35 + 0.3 AS DOUBLE), 4) AS {k}_contribution, {k}_score AS {k}_raw' for k, w in (('behavioral', 0.35), ('structural', 0.35), ('propagation', 0.3)))} FROM comp",
         "k4_static_scores": f"{SCORES} SELECT * FROM scores",
