@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import zero
 from .graph import undirected
+from .quantiles import exact_quantiles
 
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -91,9 +92,11 @@ def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def drift_baseline(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """feature, mean, std (population), median and quartiles."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = long_form(df, columns).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q"))
-    return rows.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[2], 6).alias("q75"))
+    columns = columns or numeric_columns(df)
+    rows = long_form(df, columns).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    q = exact_quantiles(df, columns, (0.5, 0.25, 0.75))
+    quantile = lambda i: F.get(F.create_map(*(x for c in columns for x in (F.lit(c), F.array(*(F.lit(v).cast("double") for v in q[c])))))[F.col("feature")], F.lit(i))
+    return rows.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *(F.round(quantile(i), 6).alias(n) for i, n in enumerate(("median", "q25", "q75"))))
 
 
 def psi(a: DataFrame, b: DataFrame, bins: int = 20) -> DataFrame:
@@ -159,10 +162,10 @@ def drift_summary(drift: DataFrame) -> DataFrame:
 
 def prediction_profile(df: DataFrame, score: str = "score") -> DataFrame:
     s = F.col(score).cast("double")
-    q = F.percentile(s, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return df.agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), q.alias("q"), F.avg((s > 0.75).cast("int")).alias("alert_rate")).select(
-        F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("q90"), F.round(F.col("q")[2], 6).alias("q99"), F.round("alert_rate", 6).alias("alert_rate"),
-    )
+    q = exact_quantiles(df, [score], (0.5, 0.9, 0.99))[score]
+    quantiles = (F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in zip(("median", "q90", "q99"), q, strict=True))
+    rows = df.agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.avg((s > 0.75).cast("int")).alias("alert_rate"))
+    return rows.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *quantiles, F.round("alert_rate", 6).alias("alert_rate"))
 
 
 def prediction_drift(base: DataFrame, now: DataFrame, score: str = "score") -> DataFrame:

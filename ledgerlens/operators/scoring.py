@@ -13,6 +13,7 @@ from ..config import Scoring
 from ..functions.columns import clip, risk_band
 from ..functions.schemas import BEHAVIORAL_SCORE, PROPAGATION_SCORE, STRUCTURAL_SCORE
 from .iterate import stage
+from .quantiles import exact_quantiles
 
 COMPONENTS = (("behavioral_score", BEHAVIORAL_SCORE), ("structural_score", STRUCTURAL_SCORE), ("propagation_score", PROPAGATION_SCORE))
 
@@ -20,20 +21,20 @@ COMPONENTS = (("behavioral_score", BEHAVIORAL_SCORE), ("structural_score", STRUC
 def component_scores(features: DataFrame, components=COMPONENTS) -> DataFrame:
     """account_id and a 0-100 score a component: mean of robust z-scores, scaled by its range.
 
-    All quantiles come from one aggregate, all ranges from a second; both are one row.
+    Quantiles are selected exactly, a few numbers a column; all ranges come from one row. ``features`` is read
+    several times: pass a written table.
     """
     lists = [(name, [c for c in cols if c in features.columns]) for name, cols in components]
     used = [c for _, cols in lists for c in cols]
-    q = features.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}") for c in used)) if used else None
-    rows = features.crossJoin(F.broadcast(q)) if used else features
+    q = exact_quantiles(features, used, (0.25, 0.5, 0.75))
     out = []
     for name, cols in lists:
         z = F.lit(0.0)
         for c in cols:
-            iqr = F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]
-            z = z + (F.col(c) - F.col(f"q_{c}")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr)
+            low, mid, high = q[c]
+            z = z + (F.col(c) - F.lit(mid)) / F.lit((high - low) or 1.0) if mid is not None else F.lit(None).cast("double")
         out.append((z / max(1, len(cols))).alias(name))
-    rows = rows.select("account_id", *out)
+    rows = features.select("account_id", *out)
     names = [n for n, _ in lists]
     span = rows.agg(*(f(n).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))))
     scaled = lambda n: F.when(F.col(f"hi_{n}") - F.col(f"lo_{n}") > 1e-8, F.round((F.col(n) - F.col(f"lo_{n}")) / F.nullif(F.col(f"hi_{n}") - F.col(f"lo_{n}"), F.lit(0.0)) * 100, 2)).otherwise(0.0)

@@ -551,7 +551,7 @@ def n4_combined_anomaly(spark, d):
 
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
-    f = r6(beh.behavioral_features(p2p(spark, d)))
+    f = iterate.stage(r6(beh.behavioral_features(p2p(spark, d))), "halves")
     return f.filter("account_id % 2 = 0"), f.filter("account_id % 2 = 1")
 
 
