@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, money, seconds, zero
+from .ordered import WHOLE, neighbour
 
 
 def _side(txns: DataFrame, me: str, other: str, word: str) -> DataFrame:
@@ -39,10 +40,12 @@ def both_directions(txns: DataFrame) -> DataFrame:
     return txns.select(F.explode(F.array("sender_id", "receiver_id")).alias("account_id"), "timestamp")
 
 
-def activity_gaps(txns: DataFrame) -> DataFrame:
-    """Burst index (spread of gaps over their mean) and dormancy (longest gap over the active span)."""
-    w = Window.partitionBy("account_id").orderBy("timestamp")
-    rows = both_directions(txns).withColumn("gap", seconds(F.lag("timestamp").over(w), F.col("timestamp")))
+def activity_gaps(txns: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """Burst index (spread of gaps over their mean) and dormancy (longest gap over the active span).
+
+    An account of more than ``whole`` rows is worked on in pieces of its time."""
+    rows = neighbour(both_directions(txns), ["account_id"], ["timestamp"], "timestamp", "before", whole=whole)
+    rows = rows.withColumn("gap", seconds("before", "timestamp"))
     agg = rows.groupBy("account_id").agg(
         F.stddev_samp("gap").alias("sd"), F.avg("gap").alias("mean"), F.max("gap").alias("longest"), seconds(F.min("timestamp"), F.max("timestamp")).alias("span")
     )
