@@ -197,7 +197,7 @@ def graph_metrics(edge: DataFrame, ids: DataFrame, with_components: bool = False
         six("avg_out").alias("avg_out_degree"), F.col("max_out").alias("max_out_degree"), six(std).alias("degree_std"), six("avg_clustering").alias("avg_clustering"), six("leaf_ratio").alias("leaf_ratio"), six("root_ratio").alias("root_ratio"),
     )
     if with_components:
-        s = scc_sizes(edge, ids).agg(F.sum(1.0 / F.col("scc_size")).cast("long").alias("n_scc"), F.max("scc_size").alias("largest"), F.count(F.lit(1)).alias("n"))
+        s = scc_sizes(edge, ids).agg(F.sum(1.0 / F.col("scc_size")).alias("n_scc"), F.max("scc_size").alias("largest"), F.count(F.lit(1)).alias("n"))
         w = components(undirected(edge), ids.select(F.col("account_id").alias("id"))).agg(F.count_distinct("component").alias("n_wcc"))
         out = out.crossJoin(s.select(F.round("n_scc").cast("long").alias("n_scc"), six(F.col("largest") / F.col("n")).alias("largest_scc_ratio"))).crossJoin(w)
     return out

@@ -595,14 +595,15 @@ def w5_prediction_drift(spark, d):
 
 @query
 def w6_graph_metrics(spark, d):
-    return metrics.graph_metrics(edge_table(spark, d), vertex_table(spark, d))
+    e, v = iterate.stage(edge_table(spark, d), "edges"), iterate.stage(vertex_table(spark, d), "vertices")
+    return metrics.graph_metrics(e, v, with_components=True)
 
 
 @query
 def w7_graph_drift(spark, d):
     t = p2p(spark, d)
-    g = [graph.edges(t.filter(f"transaction_id % 2 = {k}")) for k in (0, 1)]
-    return metrics.graph_drift(*(metrics.graph_metrics(e, graph.vertices(None, e)).drop("degree_std", "avg_clustering") for e in g))
+    g = [iterate.stage(graph.edges(t.filter(f"transaction_id % 2 = {k}")), "half") for k in (0, 1)]
+    return metrics.graph_drift(*(metrics.graph_metrics(e, graph.vertices(None, e), with_components=True) for e in g))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .views import WITH, WITH_LEDGER
 
 SCORE_LISTS = {
@@ -134,6 +136,22 @@ _HALF_GRAPH = ", ".join(
     for k in (0, 1)
 )
 _GM = ["n_vertices", "n_edges", "density", "avg_in_degree", "max_in_degree", "avg_out_degree", "max_out_degree", "leaf_ratio", "root_ratio"]
+_GP = ["degree_std", "avg_clustering", "n_scc", "largest_scc_ratio", "n_wcc"]
+
+
+def _components(k: str, edge: str, ids: str) -> str:
+    """pt: strong and weak components of a graph by plain reachability."""
+    return f"""ar{k} AS (SELECT DISTINCT src, dst FROM {edge} WHERE src <> dst), rc{k} AS (SELECT src AS a, dst AS b FROM ar{k} UNION SELECT rc{k}.a, ar{k}.dst FROM rc{k} JOIN ar{k} ON rc{k}.b = ar{k}.src),
+  mu{k} AS (SELECT x.a, x.b FROM rc{k} x JOIN rc{k} y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b), ss{k} AS (SELECT account_id, 1 + count(b) AS n FROM {ids} LEFT JOIN mu{k} ON a = account_id GROUP BY account_id),
+  un{k} AS (SELECT src AS u, dst AS v FROM ar{k} UNION SELECT dst, src FROM ar{k}), wc{k} AS (SELECT account_id AS a, account_id AS b FROM {ids} UNION SELECT wc{k}.a, un{k}.v FROM wc{k} JOIN un{k} ON wc{k}.b = un{k}.u),
+  pt{k} AS (SELECT (SELECT CAST(round(sum(1.0 / n)) AS BIGINT) FROM ss{k}) AS n_scc, (SELECT round(max(n) / count(*), 6) FROM ss{k}) AS largest_scc_ratio, (SELECT count(DISTINCT l) FROM (SELECT a, min(b) AS l FROM wc{k} GROUP BY a)) AS n_wcc)"""
+
+
+def _metrics(k: str, edge: str, ids: str, row: str) -> str:
+    """gm: all metrics of a graph, one row, from its row of degrees."""
+    cluster = re.sub(r"\b(pr|nb|tri|dg|clu)\b", rf"\g<1>{k}", CLUSTER.lstrip(", "))
+    cluster = re.sub(r"\bvert\b", ids, re.sub(r"\bedge\b", edge, cluster))
+    return f"{cluster}, {_components(k, edge, ids)}, gm{k} AS (SELECT {', '.join(_GM)}, round(sd, 6) AS degree_std, (SELECT round(avg(clustering_coefficient), 6) FROM clu{k}) AS avg_clustering, n_scc, largest_scc_ratio, n_wcc FROM {row}, pt{k})"
 
 SEQ = """, sd AS (SELECT transaction_id, amount, "timestamp" AS ts, sender_id AS account_id, 1 AS is_sender FROM ev UNION ALL SELECT transaction_id, amount, "timestamp", receiver_id, 0 FROM ev),
 sr AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, transaction_id, is_sender) AS pos,
@@ -352,8 +370,8 @@ mo AS (SELECT round(avg(value) FILTER (side = 0), 6) AS m0, round(stddev_pop(val
 en AS (SELECT ks, sqrt(n0 * n1 / CAST(n0 + n1 AS DOUBLE)) AS en, round(abs(m1 - m0) / (s0 + 1e-8), 6) AS mean_shift, round(abs(r1 - r0), 6) AS alert_rate_change FROM mo, ks),
 pv AS (SELECT *, (en + 0.12 + 0.11 / en) * ks AS x FROM en)
 SELECT ks, mean_shift, alert_rate_change, CASE WHEN x < 0.2 THEN 1.0 ELSE {_P_VALUE} END < 0.05 OR mean_shift > 2 OR alert_rate_change > 0.05 AS drifted FROM pv""",
-        "w6_graph_metrics": f"{BASE}{CLUSTER}, m AS ({_graph_row('deg')}) SELECT {', '.join(_GM)}, round(sd, 6) AS degree_std, (SELECT round(avg(clustering_coefficient), 6) FROM clu) AS avg_clustering FROM m",
-        "w7_graph_drift": f"{WITH}, {_HALF_GRAPH}, x AS ({' UNION ALL '.join(f"SELECT '{c}' AS metric, CAST(m0.{c} AS DOUBLE) AS baseline, CAST(m1.{c} AS DOUBLE) AS current FROM m0, m1" for c in _GM)}), y AS (SELECT *, round(CASE WHEN baseline = 0 THEN abs(current) ELSE abs(current - baseline) / abs(baseline) END, 6) AS change FROM x) SELECT *, change > 0.3 AS drifted FROM y",
+        "w6_graph_metrics": f"{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, m AS ({_graph_row('deg')}), {_metrics('', 'edge', 'vert', 'm')} SELECT * FROM gm",
+        "w7_graph_drift": f"{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {_HALF_GRAPH}, {_metrics('0', 'e0', 'd0', 'm0')}, {_metrics('1', 'e1', 'd1', 'm1')}, x AS ({' UNION ALL '.join(f"SELECT '{c}' AS metric, CAST(gm0.{c} AS DOUBLE) AS baseline, CAST(gm1.{c} AS DOUBLE) AS current FROM gm0, gm1" for c in _GM + _GP)}), y AS (SELECT *, round(CASE WHEN baseline = 0 THEN abs(current) ELSE abs(current - baseline) / abs(baseline) END, 6) AS change FROM x) SELECT *, change > 0.3 AS drifted FROM y",
         "h1_top_features": f"{FEATURES}{LONG} SELECT * FROM ({TOP})",
         "h2_batch_decompose": f"{SCORES}{LONG}, tp AS (SELECT account_id, risk_score FROM scores ORDER BY risk_score DESC, account_id LIMIT 20) SELECT account_id, risk_score, rank, feature, value FROM ({TOP}) JOIN tp USING (account_id)",
         "h4_account_activity": f"{WITH} SELECT account_id, CAST(sum(s) AS BIGINT) AS sent, CAST(sum(1 - s) AS BIGINT) AS received, CAST(sum(b) AS BIGINT) AS fraud FROM (SELECT sender_id AS account_id, 1 AS s, CAST(is_fraud AS INT) AS b FROM p2p UNION ALL SELECT receiver_id, 0, CAST(is_fraud AS INT) FROM p2p) GROUP BY account_id",
