@@ -29,6 +29,12 @@ def test_neighbours_equal_a_plain_window(spark, ahead, whole):
     assert sorted(map(row, got.collect()), key=repr) == sorted(map(row, want.collect()), key=repr)
 
 
+def test_cuts_are_sketched_once(spark):
+    """A second sketch may cut elsewhere: then edge rows of one cut would meet pieces of another."""
+    got = ordered.neighbour(events(spark), ["k"], ["t", "i"], "v", "x", whole=100)
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pieces_of_a_heavy_key_are_even(spark):
     df = events(spark)
     heavy = ordered.pieces(df, ["k"], "t", whole=100).collect()
