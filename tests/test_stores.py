@@ -54,6 +54,23 @@ def test_windows_drop_what_comes_too_late(spark, tmp_path):
     assert got == {day(-1): (10.0, 1), day(0): (10.0, 1), day(8): (100.0, 1), day(9): (101.0, 2), day(10): (1.0, 1)}
 
 
+def test_panes_fold_to_the_windows_and_their_state_is_on_disk(spark, tmp_path):
+    """One key of state a day and edge, not one a window; the state store keeps files of its own, no rows in the heap."""
+    rows = [(k, f"a{k % 3}", f"b{k % 2}", 1 + k % 5, 5 * k % 400) for k in range(300)]
+    put(spark, f"{tmp_path}/in", rows)
+    log = ingest.ChangeLog(spark, f"{tmp_path}/panes", ["pane", "src", "dst"])
+    run = log.follow(ingest.pane_edges(ingest.read_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/state")
+    run.awaitTermination()
+    state = next(p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"][0]["numRowsUpdated"])
+    assert state["numRowsUpdated"] == len({(a, b, h // 24) for _, a, b, _, h in rows})
+    assert any(k.startswith("rocksdb") for k in state["customMetrics"])
+    key = ["window_start", "src", "dst", "weight", "frequency"]
+    got = ingest.fold_panes(log.read()).select(key).collect()
+    want = ingest.sliding_edges(spark.read.parquet(f"{tmp_path}/in")).select(key).collect()
+    assert sorted(got) == sorted(want) and len({r.window_start for r in got}) > 20
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", None) is None
+
+
 def test_a_single_read_opens_one_folder(spark, tmp_path):
     rows = spark.range(5000).select(F.col("id").alias("account_id"), (F.col("id") * 2).alias("risk_score"))
     io.save_buckets(rows, f"{tmp_path}/scores")
