@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import embeddings
 from ledgerlens.operators.factor import truncated_svd
 from ledgerlens.operators.shapley import node_table, tree_shap
 
@@ -113,3 +115,12 @@ def test_k_squared_by_hand(spark):
     for r, (n, s, k) in zip(got, rows, strict=True):
         assert (r.n, r.skew, r.kurt) == (n, s, k)
         assert (r.k2, r.p_value) == ((None, None) if n < 8 else pytest.approx(plain(n, s, k), rel=1e-9))
+
+
+def test_cooccurrence_meets_each_pair_once(spark):
+    """Against plain counting, without a join of every step with all steps around it; short walks and repeats too."""
+    rows = [(w, s, (w * w + s * (w % 3 + 1)) % 7) for w in range(12) for s in range(w)]
+    got = embeddings.cooccurrence(spark.createDataFrame(rows, "walk long, step int, vertex long"), 3)
+    want = Counter((a, b) for w, s, a in rows for x, t, b in rows if w == x and abs(s - t) <= 3 and a != b)
+    assert {(r.a, r.b): r.n for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
