@@ -96,8 +96,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
     """doc_id and spans: word ranges covered by windows that also start in a document of a smaller id.
 
     1. One pass lists super-k-mers without their text: minimiser, content hash, document, place.
-    2. Equal contents collapse (partial aggregates first: a hot passage leaves a task once). Only
-       minimisers seen in two documents go on.
+    2. Only minimisers seen in two documents go on (partial aggregates first: a hot passage leaves a task
+       once). Their equal contents collapse.
     3. One packed string a distinct content, from its first document, goes to its minimiser's
        bucket, where sorting the windows finds the first document of each, words compared bytewise.
        Buckets of more than ``hot`` distinct contents are split: see split_bucket().
@@ -114,10 +114,12 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
 
     places = table(texts.mapInArrow(listed, spec), "places")
     key = ["mini", "k1", "k2"]
+    # joins are merged at every size: nothing is broadcast, so the disk and the driver's part grow with the input only
+    shared = places.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mini")
+    places = table(places.join(shared.hint("merge"), "mini", "left_semi"), "places-shared")
     kinds = table(places.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "kinds")
-    shared = kinds.groupBy("mini").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("kinds"))
-    shared = shared.filter("a < b").select("mini", (F.col("kinds") > hot).alias("hot"))
-    kinds = table(kinds.join(shared, "mini"), "kinds-shared")
+    sizes = kinds.groupBy("mini").agg((F.count("*") > hot).alias("hot"))
+    kinds = table(kinds.join(sizes.hint("merge"), "mini"), "kinds-shared").hint("merge")
     wanted = places.withColumnRenamed("doc_id", "lo").join(kinds, [*key, "lo"]).groupBy(*key, "lo", "hi", "hot").agg(F.min("at").alias("at"), F.max("n").alias("n"))
 
     def packed(batches):
@@ -127,11 +129,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
             yield pa.RecordBatch.from_arrays([*(found.field(f) for f in key), int64(ids), found.field("hi"), pa.array(rows, pa.binary())], [*key, "lo", "hi", "words"])
 
     cool = wanted.filter("NOT hot").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct(*key, "hi", "at", "n")).alias("wanted"))
-    strings = texts.join(cool, "doc_id").select("doc_id", "text", "wanted").mapInArrow(packed, "mini long, k1 long, k2 long, lo long, hi long, words binary")
+    strings = texts.join(cool.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(packed, "mini long, k1 long, k2 long, lo long, hi long, words binary")
     owners = table(window_runs(strings, window), "owners")
     if not kinds.filter("hot").isEmpty():
         owners = owners.unionByName(split_bucket(texts, wanted.filter("hot"), window, mini))
-    spans = places.join(owners, key).filter("owner < doc_id").select("doc_id", F.struct((F.col("at") + F.col("a")).alias("lo"), (F.col("at") + F.col("b") + (window - 1)).alias("hi")).alias("span"))
+    spans = places.join(owners.hint("merge"), key).filter("owner < doc_id").select("doc_id", F.struct((F.col("at") + F.col("a")).alias("lo"), (F.col("at") + F.col("b") + (window - 1)).alias("hi")).alias("span"))
     return spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
     they take nothing from each other; other columns are ignored; an empty table stays empty.
     """
     spans = repeated_spans(docs, window, mini, id_col, text_col, hot)
-    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).join(spans.hint("merge"), "doc_id", "left")
 
     def cut(batches):
         for batch, col in steps(batches, column="text"):
