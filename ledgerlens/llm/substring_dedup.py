@@ -121,6 +121,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
     sizes = kinds.groupBy("mini").agg((F.count("*") > hot).alias("hot"))
     kinds = table(kinds.join(sizes.hint("merge"), "mini"), "kinds-shared").hint("merge")
     wanted = places.withColumnRenamed("doc_id", "lo").join(kinds, [*key, "lo"]).groupBy(*key, "lo", "hi", "hot").agg(F.min("at").alias("at"), F.max("n").alias("n"))
+    wanted = table(wanted, "wanted")
 
     def packed(batches):
         for w, _, found, ids, lo in located(batches, window):
@@ -132,7 +133,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, mini: int = 8, id_col: str
     strings = texts.join(cool.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(packed, "mini long, k1 long, k2 long, lo long, hi long, words binary")
     owners = table(window_runs(strings, window), "owners")
     if not kinds.filter("hot").isEmpty():
-        owners = owners.unionByName(split_bucket(texts, wanted.filter("hot"), window, mini))
+        owners = owners.unionByName(split_bucket(texts, table(wanted.filter("hot"), "hot-wanted"), window, mini))
     spans = places.join(owners.hint("merge"), key).filter("owner < doc_id").select("doc_id", F.struct((F.col("at") + F.col("a")).alias("lo"), (F.col("at") + F.col("b") + (window - 1)).alias("hi")).alias("span"))
     return spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
@@ -142,7 +143,8 @@ def split_bucket(texts: DataFrame, wanted: DataFrame, window: int, mini: int) ->
 
     Windows leave as hashes, and partial aggregates find those that two documents hold: what merely
     stands around a hot passage goes no further. What is left of a content travels in runs of
-    windows that share a second minimiser too, to that minimiser's bucket; equal runs collapse.
+    windows that share a second minimiser too, to that minimiser's bucket; equal runs collapse. What is asked of
+    the texts is written first, so that its size is known and the texts are not shuffled for a few documents.
     """
     key = ["mini", "k1", "k2"]
     about = [*key, "hi", "at", "n"]
@@ -162,6 +164,7 @@ def split_bucket(texts: DataFrame, wanted: DataFrame, window: int, mini: int) ->
     seen = table(lists(rows).mapInArrow(windows, spec), "hot-windows")
     twice = seen.groupBy("wa", "wb").agg(F.min("doc_id").alias("a"), F.max("hi").alias("b")).filter("a < b").select("wa", "wb")
     kept = seen.join(twice, ["wa", "wb"], "left_semi").groupBy("doc_id", *about).agg(F.array_sort(F.collect_set("off")).alias("offs"))
+    kept = table(kept, "hot-kept")
 
     def runs(batches):
         for w, span, found, ids, lo in located(batches, window):
