@@ -337,7 +337,7 @@ def _oracle_sql() -> dict[str, str]:
         "d3_layering_depth": f"{BASE}{LAYERS} SELECT account_id, CAST(coalesce(max(k), 0) AS BIGINT) AS layering_depth FROM vert LEFT JOIN dp ON src = account_id GROUP BY account_id",
         "d4_neighbour_risk": f"{BASE} {RISK}",
         "d5_device_cluster": f"{WITH} {DEVICE}",
-        "d6_suspicious_chains": f"{WITH_LEDGER}, e AS (SELECT DISTINCT sender_id AS s, receiver_id AS t FROM ledger), so AS (SELECT DISTINCT s FROM e ORDER BY s LIMIT 50), si AS (SELECT DISTINCT t FROM e ORDER BY t LIMIT 50), hit AS (SELECT s, t FROM e WHERE s IN (SELECT s FROM so) AND t IN (SELECT t FROM si)), ids AS (SELECT s AS account_id FROM e UNION SELECT t FROM e) SELECT account_id, CASE WHEN account_id IN (SELECT s FROM hit) OR account_id IN (SELECT t FROM hit) THEN 2 ELSE 0 END::BIGINT AS suspicious_chain_length FROM ids",
+        "d6_suspicious_chains": f"{WITH_LEDGER}, e AS (SELECT DISTINCT sender_id AS s, receiver_id AS t FROM ledger), so AS (SELECT DISTINCT s FROM e), si AS (SELECT DISTINCT t FROM e), hit AS (SELECT s, t FROM e WHERE s IN (SELECT s FROM so) AND t IN (SELECT t FROM si)), ids AS (SELECT s AS account_id FROM e UNION SELECT t FROM e) SELECT account_id, CASE WHEN account_id IN (SELECT s FROM hit) OR account_id IN (SELECT t FROM hit) THEN 2 ELSE 0 END::BIGINT AS suspicious_chain_length FROM ids",
         "f1_features": f"{FEATURES} SELECT * FROM feat",
         "p1_seeds": f"{BASE} SELECT account_id, 1.0::DOUBLE AS score FROM vert WHERE is_fraud",
         "p2_transition": f"{BASE}{MOVE} SELECT i, j, round(w, 6) AS w FROM mv",
