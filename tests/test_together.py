@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import embeddings, iterate, structural
+from ledgerlens.plans import catalog
 
 
 def meeting(n, column, value):
@@ -37,6 +38,18 @@ def test_embedding_halves_begin_together(spark, monkeypatch):
     assert {tuple(r.embedding) for r in embeddings.graph_embedding(*graph(spark), 2).collect()} == {(1.0, 2.0)}
 
 
+def test_halves_of_graph_drift_begin_together(spark, sf_dir, monkeypatch):
+    barrier = threading.Barrier(6, timeout=60)
+
+    def meets(f):
+        return lambda *args: barrier.wait() is not None and f(*args)
+
+    for module, name in ((structural, "clustering"), (structural, "scc_sizes"), (iterate, "components")):
+        monkeypatch.setattr(module, name, meets(getattr(module, name)))
+    got = {r.metric: (r.baseline, r.current) for r in catalog.w7_graph_drift(spark, sf_dir).collect()}
+    assert len(got) == 14 and all(a > 0 and b > 0 for a, b in (got["n_edges"], got["n_wcc"], got["n_scc"]))
+
+
 def test_a_failing_step_is_raised(spark):
     with pytest.raises(ZeroDivisionError):
         iterate.together(spark, lambda: spark.range(1), lambda: 1 / 0)
