@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import embeddings, iterate, structural
+from ledgerlens.operators import community, embeddings, iterate, structural
 from ledgerlens.plans import catalog
 
 
@@ -50,6 +50,28 @@ def test_halves_of_graph_drift_begin_together(spark, sf_dir, monkeypatch):
     assert len(got) == 14 and all(a > 0 and b > 0 for a, b in (got["n_edges"], got["n_wcc"], got["n_scc"]))
 
 
+def test_first_moves_and_labels_begin_together(spark, monkeypatch):
+    barrier, met = threading.Barrier(2, timeout=30), set()
+
+    def meets(name):
+        step = getattr(community, name)
+
+        def first(*args):
+            if name not in met:
+                met.add(name)
+                barrier.wait()
+            return step(*args)
+
+        return first
+
+    for name in ("_moved", "_spread"):
+        monkeypatch.setattr(community, name, meets(name))
+    arcs = [(a, b) for k in (0, 4) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [(3, 4)]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in arcs], "src long, dst long, weight double")
+    got = community.louvain(e, spark.range(8).select(F.col("id").alias("account_id"))).collect()
+    assert {r.account_id: r.community_id for r in got} == {k: k // 4 * 4 for k in range(8)}
+
+
 def test_a_failing_step_is_raised(spark):
     with pytest.raises(ZeroDivisionError):
         iterate.together(spark, lambda: spark.range(1), lambda: 1 / 0)
